@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kindred.llm import quality, url_rules
+from kindred.llm import near_dup, quality, url_rules
 from kindred.llm.workspace import read
 
 #: The rules of the URL query.
@@ -19,6 +19,10 @@ URL_RULES = (
 )
 
 
+def op3_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, percent=80)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), url_rules.RULE_SCHEMA)
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
@@ -31,6 +35,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_minhash_near_dup": op3_minhash_near_dup,
     "op7_url_filter": op7_url_filter,
     "op8_quality_rules": op8_quality_rules,
 }

@@ -85,7 +85,7 @@ def hash_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(hashes, np.searchsorted(start, offsets))
 
 
-def blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, end row, bytes, offsets)`` of a string column, in bounded blocks; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks) if column.num_chunks != 1 else column.chunk(0)
@@ -100,19 +100,33 @@ def blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     data = np.frombuffer(body, dtype=np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)
     row = 0
     while row < rows:
-        stop = int(np.searchsorted(offsets, offsets[row] + BLOCK_BYTES, side="right")) - 1
+        stop = int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1
         stop = min(rows, max(row + 1, stop))
         yield row, stop, data[offsets[row] : offsets[stop]], offsets[row : stop + 1]
         row = stop
 
 
-def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of the distinct ``size``-word shingles of one text, ascending; fewer words make one shingle, none makes none."""
-    n = len(words)
-    if n == 0:
-        return np.zeros(0, np.uint64)
-    width = min(n, size)
-    out = np.full(n - width + 1, np.uint64(width), dtype=np.uint64)
-    for i in range(width):
-        out = mix(out ^ words[i : n - width + 1 + i]) + np.uint64(0xA24BAED4963EE407)
-    return np.unique(out)
+_STEP = np.uint64(0xA24BAED4963EE407)
+
+
+def windows(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` words from each position on; none where fewer are left."""
+    n = max(0, len(words) - size + 1)
+    out = np.full(n, np.uint64(size), dtype=np.uint64)
+    for i in range(size):
+        out = mix(out ^ words[i : n + i]) + _STEP
+    return out
+
+
+def shingle_sets(words: Words, size: int) -> list[np.ndarray]:
+    """For each row the hashes of its distinct ``size``-word shingles, ascending; fewer words make one shingle, none makes none."""
+    whole, sets = windows(words.hashes, size), []
+    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+        if b - a >= size:
+            found = np.sort(whole[a : b - size + 1])
+            fresh = np.ones(len(found), dtype=bool)
+            np.not_equal(found[1:], found[:-1], out=fresh[1:])
+            sets.append(found[fresh])
+        else:
+            sets.append(windows(words.hashes[a:b], b - a) if b > a else words.hashes[:0])
+    return sets
