@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kindred.llm import near_dup, quality, url_rules
+from kindred.llm import near_dup, quality, url_rules, warc
 from kindred.llm.workspace import read
 
 #: The rules of the URL query.
@@ -19,6 +19,10 @@ URL_RULES = (
 )
 
 
+def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op3_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, percent=80)
 
@@ -35,6 +39,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_round_trip": op1_warc_round_trip,
     "op3_minhash_near_dup": op3_minhash_near_dup,
     "op7_url_filter": op7_url_filter,
     "op8_quality_rules": op8_quality_rules,
@@ -44,6 +49,13 @@ _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 _STOP_SQL = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS.split())))
 
 SQL: dict[str, str] = {
+    "op1_warc_round_trip": """
+WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS b, sha1(coalesce(html, '')) AS s FROM pages),
+m AS (SELECT s, max(page_id) AS f FROM d WHERE b >= 1000 GROUP BY s)
+SELECT page_id, b AS payload_bytes, d.s AS payload_digest, CASE WHEN f <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f <> page_id THEN f END AS refers_to
+FROM d LEFT JOIN m ON d.s = m.s AND b >= 1000
+""",
     "op7_url_filter": f"""
 WITH rules(rh, rp, rv) AS (VALUES {_RULES_SQL}),
 rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS x FROM pages),
