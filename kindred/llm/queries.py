@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kindred.llm import near_dup, quality, url_rules, warc
+from kindred.llm import html_text, near_dup, quality, url_rules, warc
 from kindred.llm.workspace import read
 
 #: The rules of the URL query.
@@ -27,6 +27,10 @@ def op3_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, percent=80)
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), url_rules.RULE_SCHEMA)
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
@@ -41,6 +45,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_round_trip": op1_warc_round_trip,
     "op3_minhash_near_dup": op3_minhash_near_dup,
+    "op6_main_text": op6_main_text,
     "op7_url_filter": op7_url_filter,
     "op8_quality_rules": op8_quality_rules,
 }
