@@ -64,15 +64,15 @@ class Words(NamedTuple):
     first: np.ndarray
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Words of rows ``data[offsets[r]:offsets[r + 1]]`` (bytes of UTF-8)."""
+def hash_words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE) -> Words:
+    """Words of rows ``data[offsets[r]:offsets[r + 1]]`` (bytes of UTF-8); ``breaks`` tells the bytes between words."""
     offsets = offsets.astype(np.int64) - int(offsets[0])
     n = len(data)
     if n == 0:
         return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
-    solid = ~_SPACE[data]
+    solid = ~breaks[data]
     starts = solid.copy()
     starts[1:] &= ~solid[:-1] | edge[1:n]
     ends = solid.copy()
