@@ -5,8 +5,10 @@
    similarity 0.8 shares none with probability 5e-7.
 3. Nodes that share a key are tested without listing the pairs of a bucket.  In a few rounds each bucket picks a pivot;
    members of another component than the pivot's are tested against it and the links are merged into components.  What
-   is still split afterwards is tested exactly: every member outside the bucket's largest component against all members
-   of other components.  Pairs inside one component need no test, since they can't change the result.
+   is still split afterwards is tested exactly.  A node against a component of two or more: the full sets of both sides
+   meet in chunks of bounded size, and a chunk reports one link a node at most.  Single nodes of a bucket among
+   themselves: their signatures meet in chunks, and pairs that pass go on to step 4.  Pairs inside one component need no
+   test, since they can't change the result.
 4. A pair is dropped if its sizes or its signatures rule 0.8 out (by more than six standard deviations), and confirmed
    on the two full sets otherwise.
 
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kindred.llm.components import connected_components
 from kindred.llm.words import blocks, hash_words, mix, shingle_sets
@@ -30,7 +32,10 @@ from kindred.llm.workspace import Workspace
 BANDS, ROWS = 48, 6
 #: Text bytes for which signatures are made at a time, so that the arrays stay in the processor's cache.
 _BLOCK = 1 << 18
-PIVOT_ROUNDS = 3
+#: Rounds in which buckets are tested against a pivot.
+PIVOT_ROUNDS = 2
+#: Shingles, and signatures, of a side that meet in one chunk.
+CHUNK_SHINGLES, CHUNK_NODES = 200_000, 512
 _NODE = ["fp1", "fp2", "n"]
 
 
@@ -96,9 +101,14 @@ def _full_sets(size: int):
     return run
 
 
-def _likely(percent: int, count: int):
+def _least_equal(percent: int, count: int) -> float:
+    """Equal signature places below which a pair at the wanted similarity lies with a chance of about 1e-9."""
     share = percent / 100
-    least = count * share - 6.2 * (count * share * (1 - share)) ** 0.5
+    return count * share - 6.2 * (count * share * (1 - share)) ** 0.5
+
+
+def _likely(percent: int, count: int):
+    least = _least_equal(percent, count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,6 +150,118 @@ class _Verifier:
         return links
 
 
+def _chunks(total: str, size: int) -> Column:
+    return F.ceil(F.col(total) / size).cast("int")
+
+
+def _every(count: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of rows with equal keys, in sorted batches, as slices."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        rows = list(zip(*[batch.column(k).to_pylist() for k in keys]))
+        start = 0
+        for i, key in enumerate(rows):
+            if key != last:
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                if held:
+                    yield held
+                held, last, start = [], key, i
+        if len(rows) > start:
+            held.append(batch.slice(start))
+    if held:
+        yield held
+
+
+def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+
+def _links_to_components(ws: Workspace, placed: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
+    """Links of nodes to components of two or more, of which they met a member in a bucket; the smaller side is the node's."""
+    of = placed.select("node", "n", "c").distinct()
+    sized = of.groupBy("c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
+    sized = ws.save(sized, "sized")
+    ranked = ws.save(placed.join(sized.select("c", "m"), "c"), "ranked")
+    big = ws.save(ranked.where("m > 1").select("key", F.col("c").alias("bc"), F.col("m").alias("bm")).distinct(), "big")
+    met = ranked.join(big, "key").where("c <> bc AND (m < bm OR (m = bm AND c < bc))").select("node", "n", F.col("bc").alias("c")).distinct()
+    met = ws.save(met, "met")
+    plan = met.groupBy("c").agg(F.sum("n").alias("asking")).join(sized, "c")
+    plan = ws.save(plan.select("c", _chunks("asking", CHUNK_SHINGLES).alias("asks"), _chunks("total", CHUNK_SHINGLES).alias("has")), "plan")
+    own = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+    asking = met.join(plan, "c").select("c", own("asks").alias("a"), _every("has").alias("h"), F.lit(1).alias("asks"), "node")
+    having = of.join(plan, "c").select("c", _every("asks").alias("a"), own("has").alias("h"), F.lit(0).alias("asks"), "node")
+    meet = asking.union(having).join(candidates.select("node", "members"), "node")
+    meet = meet.repartition("c", "a", "h").sortWithinPartitions("c", "a", "h", "asks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ["c", "a", "h"]):
+            nodes = [x for b in group for x in b.column("node").to_pylist()]
+            asks = np.array([x for b in group for x in b.column("asks").to_pylist()])
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for b in group for x in b.column("members")]
+            split = int(np.searchsorted(asks, 1))
+            if split == 0 or split == len(nodes):
+                continue
+            sizes = np.array([len(s) for s in sets[:split]])
+            values, owner = np.concatenate(sets[:split]), np.repeat(np.arange(split), sizes)
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            pairs = []
+            for node, s in zip(nodes[split:], sets[split:]):
+                low, high = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
+                count = high - low
+                at = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+                common = np.bincount(owner[at], minlength=split)
+                linked = np.flatnonzero(100 * common >= percent * (sizes + len(s) - common))
+                if len(linked):
+                    pairs.append((nodes[linked[0]], node))
+            if pairs:
+                yield _pairs_batch(pairs)
+
+    return ws.save(meet.mapInArrow(run, "u long, v long"), "links-component")
+
+
+def _likely_singles(ws: Workspace, placed: DataFrame, candidates: DataFrame, percent: int, count: int) -> DataFrame:
+    """Pairs of nodes without links so far that share a bucket of three or more, and whose signatures don't rule them out."""
+    sized = placed.select("node", "c").distinct().groupBy("c").agg(F.count(F.lit(1)).alias("m")).where("m = 1").select("c")
+    alone = ws.save(placed.join(sized, "c").select("key", "node"), "alone")
+    crowds = placed.groupBy("key").agg(F.count(F.lit(1)).alias("all")).where("all > 2").select("key")
+    crowds = alone.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").join(crowds, "key")
+    crowds = ws.save(crowds.select("key", _chunks("m", CHUNK_NODES).alias("chunks")), "crowds")
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    dealt = alone.join(crowds, "key").select("key", "node", own.alias("own"), _every("chunks").alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node")
+    meet = dealt.join(candidates.select("node", "n", "sketch"), "node")
+    meet = meet.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
+    least = _least_equal(percent, count)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: list[tuple[int, int]] = []
+        for group in _groups(batches, ["key", "i", "j"]):
+            same = group[0].column("i")[0].as_py() == group[0].column("j")[0].as_py()
+            nodes = np.array([x for b in group for x in b.column("node").to_pylist()])
+            sizes = np.array([x for b in group for x in b.column("n").to_pylist()])
+            own = np.array([x for b in group for x in b.column("own").to_pylist()])
+            sketch = np.frombuffer(b"".join(x for b in group for x in b.column("sketch").to_pylist()), np.uint8).reshape(-1, count)
+            split = 0 if same else int(np.searchsorted(own, own[0], "right"))
+            for k in range(len(nodes) if same else split):
+                start = k + 1 if same else split
+                fits = 100 * np.minimum(sizes[start:], sizes[k]) >= percent * np.maximum(sizes[start:], sizes[k])
+                near = np.flatnonzero(fits & ((sketch[start:] == sketch[k]).sum(axis=1) >= least)) + start
+                pairs += [(min(a, b), max(a, b)) for a, b in ((int(nodes[k]), int(nodes[x])) for x in near)]
+            if len(pairs) > 10_000:
+                yield _pairs_batch(pairs)
+                pairs = []
+        yield _pairs_batch(pairs)
+
+    return ws.save(meet.mapInArrow(run, "u long, v long").distinct(), "likely-single")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of each row of ``docs(doc_id, text)``."""
     ws = Workspace(docs.sparkSession, "near-dup")
@@ -164,27 +286,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, bands:
     verify = _Verifier(ws, candidates, percent, bands * rows)
 
     pairs = members.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
-    links = verify(pairs, "links-0")
-    found = connected_components(links, ws, "cc-0")
+    found = connected_components(verify(pairs, "links-0"), ws, "cc-0")
     for k in range(1, PIVOT_ROUNDS + 1):
-        placed = members.select("key", "node", "n").join(found.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+        placed = members.join(found.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
         placed = ws.save(placed, f"placed-{k}")
-        last = k == PIVOT_ROUNDS
-        if last:
-            sized = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
-            hubs = sized.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("pc"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "pc")
-        else:
+        if k < PIVOT_ROUNDS:
             pivot = F.min_by(F.struct(F.col("node").alias("p"), F.col("c").alias("pc")), F.struct(F.xxhash64("node", F.lit(k)), F.col("node")))
             hubs = placed.groupBy("key").agg(pivot.alias("x"), F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("key", "x.p", "x.pc")
-        hubs = ws.save(hubs, f"hubs-{k}")
-        outside = placed.join(hubs, "key").where("c <> pc")
-        if last:
-            outside = ws.save(outside.select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx")), "outside")
-            fits = f"c <> cx AND 100 * least(n, nx) >= {percent} * greatest(n, nx)"
-            pairs = outside.join(placed, "key").where(fits).select(F.least("x", "node").alias("u"), F.greatest("x", "node").alias("v")).distinct()
+            hubs = ws.save(hubs, f"hubs-{k}")
+            outside = placed.join(hubs, "key").where("c <> pc")
+            more = verify(outside.select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct(), f"links-{k}")
         else:
-            pairs = outside.select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct()
-        more = verify(pairs, f"links-{k}")
+            single = verify(_likely_singles(ws, placed, candidates, percent, bands * rows), "links-single")
+            more = single.union(_links_to_components(ws, placed, candidates, percent))
         links = ws.save(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), f"merged-{k}")
         found = connected_components(links, ws, f"cc-{k}")
     named = nodes.join(found, "node", "left").select(*_NODE, "lead", F.coalesce("component", "node").alias("c"))
