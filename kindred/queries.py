@@ -190,7 +190,7 @@ def compare_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compare_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = _halves(spark, sf_dir)
-    return tools.compare_files(left, right, "common", r"^(?<first>[A-Za-z]+) ", "first", r" (?<last>[a-z]+)\.$", "last")
+    return tools.compare_files(left, right, "common", r" (?<first>[a-z]+),", "first", r" (?<last>[a-z]+)\.$", "last")
 
 
 def line_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,7 +375,7 @@ SQL: dict[str, str] = {
     "common_lines_second": "SELECT c_custkey AS seq, c_name || '|' || c_custkey AS line FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
     "compare_files": f"WITH {_LINES}, {_SECTIONS} SELECT CASE k WHEN 1 THEN 'left' WHEN 2 THEN 'right' ELSE 'common' END AS section, line FROM s",
     "compare_totals": f"WITH {_LINES}, {_SECTIONS} SELECT 'left' AS section, count(*) FILTER (k = 1) AS n FROM s UNION ALL SELECT 'right', count(*) FILTER (k = 2) FROM s UNION ALL SELECT 'common', 0",
-    "compare_groups": f"WITH {_LINES} SELECT DISTINCT 'common' AS section, a.x AS line FROM (SELECT regexp_extract(line, '^([A-Za-z]+) ', 1) AS x FROM l WHERE doc_id % 2 = 0 AND regexp_matches(line, '^([A-Za-z]+) ')) a JOIN (SELECT regexp_extract(line, ' ([a-z]+)\\.$', 1) AS x FROM l WHERE doc_id % 2 = 1 AND regexp_matches(line, ' ([a-z]+)\\.$')) b ON a.x = b.x",
+    "compare_groups": f"WITH {_LINES} SELECT DISTINCT 'common' AS section, a.x AS line FROM (SELECT regexp_extract(line, ' ([a-z]+),', 1) AS x FROM l WHERE doc_id % 2 = 0 AND regexp_matches(line, ' ([a-z]+),')) a JOIN (SELECT regexp_extract(line, ' ([a-z]+)\\.$', 1) AS x FROM l WHERE doc_id % 2 = 1 AND regexp_matches(line, ' ([a-z]+)\\.$')) b ON a.x = b.x",
     "line_difference": f"WITH {_LINES}, {_SECTIONS} SELECT CASE k WHEN 1 THEN '<' WHEN 2 THEN '>' ELSE '<>' END AS mark, line FROM s",
     "upsert_last_wins": "SELECT doc_id AS seq, CAST(doc_id AS VARCHAR) AS id, source AS database FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id + 10000000, CAST(doc_id AS VARCHAR), 'new' FROM documents WHERE doc_id % 3 = 0",
     "delete_exact": "SELECT doc_id AS seq, CAST(doc_id AS VARCHAR) AS id FROM documents WHERE doc_id <> 17",
