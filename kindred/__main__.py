@@ -47,7 +47,7 @@ def _point(args: argparse.Namespace, use_similarity: bool) -> None:
     queries = records.parse_queries(spark.createDataFrame([(0, args.text)], "seq long, line string"), schema, exact=not args.json)
     found = match.match(queries, index.open_index(spark, args.index, schema), use_similarity, report=args.report)
     form = render.json_lines if args.json else render.report_lines if args.report else render.full_lines
-    _show(render.numbered(form(found, schema)).orderBy(F.length("line"), "line").select("line"))
+    _show(render.numbered(form(found, schema)).orderBy(F.regexp_extract("line", r"^([0-9]+)", 1).cast("int")).select("line"))
 
 
 def export_command(args: argparse.Namespace) -> None:
