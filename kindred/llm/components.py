@@ -14,7 +14,8 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the smallest of the node and its neighbours."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    # Links that come out twice are merged by the small star.
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -30,16 +31,21 @@ def connected_components(edges: DataFrame, ws: Workspace, name: str = "component
 
     Self-links and repeated links change nothing; without links the result is empty.
     """
-    at, mark = 0, None
-    now = ws.save(edges.select("u", "v").where("u <> v").distinct(), f"{name}-0")
+    at = 0
+    now = ws.save(edges.select("u", "v").where("u <> v"), f"{name}-0")
     while True:
         at += 1
         after = ws.save(_small_star(_large_star(now)), f"{name}-{at}")
         ws.drop(f"{name}-{at - 1}")
         now = after
-        # A star forest is a fixed point; equal counts and sums of hashes tell that nothing moved.
-        new = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if new == mark:
+        if _is_star_forest(now):
             roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
-        mark = new
+
+
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every node is either a root or has one link, to a root; then each component is one star."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("down")))).alias("e"))
+    seen = ends.select("e.*").groupBy("x").agg(F.sum("down").alias("links"), F.min("down").alias("root"))
+    wrong = F.when((F.col("links") > 1) | ((F.col("links") > 0) & (F.col("root") == 0)), 1)
+    return seen.agg(F.count(wrong)).first()[0] == 0

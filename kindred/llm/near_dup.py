@@ -3,9 +3,8 @@
 1. Every whole text becomes its set of distinct word shingles (64-bit hashes).  Rows with equal sets are one *node*.
 2. ``bands * rows`` minima of universal hashes ``a * x + b`` give ``bands`` keys; with 48 bands of 6 rows a pair at
    similarity 0.8 shares none with probability 5e-7.
-3. Nodes that share a key are tested without listing the pairs of a bucket.  In a few rounds each bucket picks a pivot;
-   members of another component than the pivot's are tested against it and the links are merged into components.  What
-   is still split afterwards is tested exactly.  A node against a component of two or more: the full sets of both sides
+3. Nodes that share a key are tested without listing the pairs of a bucket.  Each bucket's members are tested against its
+   smallest one, and the links are merged into components.  What is still split afterwards is tested exactly.  A node against a component of two or more: the full sets of both sides
    meet in chunks of bounded size, and a chunk reports one link a node at most.  Single nodes of a bucket among
    themselves: their signatures meet in chunks, and pairs that pass go on to step 4.  Pairs inside one component need no
    test, since they can't change the result.
@@ -32,8 +31,6 @@ from kindred.llm.workspace import Workspace
 BANDS, ROWS = 48, 6
 #: Text bytes for which signatures are made at a time, so that the arrays stay in the processor's cache.
 _BLOCK = 1 << 18
-#: Rounds in which buckets are tested against a pivot.
-PIVOT_ROUNDS = 2
 #: Shingles, and signatures, of a side that meet in one chunk.
 CHUNK_SHINGLES, CHUNK_NODES = 200_000, 512
 _NODE = ["fp1", "fp2", "n"]
@@ -182,20 +179,16 @@ def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
 
-def _links_to_components(ws: Workspace, placed: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
+def _links_to_components(ws: Workspace, placed: DataFrame, of: DataFrame, sized: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
     """Links of nodes to components of two or more, of which they met a member in a bucket; the smaller side is the node's."""
-    of = placed.select("node", "n", "c").distinct()
-    sized = of.groupBy("c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
-    sized = ws.save(sized, "sized")
-    ranked = ws.save(placed.join(sized.select("c", "m"), "c"), "ranked")
-    big = ws.save(ranked.where("m > 1").select("key", F.col("c").alias("bc"), F.col("m").alias("bm")).distinct(), "big")
-    met = ranked.join(big, "key").where("c <> bc AND (m < bm OR (m = bm AND c < bc))").select("node", "n", F.col("bc").alias("c")).distinct()
+    big = ws.save(placed.where("m > 1").select("key", F.col("c").alias("bc"), F.col("m").alias("bm")).distinct(), "big")
+    met = placed.join(big, "key").where("c <> bc AND (m < bm OR (m = bm AND c < bc))").select("node", "n", F.col("bc").alias("c")).distinct()
     met = ws.save(met, "met")
     plan = met.groupBy("c").agg(F.sum("n").alias("asking")).join(sized, "c")
     plan = ws.save(plan.select("c", _chunks("asking", CHUNK_SHINGLES).alias("asks"), _chunks("total", CHUNK_SHINGLES).alias("has")), "plan")
     own = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
     asking = met.join(plan, "c").select("c", own("asks").alias("a"), _every("has").alias("h"), F.lit(1).alias("asks"), "node")
-    having = of.join(plan, "c").select("c", _every("asks").alias("a"), own("has").alias("h"), F.lit(0).alias("asks"), "node")
+    having = of.drop("m").join(plan, "c").select("c", _every("asks").alias("a"), own("has").alias("h"), F.lit(0).alias("asks"), "node")
     meet = asking.union(having).join(candidates.select("node", "members"), "node")
     meet = meet.repartition("c", "a", "h").sortWithinPartitions("c", "a", "h", "asks")
 
@@ -228,8 +221,7 @@ def _links_to_components(ws: Workspace, placed: DataFrame, candidates: DataFrame
 
 def _likely_singles(ws: Workspace, placed: DataFrame, candidates: DataFrame, percent: int, count: int) -> DataFrame:
     """Pairs of nodes without links so far that share a bucket of three or more, and whose signatures don't rule them out."""
-    sized = placed.select("node", "c").distinct().groupBy("c").agg(F.count(F.lit(1)).alias("m")).where("m = 1").select("c")
-    alone = ws.save(placed.join(sized, "c").select("key", "node"), "alone")
+    alone = placed.where("m = 1").select("key", "node")
     crowds = placed.groupBy("key").agg(F.count(F.lit(1)).alias("all")).where("all > 2").select("key")
     crowds = alone.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").join(crowds, "key")
     crowds = ws.save(crowds.select("key", _chunks("m", CHUNK_NODES).alias("chunks")), "crowds")
@@ -287,20 +279,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, bands:
 
     pairs = members.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
     found = connected_components(verify(pairs, "links-0"), ws, "cc-0")
-    for k in range(1, PIVOT_ROUNDS + 1):
-        placed = members.join(found.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-        placed = ws.save(placed, f"placed-{k}")
-        if k < PIVOT_ROUNDS:
-            pivot = F.min_by(F.struct(F.col("node").alias("p"), F.col("c").alias("pc")), F.struct(F.xxhash64("node", F.lit(k)), F.col("node")))
-            hubs = placed.groupBy("key").agg(pivot.alias("x"), F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("key", "x.p", "x.pc")
-            hubs = ws.save(hubs, f"hubs-{k}")
-            outside = placed.join(hubs, "key").where("c <> pc")
-            more = verify(outside.select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct(), f"links-{k}")
-        else:
-            single = verify(_likely_singles(ws, placed, candidates, percent, bands * rows), "links-single")
-            more = single.union(_links_to_components(ws, placed, candidates, percent))
-        links = ws.save(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), f"merged-{k}")
-        found = connected_components(links, ws, f"cc-{k}")
+    of = candidates.select("node", "n").join(found.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    of = ws.save(of, "of")
+    sized = ws.save(of.groupBy("c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")), "sized")
+    of = ws.save(of.join(sized.select("c", "m"), "c"), "of-sized")
+    placed = ws.save(members.select("key", "node").join(of, "node"), "placed")
+    single = verify(_likely_singles(ws, placed, candidates, percent, bands * rows), "links-single")
+    more = single.union(_links_to_components(ws, placed, of, sized, candidates, percent))
+    links = ws.save(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), "merged")
+    found = connected_components(links, ws, "cc-1")
     named = nodes.join(found, "node", "left").select(*_NODE, "lead", F.coalesce("component", "node").alias("c"))
     named = ws.save(named, "named")
     least = named.groupBy("c").agg(F.min("lead").alias("component_id"))
