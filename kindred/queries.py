@@ -69,15 +69,17 @@ def normalize_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def string_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     escaped = F.translate(F.translate("p_name", "|", "!"), '"', "'")
-    return parts.select("p_partkey", text.count_char(F.col("p_name"), "a").alias("n_a"), F.translate("p_type", ":", " ").alias("colonless"), escaped.alias("escaped"), text.extract_group(F.col("p_brand"), r"(\d+)", 1).alias("digits"))
+    return parts.select("p_partkey", text.count_char(F.col("p_name"), "a").cast("long").alias("n_a"), F.translate("p_type", ":", " ").alias("colonless"), escaped.alias("escaped"), text.extract_group(F.col("p_brand"), r"(\d+)", 1).alias("digits"))
 
 
 def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return titles(spark, sf_dir).select("doc_id", F.explode(text.gram_offsets(text.search_text(F.col("title")))).alias("g")).select("doc_id", "g.term", "g.start", "g.end")
+    norm = titles(spark, sf_dir).select("doc_id", text.search_text(F.col("title")).alias("norm"))
+    return norm.select("doc_id", F.explode(text.gram_offsets(F.col("norm"))).alias("g")).select("doc_id", "g.term", F.col("g.start").cast("long").alias("start"), F.col("g.end").cast("long").alias("end"))
 
 
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = titles(spark, sf_dir).select("doc_id", F.explode(text.query_grams(text.search_text(F.col("title")))).alias("term"))
+    norm = titles(spark, sf_dir).select("doc_id", text.search_text(F.col("title")).alias("norm"))
+    grams = norm.select("doc_id", F.explode(text.query_grams(F.col("norm"))).alias("term"))
     return grams.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("qf"))
 
 
@@ -87,7 +89,7 @@ def term_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = index.shape_documents(document_records(spark, sf_dir), SCHEMA)
-    return docs.select("seq", "id", "id_raw", "database", "database_raw", "title", "title_raw", "lang", "lang_raw", "db_id", "dl")
+    return docs.select("seq", "id", "id_raw", "database", "database_raw", "title", "title_raw", "lang", "lang_raw", "db_id", F.col("dl").cast("long").alias("dl"))
 
 
 def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +103,7 @@ def _document_index(spark: SparkSession, sf_dir: str, schema: MatchSchema = SCHE
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = records.with_fields(benchmark_records(spark, sf_dir), SCHEMA, "q_")
     ranked = match.ranked_candidates(queries, _document_index(spark, sf_dir))
-    return ranked.select(F.col("qtid").alias("item_id"), F.col("did").alias("doc_id"), "rank", F.round(F.col("score").cast("double"), 3).alias("score"))
+    return ranked.select(F.col("qtid").alias("item_id"), F.col("did").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round(F.col("score").cast("double"), 3).alias("score"))
 
 
 def dice_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
