@@ -24,12 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, title, lang, source``: the first line of each document's text."""
+    """``doc_id, title, lang, source``: the first line of each document's text, which is what ``SQL`` states."""
     return table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", 2)[0].alias("title"), "lang", "source")
 
 
-def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = titles(spark, sf_dir)
+def whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``titles`` with the whole text as title, on one line as a record needs it."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.translate("text", "\r\n", "  ").alias("title"), "lang", "source")
+
+
+def document_records(spark: SparkSession, sf_dir: str, shown: Callable[[SparkSession, str], DataFrame] = titles) -> DataFrame:
+    docs = shown(spark, sf_dir)
     return docs.select(F.col("doc_id").alias("seq"), F.array("source", F.col("doc_id").cast("string"), "title", "lang").alias("fields"))
 
 
@@ -115,7 +120,7 @@ def dice_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ngram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    norm = titles(spark, sf_dir).select("doc_id", text.search_text(F.col("title")).alias("a"))
+    norm = whole_texts(spark, sf_dir).select("doc_id", text.search_text(F.col("title")).alias("a"))
     other = norm.select((F.col("doc_id") + 1).alias("doc_id"), F.col("a").alias("b"))
     return norm.join(other, "doc_id").select("doc_id", F.round(similarity.ngram_similarity(F.col("a"), F.col("b")).cast("double"), 5).alias("similarity"))
 
@@ -200,7 +205,7 @@ def line_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def adjacent_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = titles(spark, sf_dir).select(F.col("doc_id").alias("seq"), F.col("title").alias("line"))
+    docs = whole_texts(spark, sf_dir).select(F.col("doc_id").alias("seq"), F.translate("title", "|", " ").alias("line"))
     return tools.adjacent_similarity(docs).withColumn("dist", F.round(F.col("dist").cast("double"), 5))
 
 
@@ -257,7 +262,8 @@ def html_unescape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _matches(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return match.match(document_records(spark, sf_dir), _document_index(spark, sf_dir), **options)
+    docs = document_records(spark, sf_dir, whole_texts)
+    return match.match(docs, index.build_index(docs, SCHEMA), **options)
 
 
 def dedup_match(spark: SparkSession, sf_dir: str) -> DataFrame:
