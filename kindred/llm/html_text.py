@@ -3,8 +3,8 @@
 One pass over the markup builds the tree of block elements; elements that never hold an article (menus, page headers,
 footers, sidebars, forms, scripts, adverts, notices, reader comments) are left out.  Paragraphs pass points for length
 and commas to their ancestors, half as much a level further up; a container's points are discounted by its share of link
-text.  The best container is taken (an ``article`` or ``main`` around it takes its place), with those siblings that
-score well or are long and hardly linked.
+text.  The best container is taken (an ``article`` or ``main`` around it takes its place), with headings before it and those
+siblings that score well or are long and hardly linked.
 
 Defined cases: a null or empty page, and one without article text, give an empty text.  A tag or comment that is cut
 off at the end of the page is markup, not text.  Unclosed and misnested tags are closed where a browser would.  Repeated
@@ -209,13 +209,8 @@ def extract(page: str | None) -> str:
         return ""
     seen = _Page(page)
     for node, text, linked in seen.blocks:
-        up: _Node | None = node
-        for _ in range(LEVELS + 2):
-            if up is None:
-                break
-            up.chars += len(text)
-            up.linked += linked
-            up = up.parent
+        node.chars += len(text)
+        node.linked += linked
         holder = node.parent if node.tag in PARAGRAPHS and node.parent is not None else node
         points = 1 + text.count(",") + min(len(text) / 100, 3.0) if len(text) >= MIN_CHARS else 0.0
         for _ in range(LEVELS):
@@ -224,6 +219,10 @@ def extract(page: str | None) -> str:
             holder.score += points
             points /= 2
             holder = holder.parent
+    for node in reversed(seen.nodes):  # children come after their parents
+        if node.parent is not None:
+            node.parent.chars += node.chars
+            node.parent.linked += node.linked
     for node in seen.nodes:
         if node.tag in ("article", "main") and not node.dropped and node.chars:
             node.score += CONTENT_POINTS
@@ -236,13 +235,14 @@ def extract(page: str | None) -> str:
     up = best
     while up is not None and up.tag not in ("article", "main"):
         up = up.parent
-    tops = [up or best]
-    if up is None and best.parent is not None:
+    top = up or best
+    tops = [top]
+    if top.parent is not None:
         floor = max(1.0, SIBLING_SHARE * best.score)
         for x in seen.nodes:
-            if x.parent is best.parent and x is not best and not x.dropped and x.chars:
+            if x.parent is top.parent and x is not top and not x.dropped and x.chars:
                 loose = x.linked / x.chars
-                heading = x.tag in ("h1", "h2", "hgroup") and x.at < best.at
+                heading = x.tag in ("h1", "h2", "hgroup") and x.at < top.at
                 if heading or x.score >= floor or (x.chars >= SIBLING_CHARS and loose < SIBLING_LINKS):
                     tops.append(x)
     return "\n".join(text for node, text, _ in seen.blocks if any(_inside(node, t) for t in tops))

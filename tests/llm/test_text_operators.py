@@ -92,6 +92,19 @@ def test_main_text(page, text):
     assert html_text.extract(page) == text
 
 
+LONG = "A sentence, with commas, that is long enough to count as a paragraph of the main text."
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<article><p>{LONG}</p></article><article><p>{LONG} B</p></article>", f"{LONG}\n{LONG} B"),
+    (f"<main><article><p>{LONG}</p></article><article><p>{LONG} B</p></article></main>", f"{LONG}\n{LONG} B"),
+    (f"<h1>T</h1><article><p>{LONG}</p></article><article><a href=1>teaser</a></article>", f"T\n{LONG}"),
+    (f"<article><p>{LONG * 9}</p></article><div>{'<div>' * 9}{LONG}{'</div>' * 9}</div>", f"{LONG * 9}\n{LONG}"),
+])
+def test_siblings_of_an_article(page, text):
+    assert html_text.extract(page) == text
+
+
 def test_pages_keep_other_columns(spark):
     rows = [(1, "u", "<p>é</p>", "clash"), (1, "u", "<p>é</p>", "clash"), (2, None, None, None)]
     got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).orderBy("page_id").collect()
