@@ -1,7 +1,9 @@
 """HTML extraction by tree scoring.
 
 One pass over the markup builds the tree of block elements; elements that never hold an article (menus, page headers,
-footers, sidebars, forms, scripts, adverts, notices, reader comments) are left out.  Paragraphs pass points for length
+footers, sidebars, forms, scripts, adverts, notices, reader comments) are left out.  A class or id that names such a part
+is only a hint: an element that it names stays if the page's article lies in it, or most of the article's text, as names
+like ``has-sidebar`` are given to wrappers.  Paragraphs pass points for length
 and commas to their ancestors, half as much a level further up; a container's points are discounted by its share of link
 text.  The best container is taken (an ``article`` or ``main`` around it takes its place), with headings before it and those
 siblings that score well or are long and hardly linked.
@@ -44,6 +46,9 @@ UNWANTED = {
     "popup", "promo", "promotion", "related", "replies", "respond", "share", "sharing", "sidebar", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar",
     "widget",
 }
+COMMENTS = {"comment", "comments", "disqus", "replies", "respond"}
+#: A name with such a word before or after it tells of a state, not of a part of the page.
+_STATE = re.compile(r"(?<![a-z])(?:has|no|not|with|without)[-_]+[a-z]+|[a-z]+[-_]+(?:enabled|disabled)(?![a-z])")
 ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search", "toolbar"}
 #: An opening tag closes open elements of these kinds, up to the nearest element of the second set.
 IMPLIED = {
@@ -58,31 +63,48 @@ SIBLING_SHARE, SIBLING_CHARS, SIBLING_LINKS = 0.2, 80, 0.25
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "dropped", "score", "chars", "linked", "end", "at")
+    __slots__ = ("tag", "parent", "dropped", "named", "depth", "weight", "score", "chars", "linked", "end", "at")
 
-    def __init__(self, tag: str, parent: _Node | None, dropped: bool, at: int) -> None:
-        self.tag, self.parent, self.dropped, self.at = tag, parent, dropped, at
-        self.score, self.chars, self.linked, self.end = 0.0, 0, 0, at
+    def __init__(self, tag: str, parent: _Node | None, dropped: bool, named: int, at: int) -> None:
+        self.tag, self.parent, self.dropped, self.named, self.at = tag, parent, dropped, named, at
+        self.depth = (parent.depth if parent else 0) + (named > 0)  # elements around the text that are named as unwanted
+        self.weight, self.score, self.chars, self.linked, self.end = 0.0, 0.0, 0, 0, at
 
 
-def _unwanted(tag: str, attributes: str) -> bool:
+#: What an element's tag and attributes say of it: nothing, that its name may, that its name does, that it surely is unwanted.
+WANTED, HINTED, NAMED, UNFIT = range(4)
+
+
+def _unwanted(tag: str, attributes: str) -> int:
     if tag in DROPPED:
-        return True
+        return UNFIT
     if not attributes or tag in NEVER_BY_NAME:
-        return False
+        return WANTED
     found = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(attributes)}
     if found.get("role", "").lower() in ROLES or found.get("aria-hidden", "").lower() == "true":
-        return True
+        return UNFIT
     if re.search(r"display\s*:\s*none", found.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes):
-        return True
-    return not UNWANTED.isdisjoint(_TOKEN.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
+        return UNFIT
+    names = _STATE.sub(" ", f"{found.get('class', '')} {found.get('id', '')}".lower())
+    words = UNWANTED.intersection(_TOKEN.findall(names))
+    if not words:
+        return WANTED
+    return HINTED if words.isdisjoint(names.split()) and words.isdisjoint(COMMENTS) else NAMED
+
+
+def _inside(node: _Node, top: _Node) -> bool:
+    return top.at <= node.at < top.end
+
+
+def _points(text: str) -> float:
+    return 1 + text.count(",") + min(len(text) / 100, 3.0) if len(text) >= MIN_CHARS else 0.0
 
 
 class _Page:
     """Blocks of text with their elements, in page order."""
 
     def __init__(self, text: str) -> None:
-        self.root = _Node("#", None, False, 0)
+        self.root = _Node("#", None, False, WANTED, 0)
         self.nodes, self.stack, self.open = [self.root], [self.root], {}
         self.blocks: list[tuple[_Node, str, int]] = []
         self.pieces: list[str] = []
@@ -91,6 +113,32 @@ class _Page:
         self._flush()
         for node in self.stack:
             node.end = len(self.nodes)
+        if any(node.named for node in self.nodes):
+            self._drop_named()
+
+    def _drop_named(self) -> None:
+        """Drops the elements that are named as unwanted, except those around the article or most of its text."""
+        plain = 0.0
+        for node, text, linked in self.blocks:
+            own = _points(text) * max(0.0, 1 - linked / len(text)) + len(text) / 1000
+            node.weight += own
+            plain += 0.0 if node.depth else own
+        for node in reversed(self.nodes):
+            if node.parent is not None:
+                node.parent.weight += node.weight
+        articles = [x for x in self.nodes if x.tag in ("article", "main") and x.weight]
+        least = min((x.depth for x in articles), default=0)
+        articles = [x for x in articles if x.depth == least]
+        most = max((x.weight for x in articles), default=0.0)
+        scope = self.root
+        if articles and (not least or most > plain):  # each reader's comment may be an article
+            heavy = next(x for x in articles if x.weight == most)
+            scope = [x for x in articles if _inside(x, heavy) and x.weight > most / 2][-1]
+        for node in self.nodes:
+            around = _inside(scope, node)
+            holds = node.named == HINTED and _inside(node, scope) and 2 * node.weight > scope.weight
+            node.dropped = node.dropped or bool(node.parent and node.parent.dropped) or bool(node.named and not around and not holds)
+        self.blocks = [b for b in self.blocks if not b[0].dropped]
 
     def _flush(self) -> None:
         if self.pieces:
@@ -134,7 +182,8 @@ class _Page:
         if tag in VOID:
             return
         parent = self.stack[-1]
-        node = _Node(tag, parent, parent.dropped or _unwanted(tag, attributes), len(self.nodes))
+        named = WANTED if parent.dropped else _unwanted(tag, attributes)
+        node = _Node(tag, parent, parent.dropped or named == UNFIT, named % UNFIT, len(self.nodes))
         self.nodes.append(node)
         self.open[tag] = self.open.get(tag, 0) + 1
         if not attributes.endswith("/") or tag != "svg":
@@ -199,10 +248,6 @@ class _Page:
                 inline.append((name, len(self.stack)))
 
 
-def _inside(node: _Node, top: _Node) -> bool:
-    return top.at <= node.at < top.end
-
-
 def extract(page: str | None) -> str:
     """The main text of one page, blocks joined by line feeds."""
     if not page:
@@ -212,7 +257,7 @@ def extract(page: str | None) -> str:
         node.chars += len(text)
         node.linked += linked
         holder = node.parent if node.tag in PARAGRAPHS and node.parent is not None else node
-        points = 1 + text.count(",") + min(len(text) / 100, 3.0) if len(text) >= MIN_CHARS else 0.0
+        points = _points(text)
         for _ in range(LEVELS):
             if holder is None or not points:
                 break

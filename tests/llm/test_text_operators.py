@@ -105,6 +105,14 @@ def test_siblings_of_an_article(page, text):
     assert html_text.extract(page) == text
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "no-comments", "with-header", "post-share-enabled", "wide-menu", "sidebar"])
+def test_wrappers_named_like_unwanted_parts(name):
+    rest = f"<div class=sidebar><p>{LONG} S</p></div><div id=comments><p>{LONG * 9}</p></div>"
+    assert html_text.extract(f"<div class='{name}'><article><p>{LONG}</p></article>{rest}</div>") == LONG
+    assert html_text.extract(f"<div id=content class='{name}'><p>{LONG * 3}</p>{rest.replace(LONG * 9, LONG)}</div>") == (LONG * 3 if name != "sidebar" else "")
+    assert html_text.extract(f"<div><p>{LONG * 2}</p></div><div id=comments class='{name}'><article><p>{LONG}</p></article></div>") == LONG * 2
+
+
 def test_pages_keep_other_columns(spark):
     rows = [(1, "u", "<p>é</p>", "clash"), (1, "u", "<p>é</p>", "clash"), (2, None, None, None)]
     got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).orderBy("page_id").collect()
