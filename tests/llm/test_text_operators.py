@@ -227,6 +227,23 @@ def test_pseudonyms_keep_the_format(kind, value):
     assert other != new
 
 
+@pytest.mark.parametrize("value", ['TOKEN = "9233A8EC77b01f3e"', "API_KEY=c0e3bbbbd010ec765f", "Password: c0e3bbbbd010ec765f", "12 MARCH 2021", "march 3, 2020"])
+def test_key_words_and_months_in_any_case(value):
+    text, kinds = pseudonyms.Pseudonyms().text(value)
+    assert len(kinds) == 1 and text != value and text.isupper() == value.isupper() and text.islower() == value.islower()
+    assert pseudonyms.Pseudonyms().text(f"\u0130\u0130 \u212a {value}") == (f"\u0130\u0130 \u212a {text}", kinds)
+
+
+@pytest.mark.parametrize("size", [200, 256, 257, 2000])
+def test_long_credentials_are_replaced_to_their_end(size):
+    value = ("aB3+" * size)[:size]
+    new, kinds = pseudonyms.Pseudonyms().text(f"token={value} end")
+    new = new.removeprefix("token=").removesuffix(" end")
+    assert kinds == ["credential"] and len(new) == size and sum(a == b for a, b in zip(new.replace("+", ""), value.replace("+", ""))) < size / 5
+    other, _ = pseudonyms.Pseudonyms().text(f"token=c{value[1:]} end")
+    assert other != f"token={new} end" and (size <= 256 or other[6 + 256 : 6 + size] != new[256:])
+
+
 def test_equal_values_stay_linked_and_lookalikes_stay():
     made = pseudonyms.Pseudonyms()
     digits = lambda x: re.sub(r"\D", "", made.text(x)[0])
