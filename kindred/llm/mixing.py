@@ -5,7 +5,8 @@
 2. The mix has a number of blocks of ``block_words`` words.  Each block goes to the source with the highest quotient
    ``target / (2 * seats + 1)``; seats far below the quota are certain, so only quotients near it are ranked.
 3. Documents are dealt to shards by a seeded hash.  In the same way each source's blocks go to its shards, by the words
-   that a shard has of it, and never more than ``cap`` times those words.
+   that a shard has of it, and never more than ``cap`` times those words.  What no shard could take in whole blocks is
+   handed out in words; a capped source gives all its words ``cap`` times.
 4. In each shard the documents of a source lie one after the other in a seeded order and are cut into blocks.  A quota
    takes the shard's blocks as often as it holds them whole, and then its first blocks once more.
 
@@ -90,7 +91,13 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, cap: int = CAP, seed:
     cells = dealt.groupBy("source", "shard").agg(F.sum("size").alias("cell")).withColumnRenamed("source", "_s")
     cells = cells.join(sources, F.col("_s").eqNullSafe(F.col("source"))).drop("_s").withColumn("_most", F.floor(F.col("cell") * cap / block_words))
     quotas = ws.save(apportioned(cells, ["source", "blocks"], "blocks", "cell", "_most", ["source", "shard"]), "cells")
-    quotas = quotas.select(F.col("source").alias("_s"), F.col("shard").alias("_h"), "cell", "source_size", "target", (F.col("quota") * block_words).alias("words"))
+    given, most = F.col("quota") * block_words, F.col("source_size") * cap
+    room = F.col("cell") * cap - given
+    goal = F.when(F.col("target") >= most, most).otherwise(F.least(F.col("blocks") * block_words, most))
+    own = Window.partitionBy("source")
+    lost = goal - F.sum(given).over(own) - F.coalesce(F.sum(room).over(own.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    words = given + F.greatest(F.least(room, lost), F.lit(0))
+    quotas = quotas.select(F.col("source").alias("_s"), F.col("shard").alias("_h"), "cell", "source_size", "target", words.alias("words"))
 
     lined = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = dealt.withColumn("_end", F.sum("size").over(lined))

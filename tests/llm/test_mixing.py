@@ -41,6 +41,15 @@ def test_targets_and_taken(spark):
         assert abs(taken[s] - want[s]) <= 0.02 * want[s] + 20 * mixing.BLOCK_WORDS, s
 
 
+def test_small_sources_meet_their_targets_in_many_shards(spark):
+    rows = [(i, "a", "w " * 17) for i in range(200)] + [(1_000 + i, "b", "w " * 5) for i in range(200)]
+    taken = lambda rows: {r.doc_id: r for r in mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string, text string"), shard_words=20).collect()}
+    near = [r for r in taken(rows).values() if r.source_size == 1_000]  # its target is just below the cap
+    assert abs(sum(r.taken for r in near) - near[0].target) <= mixing.BLOCK_WORDS and all(r.taken <= 3 * r.size for r in near)
+    rows += [(5_000, "c", "w " * 10), (5_001, "d", "w " * 4)] + [(6_000 + i, None, "w w") for i in range(40)]
+    assert all(r.taken == r.size * 3 for d, r in taken(rows).items() if d >= 5_000)
+
+
 def test_quotas_are_highest_quotients(spark):
     shares = {f"s{i}": 10 + i * i * 37 % 900 for i in range(25)}
     for seats in (0, 1, 7, 100, 1003):
