@@ -129,7 +129,7 @@ def _parse(data: bytes) -> tuple[dict[str, str], bytes, int] | None:
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise _Bad("length does not fit")
     block = data[start:stop]
-    if (want := headers.get("warc-block-digest")) and want.startswith("sha1:") and want != _digest(block):
+    if (want := headers.get("warc-block-digest")) and want.startswith("sha1:") and _hex(want) != _hex(_digest(block)):
         raise _Bad("block digest differs")
     return headers, block, stop + 4
 
@@ -277,7 +277,7 @@ def read_archives(names: DataFrame, folder: str, payloads: bool = True) -> DataF
             h = x.headers
             body, stated = http_payload(x.block)
             kind = h.get("warc-type")
-            if kind == "response" and h.get("warc-payload-digest", _digest(body)) != _digest(body):
+            if kind == "response" and "warc-payload-digest" in h and _hex(h["warc-payload-digest"]) != _hex(_digest(body)):
                 yield (name, x.offset, x.length, "payload digest differs", *[None] * 7)
                 continue
             size = stated if kind == "revisit" and stated is not None else len(body)

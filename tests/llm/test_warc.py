@@ -1,3 +1,4 @@
+import hashlib
 import io
 import random
 
@@ -45,6 +46,16 @@ def test_salvage_recovers_everything_but_the_damaged_record():
                 assert sum(x.length for x in found) == sum(map(len, bad))
 
 
+def test_digests_in_hexadecimal():
+    record = _records(1)[0]
+    block = _read(record)[0].block
+    for digest in (hashlib.sha1(block).hexdigest(), hashlib.sha1(block).hexdigest().upper()):
+        stated = record.replace(warc._digest(block).encode(), f"sha1:{digest}".encode())
+        assert stated != record and [type(x) for x in _read(stated)] == [warc.Record]
+    wrong = record.replace(warc._digest(block).encode(), b"sha1:" + b"0" * 40)
+    assert [type(x) for x in _read(wrong)] == [warc.Gap]
+
+
 def test_empty_and_garbage_archives():
     assert _read(b"") == []
     assert _read(b"x" * 200_000) == [warc.Gap(0, 200_000, "no version line")]
