@@ -29,6 +29,7 @@ def test_stages_apply_their_decisions(spark, tmp_path):
         stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"out{k}"))
         docs = spark.read.parquet(str(tmp_path / f"out{k}"))
         assert name == "mix" or docs.columns == columns
+        assert name != "mix" or docs.columns == [*columns, "size", "source_size", "target", "taken", "copy"]
         seen[name] = {r.doc_id: r for r in docs.collect()}
     clean = set(range(240)) | {4000}
     assert set(seen["toxicity"]) == clean | set(range(2000, 2030)) | {3000, 5000, 5001}
@@ -37,6 +38,10 @@ def test_stages_apply_their_decisions(spark, tmp_path):
     assert set(seen["pseudonyms"]) == clean | {5000, 5001}
     assert "some.one@" not in seen["pseudonyms"][4000].text and seen["pseudonyms"][4000].n_chars == len(seen["pseudonyms"][4000].text)
     assert set(seen["mix"]) <= clean and all(0 < r.taken <= 3 * r.size for r in seen["mix"].values())
-    got = {r.doc_id: r.taken for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert got == {d: r.taken for d, r in seen["mix"].items()}
+    got, words = corpus_pipeline.run(spark, str(tmp_path)).collect(), {}
+    for r in got:
+        whole = seen["pseudonyms"][r.doc_id]
+        assert whole.text.startswith(r.text) and (r.lang, r.source, r.n_chars) == (whole.lang, whole.source, len(r.text)) and "some.one@" not in r.text
+        words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
+    assert words == {d: r.taken for d, r in seen["mix"].items()} and len(got) > len(words)
     assert corpus_pipeline.ORACLE_SQL is None
