@@ -33,8 +33,9 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, and how many of their words."""
-    return mixing.mixed(docs).where("taken > 0")
+    """The corpus: a row for each time that the mix takes a document, with the text that it takes then, and the figures of the mix."""
+    out = mixing.mixture(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 STAGES = [
