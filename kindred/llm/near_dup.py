@@ -12,8 +12,9 @@
    on the two full sets otherwise.
 
 Defined cases: a null or blank text has an empty set, links to nothing and is its own component; a text of fewer words
-than a shingle is one shingle.  Rows that repeat a doc_id are judged by their own text.  A null doc_id is never the
-smallest of a component unless all are null.  An empty table gives an empty result; other columns are not read.
+than a shingle is one shingle.  Rows that repeat a doc_id are judged by their own text, and rows without a doc_id like all others.  A null
+doc_id is never the smallest of a component unless all are null.  An empty table gives an empty result.  Other columns are
+not read by :func:`near_duplicates`; :func:`deduplicated` returns them as they are.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ BANDS, ROWS = 48, 6
 #: Text bytes for which signatures are made at a time, so that the arrays stay in the processor's cache.
 _BLOCK = 1 << 18
 #: Shingles, and signatures, of a side that meet in one chunk.
-CHUNK_SHINGLES, CHUNK_NODES = 200_000, 512
+CHUNK_SHINGLES, CHUNK_NODES = 32_000, 512
 _NODE = ["fp1", "fp2", "n"]
 
 
@@ -63,7 +64,7 @@ def fingerprint(found: np.ndarray) -> tuple[int, int]:
 def _prints(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
+            own = [batch.column(c) for c in ("doc_id", "k1", "k2")]
             for a, b, data, offsets in blocks(batch.column("text"), _BLOCK):
                 sets = shingle_sets(hash_words(data, offsets), size)
                 full = [i for i, s in enumerate(sets) if len(s)]
@@ -79,8 +80,8 @@ def _prints(size: int, bands: int, rows: int):
                 has = np.isin(np.arange(len(sets)), full)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(bands * has)]), pa.int32()), pa.array(keys[full].ravel().view(np.int64)))
                 yield pa.record_batch(
-                    [ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), lists, pa.array([s.tobytes() for s in sketch], pa.binary())],
-                    names=["doc_id", "n", "fp1", "fp2", "bands", "sketch"],
+                    [*[c.slice(a, b - a) for c in own], pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), lists, pa.array([s.tobytes() for s in sketch], pa.binary())],
+                    names=["doc_id", "k1", "k2", "n", "fp1", "fp2", "bands", "sketch"],
                 )
 
     return run
@@ -254,24 +255,29 @@ def _likely_singles(ws: Workspace, placed: DataFrame, candidates: DataFrame, per
     return ws.save(meet.mapInArrow(run, "u long, v long").distinct(), "likely-single")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of each row of ``docs(doc_id, text)``."""
-    ws = Workspace(docs.sparkSession, "near-dup")
+def _row_keys() -> list[Column]:
+    """Two 64-bit hashes of a row's doc_id and text, which spread rows without a doc_id like all others."""
+    parts = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("text").isNull(), F.col("text")]
+    return [F.xxhash64(F.lit(k), *parts).alias(f"k{k}") for k in (1, 2)]
+
+
+def _grouped(docs: DataFrame, ws: Workspace, shingle: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """``doc_id, k1, k2, n, component_id`` and ``c`` (the component's number; null for empty sets) of each row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "text")
-    prints = ws.save(texts.mapInArrow(_prints(shingle, bands, rows), f"doc_id {kind}, n long, fp1 long, fp2 long, bands array<long>, sketch binary"), "prints")
-    nodes = prints.where("n > 0").groupBy(*_NODE).agg(F.min("doc_id").alias("lead"))
+    texts = docs.select("doc_id", "text", *_row_keys())
+    prints = ws.save(texts.mapInArrow(_prints(shingle, bands, rows), f"doc_id {kind}, k1 long, k2 long, n long, fp1 long, fp2 long, bands array<long>, sketch binary"), "prints")
+    nodes = prints.where("n > 0").groupBy(*_NODE).agg(F.min("doc_id").alias("lead"), F.min("k1").alias("k1"))
     nodes = ws.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    lead = prints.where("n > 0").select(F.col("doc_id").alias("lead"), *_NODE, "bands", "sketch")
-    leads = nodes.join(lead, [*_NODE, "lead"])
+    # A node's bands, signature and full set are taken from the row with its smallest key.
+    leads = nodes.join(prints.where("n > 0").select("k1", *_NODE, "bands", "sketch"), [*_NODE, "k1"])
     keyed = ws.save(leads.select("node", "n", F.explode("bands").alias("key")), "keyed")
     shared = ws.save(keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("key", "pivot"), "shared")
-    members = ws.save(keyed.join(shared, "key"), "members")
+    members = ws.save(keyed.join(shared, "key").dropDuplicates(["key", "node"]), "members")
     ws.drop("keyed", "shared")
     chosen = members.select("node").distinct()
-    chosen = leads.join(chosen, "node").select("node", "lead", *_NODE, "sketch")
-    sets = texts.join(chosen.select("node", "lead", "fp1", "fp2"), F.col("doc_id") == F.col("lead")).select("node", "fp1", "fp2", "text").mapInArrow(_full_sets(shingle), "node long, members binary")
+    chosen = leads.join(chosen, "node").select("node", "k1", *_NODE, "sketch")
+    sets = texts.join(chosen.select("node", "k1", "fp1", "fp2"), "k1").select("node", "fp1", "fp2", "text").mapInArrow(_full_sets(shingle), "node long, members binary")
     sets = ws.save(sets, "sets")
     candidates = ws.save(chosen.select("node", "n", "sketch").join(sets, "node").dropDuplicates(["node"]), "candidates")
     ws.drop("sets")
@@ -291,15 +297,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, bands:
     named = nodes.join(found, "node", "left").select(*_NODE, "lead", F.coalesce("component", "node").alias("c"))
     named = ws.save(named, "named")
     least = named.groupBy("c").agg(F.min("lead").alias("component_id"))
-    ids = ws.keep(named.join(least, "c").select(*_NODE, "component_id"))
-    out = prints.select("doc_id", *_NODE).join(ids, _NODE, "left")
+    ids = named.join(least, "c").select(*_NODE, "c", "component_id")
+    out = prints.select("doc_id", "k1", "k2", *_NODE).join(ids, _NODE, "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = ws.keep(out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept")))
+    return out.select("doc_id", "k1", "k2", "n", own.alias("component_id"), "c")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of each row of ``docs(doc_id, text)``."""
+    ws = Workspace(docs.sparkSession, "near-dup")
+    found = _grouped(docs, ws, shingle, percent, bands, rows)
+    out = ws.keep(found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept")))
     ws.drop("")
     return out
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are first of their group; a row that repeats both doc_id and text is kept once."""
-    kept = near_duplicates(docs, shingle, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """``docs`` with one row of each group (with its smallest doc_id); a row that repeats both doc_id and text is kept once.
+
+    Which rows stay is decided on their keys; texts are joined to those, and only keys that several rows share are sorted out.
+    """
+    ws = Workspace(docs.sparkSession, "near-dup")
+    found = ws.save(_grouped(docs, ws, shingle, percent, BANDS, ROWS), "grouped")
+    firsts = found.where(F.col("c").isNotNull() & F.col("component_id").eqNullSafe(F.col("doc_id")))
+    firsts = firsts.groupBy("c").agg(F.min("k1").alias("k1"), F.min_by("k2", "k1").alias("k2")).select("k1", "k2")
+    empty = found.where("c IS NULL").select("k1", "k2").distinct()
+    counts = found.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("k"))
+    keys = ws.keep(firsts.unionByName(empty).join(counts, ["k1", "k2"]))
+    ws.drop("")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_row_keys())
+    once = row.join(keys.where("k = 1").select("k1", "k2"), ["k1", "k2"])
+    again = row.join(keys.where("k > 1").select("k1", "k2"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    return once.select("row.*").unionByName(again.select("row.*"))

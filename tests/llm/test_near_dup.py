@@ -1,5 +1,7 @@
 import random
 import re
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,6 +10,7 @@ from kindred.llm import near_dup
 from kindred.llm.components import connected_components
 from kindred.llm.workspace import Workspace
 
+TABLE = "/root/testdata/sf0.01/documents.parquet"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -39,14 +42,17 @@ def brute(rows, size):
             x = parent[x]
         return x
 
-    for i in range(len(rows)):
-        for j in range(i):
-            common = len(sets[i] & sets[j])
-            if common and 100 * common >= 80 * len(sets[i] | sets[j]):
+    holders = {}
+    for i, own in enumerate(sets):
+        met = Counter(j for g in own for j in holders.get(g, ()))
+        for j, common in met.items():
+            if 100 * common >= 80 * (len(own) + len(sets[j]) - common):
                 parent[top(i)] = top(j)
+        for g in own:
+            holders.setdefault(g, []).append(i)
     least = {}
     for i, (d, _) in enumerate(rows):
-        least[top(i)] = min(d, least.get(top(i), d))
+        least[top(i)] = min((x for x in (d, least.get(top(i))) if x is not None), default=None)
     return sorted((d, len(sets[i]), least[top(i)], least[top(i)] == d) for i, (d, _) in enumerate(rows))
 
 
@@ -60,10 +66,28 @@ def test_components_equal_brute_force(spark, monkeypatch, chunks):
 
 
 def test_one_of_each_group_stays(spark):
-    text = " ".join(f"w{i}" for i in range(40))
-    rows = [(3, text, "x"), (1, text, "y"), (1, text, "y"), (2, "other words that stand alone here", "z"), (4, None, None), (None, "no id at all in this row", "n")]
-    got = near_dup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, kept string")).collect()
-    assert sorted(((r.doc_id or 0), r.kept) for r in got if r.doc_id != 4) == [(0, "n"), (1, "y"), (2, "z")] and len(got) == 4
+    text, other = " ".join(f"w{i}" for i in range(40)), "other words that stand alone here"
+    near = f"{text} more"
+    rows = [(3, text, "x"), (1, text, "y"), (1, text, "y"), (1, near, "y"), (2, other, "z"), (2, near, "z"), (4, None, None), (4, None, "twice"), (6, " ", None), (None, "no id at all in this row", "n"), (None, near, "n")]
+    got = near_dup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, k1 string").withColumnRenamed("k1", "row")).collect()
+    left = sorted((r.doc_id or 0, r.text or "") for r in got)
+    first = [x for x in left if x[0] == 1]
+    assert [x for x in left if x[0] != 1] == [(0, "no id at all in this row"), (2, other), (4, ""), (6, " ")] and len(first) == 1 and first[0][1] in (text, near)
+
+
+def test_rows_without_id_are_linked(spark):
+    words = [f"w{i}" for i in range(60)]
+    text, near = " ".join(words), " ".join([*words[:30], "changed", *words[31:]])
+    rows = [(1, text), (None, near), (None, "quite another text that nobody else has"), (None, "quite another text that nobody else has indeed"), (None, "z " * 50)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in got) == [(0, 1, 0, True), (0, 4, 0, True), (0, 5, 0, True), (0, 57, 1, False), (1, 57, 1, True)]
+
+
+@pytest.mark.skipif(not Path(TABLE).exists(), reason="needs the sample tables")
+def test_all_links_of_a_real_table_are_found(spark):
+    rows = [tuple(r) for r in spark.read.parquet(TABLE).select("doc_id", "text").collect()]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 4)
 
 
 def test_empty_table(spark):
