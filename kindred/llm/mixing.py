@@ -33,7 +33,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACED_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 BLOCK_WORDS, CAP, SEED = 16, 3, 20240
 #: Shards hold about so many words.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 250_000
 #: Quotients that may win are sorted into so many intervals; only those of one interval are ranked.
 INTERVALS = 1024
 
