@@ -6,31 +6,38 @@ look at it.  The seeds of the benchmark and of the training texts are joined on
 texts are compared word by word along the diagonal, and the longest stretch in which at least ``percent`` of the words
 agree is kept if it has ``min_words`` words, or spans the whole item where the item is shorter.
 
-The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words; each block is sent to the executors and all documents
-are read against it, so the size of the benchmark bounds only the number of passes.  A block holds whole items, one at
-least; an item of more words than that is cut into overlapping parts first.
+Hits are expanded in slices of at most ``SLICE`` and merged to diagonals at once, so texts and items that repeat a word
+thousands of times take no more memory than their diagonals (the words of both).  Where a seed meets more pairs of places than that, the
+diagonals are marked by shifting the places of the text once for each place in the item.
+
+The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words; each block is sent to the executors.  Documents are read once: rows
+are held until their texts have ``HELD_BYTES``, and every block is read for them in turn, so the memory of a task is bounded by one
+block and the held rows.  A block holds whole items, one at least; an item of more words than that is cut into overlapping parts first.
 
 Defined cases: null, empty or too short texts (fewer words than the shortest mask) match nothing; an item equal to
 another gives hits of its own; an empty benchmark leaves every document clean.  Every row is judged by its own
-text.  An empty table gives an empty result; other columns are carried along by :func:`decontaminated`.
+text.  An empty table gives an empty result; other columns, whatever their names, are carried along by :func:`decontaminated`.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from kindred.llm.words import blocks, hash_words, mix
-from kindred.llm.workspace import Workspace, ship
+from kindred.llm.workspace import Workspace, filesystem, ship
 
 #: Fixed masks; a document word at a 0 may differ.
 MASKS = ("11111", "1101011", "110010101", "1010100011", "1110011", "1001010011")
 MIN_WORDS, PERCENT = 13, 80
 BLOCK_WORDS = 200_000
+#: Hits that are expanded at a time, and text bytes of the rows that are held against all blocks (a longer row is held alone).
+SLICE, HELD_BYTES = 1 << 20, 64 << 20
 
 #: Bytes that end a word: all of ASCII but letters and digits.
 _BREAKS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
@@ -98,9 +105,53 @@ def longest_stretch(same: np.ndarray, percent: int) -> tuple[int, int]:
     return at, int(length[at])
 
 
-def matches(words: np.ndarray, first: np.ndarray, index: Index, min_words: int, percent: int) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """``(row, item, start in the text, start in the item, words, words that agree)`` for each overlap that counts."""
-    spots = []
+class _Diagonals:
+    """Distinct ``(row, item, shift)``, merged whenever many have come in."""
+
+    def __init__(self) -> None:
+        self.parts: list[np.ndarray] = []
+        self.size = self.merged = 0
+
+    def add(self, row: np.ndarray, item: np.ndarray, shift: np.ndarray) -> None:
+        part = np.stack([row, item, shift], axis=1)
+        self.parts.append(np.unique(part, axis=0) if len(part) > 1000 else part)
+        self.size += len(self.parts[-1])
+        if self.size > 2 * self.merged + SLICE:
+            self.all()
+
+    def all(self) -> np.ndarray:
+        if self.parts:
+            self.parts = [np.unique(np.concatenate(self.parts), axis=0)]
+            self.size = self.merged = len(self.parts[0])
+        return self.parts[0] if self.parts else np.zeros((0, 3), np.int64)
+
+
+def _crowded(found: _Diagonals, row: int, places: np.ndarray, low: int, high: int, index: Index) -> None:
+    """The diagonals of one seed that stands at ``places`` of a row and at the index's postings ``low`` to ``high``."""
+    items, starts = index.item[low:high], index.start[low:high]
+    span = int(places[-1]) + 1
+    text = np.zeros(span, dtype=bool)
+    text[places] = True
+    for item in np.unique(items).tolist():
+        own = starts[items == item]
+        most = int(own.max())
+        if len(own) <= len(places):
+            met = np.zeros(span + most, dtype=bool)
+            for p in own.tolist():
+                met[most - p : most - p + span] |= text
+        else:
+            marks = np.zeros(most + 1, dtype=bool)
+            marks[most - own] = True
+            met = np.zeros(span + most, dtype=bool)
+            for at in places.tolist():
+                met[at : at + most + 1] |= marks
+        shift = np.flatnonzero(met) - most
+        found.add(np.full(len(shift), row), np.full(len(shift), item), shift)
+
+
+def _diagonals(words: np.ndarray, first: np.ndarray, index: Index) -> np.ndarray:
+    """Sorted ``(row, item, shift)`` of all hits."""
+    found = _Diagonals()
     for m, mask in enumerate(MASKS):
         seeds = seeds_of(words, m)
         at = np.flatnonzero(index.table[seeds >> np.uint64(64 - _TABLE_BITS)])
@@ -109,15 +160,35 @@ def matches(words: np.ndarray, first: np.ndarray, index: Index, min_words: int,
         low, high = (np.searchsorted(index.seeds, seeds[at], side=s) for s in ("left", "right"))
         row = np.searchsorted(first, at, side="right") - 1
         good = (high > low) & (at + len(mask) <= first[row + 1])
-        at, low, count, row = at[good], low[good], (high - low)[good], row[good]
-        if not len(at):
-            continue
-        post = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        row, at = np.repeat(row, count), np.repeat(at, count)
-        spots.append(np.stack([row, index.item[post], at - first[row] - index.start[post]], axis=1))
-    if not spots:
-        return
-    for row, item, shift in np.unique(np.concatenate(spots), axis=0).tolist():
+        at, low, high, row = at[good], low[good], high[good], row[good]
+        count = high - low
+        if count.sum() > SLICE:  # hits of one row and seed lie together; those with many pairs are taken seed by seed
+            order = np.lexsort((at, low, row))
+            at, low, high, row, count = at[order], low[order], high[order], row[order], count[order]
+            begins = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (low[1:] != low[:-1])]))
+            ends = np.append(begins[1:], len(at))
+            pairs = (ends - begins) * count[begins]
+            light = np.ones(len(at), dtype=bool)
+            for a, b in zip(begins[pairs > 1 << 14].tolist(), ends[pairs > 1 << 14].tolist()):
+                _crowded(found, int(row[a]), at[a:b] - first[row[a]], int(low[a]), int(high[a]), index)
+                light[a:b] = False
+            at, low, row, count = at[light], low[light], row[light], count[light]
+        upto = np.cumsum(count)
+        begin = 0
+        while begin < len(at):
+            stop = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + SLICE, side="right")))
+            own = count[begin:stop]
+            post = np.repeat(low[begin:stop] - np.concatenate([[0], np.cumsum(own)[:-1]]), own) + np.arange(own.sum())
+            rows = np.repeat(row[begin:stop], own)
+            found.add(rows, index.item[post], np.repeat(at[begin:stop], own) - first[rows] - index.start[post])
+            begin = stop
+    return found.all()
+
+
+def matches(words: np.ndarray, first: np.ndarray, index: Index, min_words: int, percent: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """``(row, item, start in the text, start in the item, words, words that agree)`` for each overlap that counts."""
+    for row, item, shift in _diagonals(words, first, index):
+        row, item, shift = int(row), int(item), int(shift)
         size, length = int(index.first[item + 1] - index.first[item]), int(first[row + 1] - first[row])
         a, b = max(0, -shift), min(size, length - shift)
         mine = words[first[row] + shift + a : first[row] + shift + b]
@@ -182,44 +253,97 @@ def _scan(sent, min_words: int, percent: int, shape):
     return run
 
 
-def _mark(sent, min_words: int, percent: int, shape):
+class _Blocks:
+    """Indexes of a benchmark for the executors: one is broadcast; of more, each is a file that is read when its turn comes."""
+
+    def __init__(self, benchmark: DataFrame, block_words: int, min_words: int) -> None:
+        spark = benchmark.sparkSession
+        self.sent, self.paths, self.folder = None, [], Workspace(spark, "decontaminate").root
+        first = None
+        for ids, bodies in _item_blocks(benchmark, block_words, min_words):
+            made = build_index(ids, bodies)
+            if first is None:
+                first = made
+                continue
+            if not self.paths:
+                self._write(first)
+            self._write(made)
+        if first is not None and not self.paths:
+            self.sent = spark.sparkContext.broadcast(first)
+
+    def _write(self, made: Index) -> None:
+        store, root = filesystem(self.folder)
+        store.create_dir(root, recursive=True)
+        path = f"{root}/{len(self.paths)}"
+        with store.open_output_stream(path) as out:
+            out.write(pickle.dumps(made))
+        self.paths.append(path)
+
+    def __iter__(self) -> Iterator[Index]:
+        if self.sent is not None:
+            yield self.sent.value
+        for path in self.paths:
+            with filesystem(self.folder)[0].open_input_stream(path) as file:
+                yield pickle.loads(file.read())
+
+
+def _mark(indexes: _Blocks, text: str, min_words: int, percent: int, shape):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        index, arrow = sent.value, to_arrow_schema(shape)
+        arrow = to_arrow_schema(shape)
+        held: list[pa.RecordBatch] = []
+
+        def judged() -> Iterator[pa.RecordBatch]:
+            items = [[[] for _ in range(len(b))] for b in held]
+            longest = [np.zeros(len(b), np.int64) for b in held]
+            for index in indexes:
+                for k, batch in enumerate(held):
+                    for a, _, data, offsets in blocks(batch.column(text)):
+                        w = hash_words(data, offsets, _BREAKS)
+                        for row, item, _, _, n, _ in matches(w.hashes, w.first, index, min_words, percent):
+                            if index.ids[item] not in items[k][a + row]:
+                                items[k][a + row].append(index.ids[item])
+                            longest[k][a + row] = max(longest[k][a + row], n)
+            for batch, own, most in zip(held, items, longest):
+                cols = [batch.column(c) for c in arrow.names[:-2]]
+                yield pa.record_batch([*cols, pa.array([sorted(x) for x in own], arrow.field(len(arrow) - 2).type), pa.array(most, pa.int64())], schema=arrow)
+
+        size = 0
         for batch in batches:
-            items, longest = batch.column("_items").to_pylist(), batch.column("_longest").to_pylist()
-            for a, _, data, offsets in blocks(batch.column("text")):
-                w = hash_words(data, offsets, _BREAKS)
-                for row, item, _, _, n, _ in matches(w.hashes, w.first, index, min_words, percent):
-                    items[a + row] = sorted({*items[a + row], index.ids[item]})
-                    longest[a + row] = max(longest[a + row], n)
-            kept = [batch.column(c) for c in arrow.names[:-2]]
-            yield pa.record_batch([*kept, pa.array(items, arrow.field("_items").type), pa.array(longest, pa.int64())], schema=arrow)
+            held.append(batch)
+            size += batch.column(text).nbytes
+            if indexes.sent is not None or size >= HELD_BYTES:  # one block needs no held rows
+                yield from judged()
+                held, size = [], 0
+        if held:
+            yield from judged()
 
     return run
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with ``_items`` (sorted ids of the items that a row overlaps) and ``_longest`` (words); no row is shuffled."""
-    spark = docs.sparkSession
-    ws = Workspace(spark, "decontaminate")
-    item = benchmark.schema["item_id"].dataType.simpleString()
-    out = docs.withColumns({"_items": F.array().cast(f"array<{item}>"), "_longest": F.lit(0).cast("long")})
-    for k, (ids, bodies) in enumerate(_item_blocks(benchmark, block_words, min_words)):
-        if k:  # one index at a time in the executors' memory
-            out = ws.save(out, f"block-{k}")
-        out = out.mapInArrow(_mark(spark.sparkContext.broadcast(build_index(ids, bodies)), min_words, percent, out.schema), out.schema)
-    return out
+def marked(docs: DataFrame, benchmark: DataFrame, items: str, longest: str, min_words: int = MIN_WORDS, percent: int = PERCENT, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` with the columns ``items`` (sorted ids of the items that a row overlaps) and ``longest`` (words); no row is shuffled."""
+    ship(docs.sparkSession)
+    kind = benchmark.schema["item_id"].dataType
+    shape = T.StructType([*docs.schema.fields, T.StructField(items, T.ArrayType(kind)), T.StructField(longest, T.LongType())])
+    return docs.mapInArrow(_mark(_Blocks(benchmark, block_words, min_words), "text", min_words, percent, shape), shape)
 
 
 def judge_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Each row's ``doc_id`` with ``contaminated``, ``kept``, the items that it overlaps and the longest overlap in words."""
-    hit = F.col("_longest") > 0
-    found = marked(docs.select("doc_id", "text"), benchmark, **options)
-    return found.select("doc_id", hit.alias("contaminated"), (~hit).alias("kept"), F.col("_items").alias("item_ids"), F.col("_longest").alias("longest_overlap"))
+    found = marked(docs.select("doc_id", "text"), benchmark, "item_ids", "longest_overlap", **options)
+    hit = F.col("longest_overlap") > 0
+    return found.select("doc_id", hit.alias("contaminated"), (~hit).alias("kept"), "item_ids", "longest_overlap")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that overlap no item."""
-    return marked(docs, benchmark, **options).where("_longest = 0").drop("_items", "_longest")
+    items, longest = (_unused(docs, c) for c in ("items", "longest"))
+    return marked(docs, benchmark, items, longest, **options).where(F.col(longest) == 0).drop(items, longest)
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name

@@ -26,10 +26,9 @@ from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kindred.llm.workspace import Workspace
+from kindred.llm.workspace import Workspace, filesystem
 
 ARCHIVE_BYTES = 16 << 20
 MIN_REVISIT_BYTES = 1000
@@ -223,15 +222,11 @@ def plan_revisits(pages: DataFrame, least: int = MIN_REVISIT_BYTES) -> DataFrame
     return joined.select("page_id", "url", "html", "digest", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("original"))
 
 
-def _filesystem(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", folder)) if ":" in folder else (fs.LocalFileSystem(), folder)
-
-
 def write_archives(planned: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes a record for each row of :func:`plan_revisits` when run; rows of the result are the manifest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = _filesystem(folder)
+        store, root = filesystem(folder)
         store.create_dir(root, recursive=True)
         out, name, size, count = None, "", 0, 0
         done: list[tuple[str, int, int]] = []
@@ -284,7 +279,7 @@ def read_archives(names: DataFrame, folder: str, payloads: bool = True) -> DataF
             yield name, x.offset, x.length, None, kind, h.get("warc-record-id", "").strip("<>"), h.get("warc-target-uri"), h["warc-refers-to"].strip("<>") if "warc-refers-to" in h else None, _hex(h.get("warc-payload-digest")), size, body if payloads else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = _filesystem(folder)
+        store, root = filesystem(folder)
 
         def batch_of(held: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*held)) if held else [()] * len(columns)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import tempfile
 import uuid
 from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,6 +17,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a local folder only where that is unset (tests on one machine)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = Path(tempfile.gettempdir(), f"kindred-{os.getpid()}").as_uri()
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -22,6 +26,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def filesystem(folder: str) -> tuple[fs.FileSystem, str]:
+    """Where Python workers write files of a shared folder, and its path there."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", folder)) if ":" in folder else (fs.LocalFileSystem(), folder)
+
+
 def ship(spark: SparkSession) -> None:
     """Lets Python workers that are started from here on import this package."""
     root = str(Path(__file__).resolve().parents[2])

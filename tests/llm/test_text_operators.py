@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -159,6 +160,57 @@ def test_decontamination(spark):
     assert (found.doc_start, found.item_start, found.n_words, found.n_same) == (27, 2, 18, 15)  # differing words at the edge count to the stretch
 
 
+def _overlaps(texts, items, min_words=13, percent=80):
+    """Rows and items with a stretch on some diagonal, tried one by one where a mask's words agree."""
+    cut = lambda t: [w for w in re.split(r"[^a-z0-9\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in t or "")) if w]
+    found = {}
+    for r, text in enumerate(map(cut, texts)):
+        for i, item in enumerate(map(cut, items)):
+            for shift in range(-len(item) + 1, len(text)):
+                a, b = max(0, -shift), min(len(item), len(text) - shift)
+                same = [text[shift + k] == item[k] for k in range(a, b)]
+                if not any(all(same[p + k] for k, c in enumerate(mask) if c == "1") for mask in decontaminate.MASKS for p in range(len(same) - len(mask) + 1)):
+                    continue
+                n = max(j - p for p in range(len(same)) for j in range(p, len(same) + 1) if 100 * sum(same[p:j]) >= percent * (j - p))
+                if n >= min(min_words, len(item)):
+                    found[r, i] = max(n, found.get((r, i), 0))
+    return found
+
+
+def test_decontamination_equals_brute_force(spark, monkeypatch):
+    rnd = random.Random(9)
+    prose = lambda n, k=9: [f"w{rnd.randrange(k)}" for _ in range(n)]
+    items = [prose(30, 500), prose(18, 500), ["the"] * 25, prose(20, 3), prose(6, 500)]
+    texts = [prose(rnd.randrange(60), 4) for _ in range(8)] + [["the"] * 40 + prose(10), [], prose(40)]
+    for item in items * 4:
+        part = [w if rnd.random() > 0.15 else "x" for w in item[rnd.randrange(4) : len(item) - rnd.randrange(4)]]
+        texts.append(prose(8, 500) + part + prose(8, 500))
+    texts, items = [", ".join(t).upper() if k % 2 else " ".join(t) for k, t in enumerate(texts)], [" ".join(t) for t in items]
+    want = _overlaps(texts, items)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontaminate.judge_documents(docs, bench).collect()
+    assert {(r.doc_id, i) for r in got for i in r.item_ids} == set(want) and len(want) > 12
+    assert {r.doc_id: r.longest_overlap for r in got} == {d: max((n for (r, _), n in want.items() if r == d), default=0) for d in range(len(texts))}
+    index, column = decontaminate.build_index(list(range(len(items))), items), pa.array(texts)
+    words = [hash_words(d, o, decontaminate._BREAKS) for _, _, d, o in blocks(column)][0]
+    whole = decontaminate._diagonals(words.hashes, words.first, index).tolist()
+    monkeypatch.setattr(decontaminate, "SLICE", 50)
+    assert decontaminate._diagonals(words.hashes, words.first, index).tolist() == whole
+    index = decontaminate.build_index([0, 1], ["la " * 1000, "la " * 300 + "lo"])
+    words = [hash_words(d, o, decontaminate._BREAKS) for _, _, d, o in blocks(pa.array(["la " * 20_000]))][0]
+    tracemalloc.start()
+    best = max(n for *_, n, _ in decontaminate.matches(words.hashes, words.first, index, 13, 80))
+    assert best == 1000 and tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
+def test_decontamination_keeps_other_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", "y")], "doc_id long, text string, items string, _longest string")
+    bench = spark.createDataFrame([(k, " ".join(f"q{k}_{i}" for i in range(20))) for k in range(9)], "item_id long, text string")
+    assert decontaminate.decontaminated(docs, bench, block_words=30).collect() == docs.collect()
+
+
 def test_longest_stretch_equals_brute_force():
     rnd = random.Random(5)
     for _ in range(300):
