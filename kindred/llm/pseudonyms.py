@@ -6,9 +6,13 @@ values get equal pseudonyms wherever they stand and however they are punctuated,
 different ones, and a pseudonym is itself valid.  The permutation is the network conjugated with a step by one, so it has
 no fixed point: no value of a format with two or more members stays as it is.
 
-Formats: card numbers (first digit and Luhn check kept valid), social security numbers, IBANs, phone numbers, IPv4
-addresses, dates (1900 to 2099), e-mail names, and credentials (access keys, and values given to a word such as
-``password``, in any case and of any length), where letters stay letters of their case and digits stay digits.
+Formats: card numbers (the issuer's digits stay, the check digit is made anew), social security numbers, IBANs, phone numbers, IPv4
+and IPv6 addresses, dates (1900 to 2099, in figures or with a month's name in four languages), e-mail names, and credentials (access keys,
+and values given to a word such as ``password``, in any case and of any length), where letters stay letters of their case and digits stay digits.
+All notations of a date share one permutation, of days up to the 12th and of later ones, as a later day tells ``month/day`` from ``day/month``.
+
+The key is a parameter; :func:`session_key` takes it from the session's setting, or makes one that lies in the cluster's shared folder.
+Who holds the key can undo the pseudonyms (``reverse``), up to leading zeros of days and months and the short form of IPv6.
 
 Defined cases: a null text stays null, with no values; a text without values is returned unchanged; invalid look-alikes are
 left alone.  Repeated rows are changed alike; an empty table gives an empty result; other columns are carried along, and
@@ -19,19 +23,36 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import math
 import re
+import secrets
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, types as T
 
-from kindred.llm.workspace import ship
+from kindred.llm.workspace import filesystem, shared_folder, ship
 
 ROUNDS = 8
 #: Characters that are permuted as one number; longer values are permuted piece by piece.
 PIECE = 256
-DEFAULT_KEY = b"a key that each deployment replaces"
+KEY_SETTING, KEY_FILE = "spark.kindred.pseudonyms.key", "pseudonyms.key"
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session sets, or one that is made once for all sessions that share a folder."""
+    if given := spark.conf.get(KEY_SETTING, None):
+        return given.encode()
+    store, root = filesystem(shared_folder(spark))
+    path = f"{root}/{KEY_FILE}"
+    if store.get_file_info(path).type == fs.FileType.NotFound:
+        store.create_dir(root, recursive=True)
+        with store.open_output_stream(path) as out:
+            out.write(secrets.token_bytes(32))
+    with store.open_input_stream(path) as file:
+        return file.read()
 
 
 class Permutation:
@@ -108,9 +129,24 @@ def _refill(shape: str, chars: str) -> str:
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2099, 12, 31).toordinal() - _FIRST_DAY + 1
-_LATE_DAYS = [d for d in range(_FIRST_DAY, _FIRST_DAY + _DAYS) if datetime.date.fromordinal(d).day > 12]
-_LATE_RANK = {d: i for i, d in enumerate(_LATE_DAYS)}
-_MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+#: Days after the 12th, and the others, each with its rank among them.
+_BY_LATE = {late: [d for d in range(_FIRST_DAY, _FIRST_DAY + _DAYS) if (datetime.date.fromordinal(d).day > 12) == late] for late in (True, False)}
+_DAY_RANK = {d: i for days in _BY_LATE.values() for i, d in enumerate(days)}
+#: Months by language.
+MONTHS = {
+    "en": "January February March April May June July August September October November December",
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember",
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+}
+_MONTHS = {language: names.split() for language, names in MONTHS.items()}
+_MONTH_OF = {language: {n.casefold(): i for i, n in enumerate(names)} for language, names in _MONTHS.items()}
+_ANY_MONTH = "|".join(sorted({n.lower() for names in _MONTHS.values() for n in names}, key=lambda n: (-len(n), n)))
+#: Digits and lengths of the card networks; the first four digits tell the network.
+_CARD = re.compile(
+    r"4[0-9]{12}(?:[0-9]{3}){0,2}|5[1-5][0-9]{14}|2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)[0-9]{12}|3[47][0-9]{13}|3(?:0[0-5]|[689][0-9])[0-9]{11,16}"
+    r"|35(?:2[89]|[3-8][0-9])[0-9]{12,15}|(?:50|5[6-9]|6[0-9])[0-9]{11,17}"
+)
 
 _BEFORE, _AFTER = r"(?<![0-9A-Za-z_.\-])", r"(?![0-9A-Za-z_])"
 PATTERN = re.compile(
@@ -120,7 +156,8 @@ PATTERN = re.compile(
     rf"|(?P<iban>{_BEFORE}[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_AFTER})"
     rf"|(?P<iso>{_BEFORE}(?P<y1>(?:19|20)[0-9]{{2}})(?P<s1>[\-/.])(?P<m1>[0-9]{{1,2}})(?P=s1)(?P<d1>[0-9]{{1,2}})(?![0-9A-Za-z_.\-/]*[0-9]))"
     rf"|(?P<dmy>{_BEFORE}(?P<d2>[0-9]{{1,2}})(?P<s2>[\-/.])(?P<m2>[0-9]{{1,2}})(?P=s2)(?P<y2>(?:19|20)[0-9]{{2}})(?![0-9A-Za-z_\-/]|\.[0-9]))"
-    rf"|(?P<named>{_BEFORE}(?:(?P<d3>[0-9]{{1,2}}) (?P<b3>(?ai:{'|'.join(_MONTHS)})) (?P<y3>(?:19|20)[0-9]{{2}})|(?P<b4>(?ai:{'|'.join(_MONTHS)})) (?P<d4>[0-9]{{1,2}}), (?P<y4>(?:19|20)[0-9]{{2}})){_AFTER})"
+    rf"|(?P<named>{_BEFORE}(?:(?P<d3>[0-9]{{1,2}})(?P<o3>er|\.|º)? (?P<p3>de )?(?P<b3>(?i:{_ANY_MONTH}))(?P<q3> de | )(?P<y3>(?:19|20)[0-9]{{2}})|(?P<b4>(?i:{'|'.join(_MONTHS['en'])})) (?P<d4>[0-9]{{1,2}}), (?P<y4>(?:19|20)[0-9]{{2}})){_AFTER})"
+    r"|(?P<ip6>(?<![0-9A-Za-z_.:\-])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{6,39}(?<!:)(?![0-9A-Za-z_:]))"
     rf"|(?P<ip>{_BEFORE}(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}(?!\.?[0-9A-Za-z_]))"
     rf"|(?P<ssn>{_BEFORE}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9A-Za-z_\-]))"
     r"|(?P<phone>(?<![0-9A-Za-z_+.])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?(?:[0-9]{2,4}[ .\-]?){1,4}[0-9]{2,4}|\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![0-9A-Za-z_]))"
@@ -128,17 +165,17 @@ PATTERN = re.compile(
 
 )
 #: Of a text in lower case: a search that ignores case is three times as slow.
-_ANCHOR = re.compile(rf"[0-9@]|akia|asia|password|passwd|pwd|token|secret|api[_\-]?key|{'|'.join(_MONTHS).lower()}")
+_ANCHOR = re.compile(rf"[0-9@]|akia|asia|password|passwd|pwd|token|secret|api[_\-]?key|{'|'.join(_MONTHS['en']).lower()}")
 _RUN = re.compile(r"[0-9A-Za-z]*")
 #: Characters before an anchor at which a value may begin (an e-mail name has 64 at most).
 _REACH = 72
 
 
 class Pseudonyms:
-    """Replaces the values of texts under one key."""
+    """Replaces the values of texts under one key, or puts them back (``reverse``)."""
 
-    def __init__(self, key: bytes = DEFAULT_KEY) -> None:
-        self.key, self.made = key, {}
+    def __init__(self, key: bytes, reverse: bool = False) -> None:
+        self.key, self.reverse, self.made = key, reverse, {}
         self.own = hashlib.blake2b(key, digest_size=32).digest()
 
     def _turn(self, x: int, n: int, tweak: str) -> int:
@@ -148,7 +185,7 @@ class Pseudonyms:
             if len(self.made) > 4096:
                 self.made.clear()
             self.made[at] = Permutation(n, self.key, tweak)
-        return self.made[at].forward(x)
+        return self.made[at].inverse(x) if self.reverse else self.made[at].forward(x)
 
     def characters(self, text: str, tweak: str) -> str:
         """Letters and digits permuted within their classes, as one mixed-radix number.
@@ -160,7 +197,7 @@ class Pseudonyms:
             for k in range(0, len(text), PIECE):
                 piece = text[k : k + PIECE]
                 out.append(self.characters(piece, f"{tweak}:{before.hex()}" if k else tweak))
-                before = hashlib.blake2b(before + piece.encode(), key=self.own, digest_size=32).digest()
+                before = hashlib.blake2b(before + (out[-1] if self.reverse else piece).encode(), key=self.own, digest_size=32).digest()
             return "".join(out)
         kinds = [next((k for k in _CLASSES if c in k), None) for c in text]
         rank, n = 0, 1
@@ -178,10 +215,10 @@ class Pseudonyms:
 
     def card(self, value: str) -> str | None:
         digits = re.sub(r"[ \-]", "", value)
-        if not 13 <= len(digits) <= 19 or digits[-1] != luhn_digit(digits[:-1]) or len(set(digits)) == 1:
+        if not _CARD.fullmatch(digits) or digits[-1] != luhn_digit(digits[:-1]):
             return None
-        width = len(digits) - 2
-        body = digits[0] + f"{self._turn(int(digits[1:-1]), 10**width, f'card{len(digits)}{digits[0]}'):0{width}d}"
+        width = len(digits) - 5
+        body = digits[:4] + f"{self._turn(int(digits[4:-1]), 10**width, f'card{len(digits)}{digits[:4]}'):0{width}d}"
         return _refill(value, body + luhn_digit(body))
 
     def ssn(self, value: str) -> str | None:
@@ -209,6 +246,17 @@ class Pseudonyms:
         rank = self._turn(int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32, "ip")
         return ".".join(map(str, rank.to_bytes(4, "big")))
 
+    def ip6(self, value: str) -> str | None:
+        try:
+            at = ipaddress.IPv6Address(value)
+        except ValueError:
+            return None
+        if sum(map(bool, value.split(":"))) < 3 or not re.search("[0-9]", value):  # names such as a::b
+            return None
+        rank = self._turn(int(at), 1 << 128, "ip6")
+        new = ":".join(f"{rank >> shift & 0xFFFF:x}" for shift in range(112, -1, -16))
+        return new.upper() if value.isupper() else new
+
     def phone(self, value: str) -> str | None:
         digits = re.sub(r"[^0-9]", "", value)
         country = re.match(r"\+([0-9]{1,3})", value)
@@ -235,15 +283,13 @@ class Pseudonyms:
         area, office = divmod(rank, 800)
         return f"{area + 200:03d}{office + 200:03d}{line:04d}"
 
-    def day(self, year: str, month: int, day: str, late: bool = False) -> datetime.date | None:
-        """``late``: the permutation among days after the 12th, which a month-first date needs to stay one."""
+    def day(self, year: str, month: int, day: str) -> datetime.date | None:
         try:
-            at = datetime.date(int(year), month, int(day)).toordinal()
+            at = datetime.date(int(year), month, int(day))
         except ValueError:
             return None
-        if late:
-            return datetime.date.fromordinal(_LATE_DAYS[self._turn(_LATE_RANK[at], len(_LATE_DAYS), "late day")])
-        return datetime.date.fromordinal(_FIRST_DAY + self._turn(at - _FIRST_DAY, _DAYS, "day"))
+        days = _BY_LATE[at.day > 12]
+        return datetime.date.fromordinal(days[self._turn(_DAY_RANK[at.toordinal()], len(days), f"day{at.day > 12}")])
 
     def date(self, m: re.Match) -> str | None:
         if m["iso"]:
@@ -251,18 +297,19 @@ class Pseudonyms:
             return new and m["s1"].join((str(new.year), _like(new.month, m["m1"]), _like(new.day, m["d1"])))
         if m["dmy"]:
             first, second = int(m["d2"]), int(m["m2"])
-            if second > 12:
-                new = self.day(m["y2"], first, m["m2"], late=True)
-                return new and m["s2"].join((_like(new.month, m["d2"]), _like(new.day, m["m2"]), str(new.year)))
-            new = self.day(m["y2"], second, m["d2"])
-            return new and m["s2"].join((_like(new.day, m["d2"]), _like(new.month, m["m2"]), str(new.year)))
+            month_first = second > 12
+            new = self.day(m["y2"], *((first, m["m2"]) if month_first else (second, m["d2"])))
+            parts = new and ((new.month, new.day) if month_first else (new.day, new.month))
+            return parts and m["s2"].join((_like(parts[0], m["d2"]), _like(parts[1], m["m2"]), str(new.year)))
         day, month, year = (m["d3"], m["b3"], m["y3"]) if m["d3"] else (m["d4"], m["b4"], m["y4"])
-        new = self.day(year, _MONTHS.index(month.title()) + 1, day)
+        order = ["en"] if m["b4"] else ["es"] if m["p3"] or m["q3"] == " de " else ["de", "en", "fr", "es"] if m["o3"] == "." else ["en", "fr", "de", "es"]
+        language = next((x for x in order if month.casefold() in _MONTH_OF[x]), None)
+        new = language and self.day(year, _MONTH_OF[language][month.casefold()] + 1, day)
         if not new:
             return None
-        name = _MONTHS[new.month - 1]
-        name = name.upper() if month.isupper() else name.lower() if month.islower() else name
-        return f"{_like(new.day, day)} {name} {new.year}" if m["d3"] else f"{name} {_like(new.day, day)}, {new.year}"
+        name = _MONTHS[language][new.month - 1]
+        name = name.upper() if month.isupper() else name.lower() if month.islower() else name.title()
+        return f"{_like(new.day, day)}{m['o3'] or ''} {m['p3'] or ''}{name}{m['q3']}{new.year}" if m["d3"] else f"{name} {_like(new.day, day)}, {new.year}"
 
     def replace(self, m: re.Match) -> tuple[str, str] | None:
         """Kind and pseudonym of a found value; None if it isn't valid."""
@@ -277,11 +324,11 @@ class Pseudonyms:
         if m["iso"] or m["dmy"] or m["named"]:
             kind, new = "date", self.date(m)
         else:
-            kind = next(k for k in ("iban", "ip", "ssn", "phone", "card") if m[k])
+            kind = next(k for k in ("iban", "ip6", "ip", "ssn", "phone", "card") if m[k])
             new = getattr(self, kind)(value)
             if new is None and kind == "phone":
                 new, kind = self.card(value.lstrip("+")) if "(" not in value and "+" not in value else None, "card"
-        return (kind, new) if new else None
+        return ("ip" if kind == "ip6" else kind, new) if new else None
 
     def text(self, text: str) -> tuple[str, list[str]]:
         """The text with pseudonyms, and the kinds of the values that were replaced."""
@@ -308,7 +355,7 @@ def _like(number: int, was: str) -> str:
     return f"{number:02d}" if len(was) == 2 else str(number)
 
 
-def pseudonymised(docs: DataFrame, key: bytes = DEFAULT_KEY, text: str = "text") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in ``text``, ``n_values`` replaced and ``kinds`` (distinct, sorted, comma-joined)."""
     ship(docs.sparkSession)
     own = [c for c in docs.columns if c not in (text, "n_values", "kinds")]

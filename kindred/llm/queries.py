@@ -59,7 +59,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymised(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonyms.pseudonymised(read(spark, sf_dir, "documents").select("doc_id", "text"), pseudonyms.session_key(spark))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
