@@ -7,12 +7,13 @@ that and the largest record.  Files are written through ``pyarrow.fs`` to the sh
 Reader: members (or plain records) are read one after the other.  A record is checked for its version line, headers,
 declared length, closing blank lines and digests.  Where a check fails, the reader searches for the next gzip member that
 inflates to a version line, or the next plain version line, goes on there, and logs the bytes between as a
-quarantined gap; whatever follows a damaged record is recovered.
+quarantined gap; whatever follows a damaged record is recovered.  A declared length is checked against the bytes at its end before
+the record is read, and a member is inflated no further than the length that it declares, so damage doesn't fill the memory.
 
 Defined cases: a null payload is empty; a null url is written as an empty target; payloads below ``least`` bytes are
 always responses; among equal payloads the largest page_id is the response, and all rows that carry it are responses;
 a null page_id is written as an empty one and never is the largest unless all are null.  An empty table writes nothing
-and reads nothing.  Other columns are not read.
+and reads nothing.  A payload may have any length that fits into a string.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -34,7 +36,9 @@ ARCHIVE_BYTES = 16 << 20
 MIN_REVISIT_BYTES = 1000
 _VERSION = b"WARC/1.1"
 _GZIP = b"\x1f\x8b\x08"
-_STEP = 1 << 16
+_STEP, _WINDOW, _MOST_HEADERS = 1 << 16, 1 << 18, 1 << 20
+#: Pages with the same payload are joined in so many groups, as one payload may be that of a third of all pages.
+SALTS = 16
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -85,30 +89,37 @@ class _Bad(Exception):
 
 
 class _Source:
-    """A file seen through a window; only what the current record needs is held."""
+    """A seekable file, of which a window is held."""
 
     def __init__(self, file) -> None:
-        self.file, self.at, self.data, self.ended = file, 0, b"", False
-
-    def more(self) -> bool:
-        got = b"" if self.ended else self.file.read(_STEP)
-        self.ended = not got
-        self.data += got
-        return bool(got)
-
-    def skip(self, n: int) -> None:
-        self.at += n
-        self.data = self.data[n:]
-
-
-def _parse(data: bytes) -> tuple[dict[str, str], bytes, int] | None:
-    """Headers, block and length of the plain record at the start; None if more bytes are needed."""
+        self.file, self.base, self.data = file, 0, b""
+        file.seek(0, 2)
+        self.end = file.tell()
+
+    def some(self, at: int) -> bytes:
+        """One step of bytes from ``at`` on, or what the window has of it; none only at the end."""
+        if not self.base <= at < self.base + len(self.data):
+            self.file.seek(at)
+            self.base, self.data = at, self.file.read(_WINDOW)
+        start = at - self.base
+        return self.data[start : start + _STEP]
+
+    def exactly(self, at: int, size: int) -> bytes:
+        """Bytes that the file is known to have."""
+        if self.base <= at and at + size <= self.base + len(self.data):
+            return self.data[at - self.base : at - self.base + size]
+        self.file.seek(at)
+        return self.file.read(size)
+
+
+def _headers(data: bytes) -> tuple[dict[str, str], int, int] | None:
+    """Headers of the record that begins here, their size and the declared length of the block; None if more bytes are needed."""
     line = data.find(b"\r\n")
-    if not re.match(rb"WARC/1\.\d", data[:8]) and len(data) >= 8 or (line < 0 and len(data) > 64):
+    if not re.match(rb"WARC/1\.[0-9]", data[:8]) and len(data) >= 8 or (line < 0 and len(data) > 64):
         raise _Bad("no version line")
     end = data.find(b"\r\n\r\n")
     if end < 0:
-        if len(data) > 1 << 20:
+        if len(data) > _MOST_HEADERS:
             raise _Bad("headers do not end")
         return None
     headers: dict[str, str] = {}
@@ -117,84 +128,92 @@ def _parse(data: bytes) -> tuple[dict[str, str], bytes, int] | None:
         if not colon:
             raise _Bad("malformed header")
         headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
-    if not headers.get("content-length", "").isdigit():
+    if not re.fullmatch("[0-9]{1,18}", headers.get("content-length", "")):
         raise _Bad("no length")
-    start = end + 4
-    stop = start + int(headers["content-length"])
-    if len(data) < stop + 4:
-        if len(data) > stop and not b"\r\n\r\n".startswith(data[stop:]):
-            raise _Bad("length does not fit")
-        return None
-    if data[stop : stop + 4] != b"\r\n\r\n":
-        raise _Bad("length does not fit")
-    block = data[start:stop]
-    if (want := headers.get("warc-block-digest")) and want.startswith("sha1:") and _hex(want) != _hex(_digest(block)):
+    if not headers.get("warc-type") or not headers.get("warc-record-id"):
+        raise _Bad("mandatory header missing")
+    return headers, end + 4, int(headers["content-length"])
+
+
+def _checked(headers: dict[str, str], block: bytes) -> bytes:
+    want = headers.get("warc-block-digest", "")
+    if want.startswith("sha1:") and _hex(want) != _hex(_digest(block)):
         raise _Bad("block digest differs")
-    return headers, block, stop + 4
+    return block
+
+
+def _plain_record(source: _Source, at: int) -> Record:
+    head = b""
+    while (found := _headers(head)) is None:
+        more = source.some(at + len(head))
+        if not more:
+            raise _Bad("record is cut off")
+        head += more
+    headers, size, length = found
+    stop = at + size + length
+    if stop + 4 > source.end:
+        raise _Bad("record is cut off")
+    if source.exactly(stop, 4) != b"\r\n\r\n":
+        raise _Bad("length does not fit")
+    return Record(at, size + length + 4, headers, _checked(headers, source.exactly(at + size, length)))
 
 
-def _next_record(source: _Source) -> Record:
-    """The record at the start of the window, which is left after it; raises if a check fails."""
-    while len(source.data) < 3 and source.more():
-        pass
-    if source.data[:3] == _GZIP:
-        inflate, plain, fed = zlib.decompressobj(31), [], 0
-        while not inflate.eof:
-            if fed == len(source.data) and not source.more():
+def _member_record(source: _Source, at: int) -> Record:
+    inflate, plain, fed, found = zlib.decompressobj(31), bytearray(), at, None
+    tail = b""
+    while not inflate.eof:
+        if not tail:
+            tail = source.some(fed)
+            fed += len(tail)
+            if not tail:
                 raise _Bad("member is cut off")
-            try:
-                plain.append(inflate.decompress(source.data[fed : fed + _STEP]))
-            except zlib.error as e:
-                raise _Bad("member does not inflate") from e
-            fed = min(len(source.data), fed + _STEP)
-            if fed <= _STEP and not b"WARC/1.".startswith((head := b"".join(plain))[:7]):
-                raise _Bad("no version line")
-        used = fed - len(inflate.unused_data)
-        parsed = _parse(b"".join(plain))
-        if parsed is None or parsed[2] != sum(map(len, plain)):
+        try:
+            plain += inflate.decompress(tail, 1 << 20)
+        except zlib.error as e:
+            raise _Bad("member does not inflate") from e
+        tail = inflate.unconsumed_tail
+        if found is None:
+            found = _headers(bytes(plain[: _MOST_HEADERS + 1]))
+        if found is not None and len(plain) > found[1] + found[2] + 4:
             raise _Bad("member is not one record")
-        out = Record(source.at, used, parsed[0], parsed[1])
-        source.skip(used)
-        return out
-    while (parsed := _parse(source.data)) is None:
-        need = source.more()
-        if not need:
-            raise _Bad("record is cut off")
-    out = Record(source.at, parsed[2], parsed[0], parsed[1])
-    source.skip(parsed[2])
-    return out
+    if found is None or len(plain) != found[1] + found[2] + 4 or not plain.endswith(b"\r\n\r\n"):
+        raise _Bad("member is not one record")
+    used = fed - len(inflate.unused_data) - at
+    return Record(at, used, found[0], _checked(found[0], bytes(plain[found[1] : found[1] + found[2]])))
+
+
+def _next_mark(source: _Source, at: int) -> int:
+    """The next place where a record may begin, or the file's end."""
+    while data := source.some(at):
+        if len(data) < 7 and at + len(data) < source.end:  # the window ends within a mark
+            data = source.exactly(at, min(_STEP, source.end - at))
+        spots = [p for m in (_GZIP, b"WARC/1.") if (p := data.find(m)) >= 0]
+        if spots:
+            return at + min(spots)
+        at += max(1, len(data) - 6)
+    return source.end
 
 
 def read_records(file) -> Iterator[Record | Gap]:
-    """Records of an open archive, and the gaps between them, in file order."""
+    """Records of an open archive that can be sought in, and the gaps between them, in file order."""
     source = _Source(file)
-    lost, reason = None, ""
-    while True:
-        if not source.data and not source.more():
-            break
+    at, lost, reason = 0, None, ""
+    while at < source.end:
         try:
-            record = _next_record(source)
+            gzip = source.exactly(at, min(3, source.end - at)) == _GZIP
+            record = _member_record(source, at) if gzip else _plain_record(source, at)
         except _Bad as e:
             if lost is None:
-                lost, reason = source.at, str(e)
-            # The next place where a record may begin; the last bytes stay, as a mark may be cut there.
-            source.skip(1)
-            while True:
-                spots = [p for m in (_GZIP, b"WARC/1.") if (p := source.data.find(m)) >= 0]
-                if spots:
-                    source.skip(min(spots))
-                    break
-                source.skip(max(0, len(source.data) - 6))
-                if not source.more():
-                    source.skip(len(source.data))
-                    break
+                lost, reason = at, str(e)
+            at = _next_mark(source, at + 1)
             continue
         if lost is not None:
-            yield Gap(lost, record.offset - lost, reason)
+            yield Gap(lost, at - lost, reason)
             lost = None
+        at += record.length
         yield record
     if lost is not None:
-        yield Gap(lost, source.at - lost, reason)
+        yield Gap(lost, source.end - lost, reason)
 
 
 def _hex(digest: str | None) -> str | None:
@@ -212,16 +231,28 @@ def http_payload(block: bytes) -> tuple[bytes, int | None]:
     return body, int(stated[1]) if stated else None
 
 
-def plan_revisits(pages: DataFrame, least: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """``page_id, url, html, digest, original``: ``original`` is the page that a revisit refers to, else null."""
+def plan_revisits(pages: DataFrame, ws: Workspace, least: int = MIN_REVISIT_BYTES) -> DataFrame:
+    """``page_id, url, html, digest, original``: ``original`` is the page that a revisit refers to, else null.
+
+    Payloads that several pages have are counted first, and pages are joined to that narrow table; pages with a short payload find
+    nothing there, and each of them has a key of its own.
+    """
     html = F.coalesce("html", F.lit(""))
     pages = pages.select("page_id", "url", html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("digest"))
     big = F.octet_length("html") >= least
-    copies = pages.where(big).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("digest", "first")
-    joined = pages.withColumn("_key", F.when(big, F.col("digest"))).join(copies.withColumnRenamed("digest", "_key"), "_key", "left")
+    copies = pages.where(big).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    copies = ws.save(copies.select(F.col("digest").alias("_key"), "first"), "copies").select("_key", "first", salts)
+    own = F.xxhash64("page_id", "url")
+    keyed = pages.withColumns({"_key": F.when(big, F.col("digest")).otherwise(F.concat(F.lit("-"), own.cast("string"))), "_salt": F.pmod(own, F.lit(SALTS)).cast("int")})
+    joined = keyed.join(copies, ["_key", "_salt"], "left")
     return joined.select("page_id", "url", "html", "digest", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("original"))
 
 
+def _urn(page: object) -> str:
+    return f"urn:page:{'' if page is None else quote(str(page), safe='')}"
+
+
 def write_archives(planned: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes a record for each row of :func:`plan_revisits` when run; rows of the result are the manifest."""
 
@@ -235,8 +266,7 @@ def write_archives(planned: DataFrame, folder: str, archive_bytes: int = ARCHIVE
                 payload = html.as_buffer().to_pybytes() if html.is_valid else b""
                 refers = original.as_py()
                 shown = "sha1:" + base64.b32encode(bytes.fromhex(digest.as_py())).decode()
-                page = page.as_py()
-                data = member(build_record("response" if refers is None else "revisit", f"urn:page:{'' if page is None else page}", url.as_py(), payload, None if refers is None else f"urn:page:{refers}", shown))
+                data = member(build_record("response" if refers is None else "revisit", _urn(page.as_py()), url.as_py(), payload, None if refers is None else _urn(refers), shown))
                 if out is None:
                     name, size, count = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
@@ -288,7 +318,7 @@ def read_archives(names: DataFrame, folder: str, payloads: bool = True) -> DataF
         for batch in batches:
             for name in batch.column("name").to_pylist():
                 held, size = [], 0
-                with store.open_input_stream(f"{root}/{name}", compression=None) as file:
+                with store.open_input_file(f"{root}/{name}") as file:
                     for row in rows(name, file):
                         held.append(row)
                         size += 500 + len(row[-1] or b"")
@@ -301,12 +331,22 @@ def read_archives(names: DataFrame, folder: str, payloads: bool = True) -> DataF
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes the pages as archives and reads those back: one row a record."""
+    """Writes the pages as archives and reads those back: one row a record.
+
+    All that was read is written as a table, the gaps among it as the table ``quarantine``.  It is an error if there is any gap, or if other than
+    the manifest's number of records came back.
+    """
     spark: SparkSession = pages.sparkSession
     ws = Workspace(spark, "warc")
-    manifest = ws.save(write_archives(plan_revisits(pages), ws.path("archives")), "manifest")
+    manifest = ws.save(write_archives(plan_revisits(pages, ws), ws.path("archives")), "manifest")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = pages.schema["page_id"].dataType
-    records = read_archives(manifest.repartition(n, "name"), ws.path("archives"), payloads=False)
-    page = lambda c: F.substring(c, 10, 1000).try_cast(kind)
-    return records.where("gap IS NULL").select(page(F.col("record_id")).alias("page_id"), "payload_bytes", F.col("payload_sha1").alias("payload_digest"), F.col("kind").alias("record_type"), page(F.col("refers_to")).alias("refers_to"))
+    found = ws.save(read_archives(manifest.repartition(n, "name"), ws.path("archives"), payloads=False), "found")
+    written = manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    read, gaps = found.agg(F.count(F.when(F.col("gap").isNull(), 1)), F.count("gap")).first()
+    if gaps or read != written:
+        ws.save(found.where("gap IS NOT NULL").select("archive", "offset", "length", "gap"), "quarantine")
+        raise RuntimeError(f"{written} records were written, {read} were read and {gaps} gaps found; see {ws.path('quarantine')}")
+    ws.drop("archives", "copies")
+    page = lambda c: F.url_decode(F.substring(c, 10, 10_000)).try_cast(kind)
+    return found.select(page(F.col("record_id")).alias("page_id"), "payload_bytes", F.col("payload_sha1").alias("payload_digest"), F.col("kind").alias("record_type"), page(F.col("refers_to")).alias("refers_to"))
