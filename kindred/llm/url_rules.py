@@ -3,8 +3,11 @@
 A host is turned into its reversed labels (``a.example.com`` -> ``com,example,a,``), so "this host and all its
 subdomains" is one interval of keys.  URLs and rules are dealt to ranges of ``(host key, path)``; a rule goes to every
 range that its interval meets.  Each range is sorted and swept once: a stack holds the nested hosts whose interval is
-open, and each of its frames holds the path prefixes ruled there.  The longest fitting rule (deepest host, then longest
-path) decides; a URL that no rule fits gets ``default``.
+open, and each of its frames holds the sorted intervals of the path prefixes ruled there, each with the one around it.  The longest
+fitting rule (deepest host, then longest path) decides; a URL that no rule fits gets ``default``.
+
+The bounds of the ranges are quantiles of a sample of keys and paths, cut to ``BOUND_CHARS``; only one bound a range comes to the driver.
+A host and path that so many URLs share that several bounds equal it is spread by a hash over the ranges between those bounds.
 
 Defined cases: a null URL, or one without ``://``, has host and path empty and fits only a rule with an empty host; an
 empty rule host fits every URL.  A rule whose host or path is null is ignored.  Repeated rules with unequal verdicts
@@ -14,18 +17,18 @@ and one named like a result column is replaced.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from kindred.llm.workspace import ship
 
 RULE_SCHEMA = "host string, path string, verdict string"
 #: URLs looked at for the bounds of each range; bounds decide only how even the ranges are.
-SAMPLE_PER_RANGE = 64
+SAMPLE_PER_RANGE, BOUND_CHARS = 64, 200
 
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -52,22 +55,35 @@ def host_key(host: Column) -> Column:
 
 
 class _Frame:
-    """Path prefixes ruled for one host: looked up longest first, one probe for each length in use."""
+    """Path prefixes ruled for one host, as nested intervals in order of path."""
 
     def __init__(self, key: str) -> None:
-        self.key, self.rules, self.lengths = key, {}, []
+        self.key, self.rules = key, {}
+        self.paths: list[str] | None = None
+        self.around: list[int] = []
 
     def add(self, host: str, path: str, verdict: str) -> None:
-        if path not in self.rules:
-            self.lengths = sorted({*self.lengths, len(path)}, reverse=True)
         if self.rules.get(path, ("", ""))[1] != "block":
             self.rules[path] = (host + path, verdict)
+        self.paths = None
+
+    def _nest(self) -> None:
+        """Sorts the intervals and finds the one around each with a stack."""
+        self.paths, self.around, open_ = sorted(self.rules), [], []
+        for i, path in enumerate(self.paths):
+            while open_ and not path.startswith(self.paths[open_[-1]]):
+                open_.pop()
+            self.around.append(open_[-1] if open_ else -1)
+            open_.append(i)
 
     def find(self, path: str) -> tuple[str, str] | None:
-        for n in self.lengths:
-            if n <= len(path) and (found := self.rules.get(path[:n])):
-                return found
-        return None
+        if self.paths is None:
+            self._nest()
+        # The last interval that begins at or before the path, or one around it.
+        at = bisect_right(self.paths, path) - 1
+        while at >= 0 and not path.startswith(self.paths[at]):
+            at = self.around[at]
+        return self.rules[self.paths[at]] if at >= 0 else None
 
 
 def sweep(rows: Iterable[tuple]) -> Iterator[tuple[str | None, str | None]]:
@@ -87,6 +103,19 @@ def sweep(rows: Iterable[tuple]) -> Iterator[tuple[str | None, str | None]]:
             yield next((found for frame in reversed(stack) if (found := frame.find(path))), (None, None))
 
 
+def _bounds(urls: DataFrame, n: int) -> list[tuple[str, str]]:
+    """At most ``n - 1`` quantiles of ``(_key, _path)``; equal ones stay, as they tell of a crowded place."""
+    cut = [F.substring(c, 1, BOUND_CHARS).alias(c) for c in ("_key", "_path")]
+    sample = urls.select(*cut, F.xxhash64("_salt", "_key", "_path").alias("_h")).orderBy("_h").limit(n * SAMPLE_PER_RANGE)
+    # The sample is bounded by its size and by BOUND_CHARS, so one task can number it.
+    place = F.row_number().over(Window.orderBy("_key", "_path")) - 1
+    total = F.count(F.lit(1)).over(Window.partitionBy())
+    placed = sample.select("_key", "_path", place.alias("_at"), total.alias("_n"))
+    steps = F.floor(F.col("_at") * n / F.col("_n"))
+    first = (F.col("_at") > 0) & (steps > F.floor((F.col("_at") - 1) * n / F.col("_n")))
+    return sorted((r[0], r[1]) for r in placed.where(first).select("_key", "_path").collect())
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", ranges: int | None = None) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``."""
     spark = pages.sparkSession
@@ -95,26 +124,27 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     link = F.col(f"`{url}`")
     urls = pages.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), host_of(link).alias("_host"), path_of(link).alias("_path"))
-    urls = urls.withColumn("_key", host_key(F.col("_host")))
+    urls = urls.withColumns({"_key": host_key(F.col("_host")), "_salt": F.pmod(F.xxhash64("_row"), F.lit(1 << 30))})
 
-    order = F.xxhash64("_key", "_path", "_row")
-    seen = sorted({(r[0], r[1]) for r in urls.orderBy(order).limit(n * SAMPLE_PER_RANGE).select("_key", "_path").collect()})
-    bounds = [seen[len(seen) * i // n] for i in range(1, n)] if seen else []
-    bounds = sorted(set(bounds))
+    bounds = _bounds(urls, n)
     low = [b[0] for b in bounds]
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, paths = batch.column("_key").to_pylist(), batch.column("_path").to_pylist()
-            at = [bisect_right(bounds, x) for x in zip(keys, paths)]
+            at = []
+            for key, path, h in zip(*[batch.column(c).to_pylist() for c in ("_key", "_path", "_salt")]):
+                place = (key[:BOUND_CHARS], path[:BOUND_CHARS])
+                first, last = bisect_left(bounds, place), bisect_right(bounds, place)
+                at.append(last if last - first < 2 else first + 1 + h % (last - first))
             yield batch.append_column("_range", pa.array(at, pa.int32()))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for host, path, verdict, key in zip(*[batch.column(c).to_pylist() for c in ("_host", "_path", "_verdict", "_key")]):
-                first = bisect_right(bounds, (key, ""))
-                last = bisect_right(low, key + "\U0010ffff")
+                start = key[:BOUND_CHARS]
+                first = bisect_left(bounds, (start, ""))
+                last = bisect_right(low, start + "\U0010ffff")
                 rows += [(key, host, path, verdict, i) for i in range(first, last + 1)]
             names = ("_key", "_host", "_path", "_verdict", "_range")
             kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32())
@@ -127,7 +157,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     ruled = ruled.withColumn("_key", host_key(F.col("_host")))
     right = ruled.mapInArrow(spread, "_key string, _host string, _path string, _verdict string, _range int")
     right = right.select("_range", "_key", F.lit(0).alias("_url"), "_host", "_path", "_verdict", F.lit(None).cast(urls.schema["_row"].dataType).alias("_row"))
-    both = left.unionByName(right).repartitionById(n, F.col("_range")).sortWithinPartitions("_range", "_key", "_url")
+    both = left.unionByName(right).repartitionById(n, F.col("_range")).sortWithinPartitions("_range", "_key", "_url", "_path")
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted: list[pa.RecordBatch] = []

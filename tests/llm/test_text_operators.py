@@ -49,7 +49,7 @@ def test_url_rules_equal_brute_force(spark):
     hosts = ["com", "example.com", "a.example.com", "b.a.example.com", "net", "x.net", "example.net", "EXAMPLE.com", "ample.com"]
     urls = [f"http{'s' * (i % 2)}://{rnd.choice(hosts)}{rnd.choice(['', '/', '/en', '/en/', '/en/7', '/de/8/x', '/en?x=/en/', '#/en/'])}" for i in range(400)]
     urls += [None, "", "no scheme", "://", "a://b://c/en/", "x" * 10_000]
-    rules = [(h, p, rnd.choice(["allow", "block"])) for h in ("com", "example.com", "a.example.com", "net") for p in ("/", "/en/", "/en/7")] + [("ample.com", "/en/", "block")]
+    rules = [(h, p, rnd.choice(["allow", "block"])) for h in ("com", "example.com", "a.example.com", "net") for p in ("/", "/en/", "/en/7", "/e", "/f")] + [("ample.com", "/en/", "block")]
     df = spark.createDataFrame([(i, u, "keep", "clash") for i, u in enumerate([*urls, urls[0]])], "page_id long, url string, own string, rule string")
     for n in (1, 5):
         got = url_rules.judge_urls(df, spark.createDataFrame(rules, url_rules.RULE_SCHEMA), ranges=n).orderBy("page_id").collect()
@@ -60,6 +60,12 @@ def test_url_rules_equal_brute_force(spark):
             host = host.lower()
             best = max((x for x in rules if fits(host, path, x)), key=lambda x: (len(x[0]), len(x[1])), default=None)
             assert (r.host, r.path, r.rule, r.verdict, r.own) == (host, path, best and best[0] + best[1], best[2] if best else "allow", "keep")
+    crowd = spark.createDataFrame([(i, f"http://a.example.com/en/watch?v={i}") for i in range(3000)] + [(i, f"http://x{i}.net/{'y' * 300}{i}") for i in range(40)], "page_id long, url string")
+    bounds = url_rules._bounds(crowd.select(url_rules.host_key(url_rules.host_of(F.col("url"))).alias("_key"), url_rules.path_of(F.col("url")).alias("_path"), F.col("page_id").alias("_salt")), 5)
+    assert len(bounds) == 4 and bounds.count(("com,example,a,", "/en/watch")) >= 3
+    got = url_rules.judge_urls(crowd, spark.createDataFrame(rules, url_rules.RULE_SCHEMA), ranges=5).collect()
+    best = max((x for x in rules if fits("a.example.com", "/en/watch", x)), key=lambda x: (len(x[0]), len(x[1])))
+    assert len(got) == 3040 and {r.rule for r in got if r.host == "a.example.com"} == {best[0] + best[1]}
     assert url_rules.judge_urls(df.limit(0), spark.createDataFrame(rules, url_rules.RULE_SCHEMA)).count() == 0
     assert {r.verdict for r in url_rules.judge_urls(df, spark.createDataFrame([], url_rules.RULE_SCHEMA)).collect()} == {"allow"}
 
