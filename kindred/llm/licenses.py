@@ -2,9 +2,10 @@
 
 1. The document frequency of every word of the licence templates is counted over all documents.
 2. Each template is indexed under its ``INDEX_WORDS`` words of highest inverse document frequency: a posting tells where in the
-   template a word stands.
-3. In each file the indexed words are looked up, highest frequency rank first.  A word at place ``i`` and its posting at place ``p`` of a template say
-   that the template begins at ``i - p``; a beginning on which ``MIN_WORDS`` postings agree is a candidate.
+   template a word stands, and the word's rank in it.
+3. In each file, of each template the ``LOOKUP_WORDS`` indexed words of highest inverse document frequency among those that the file has are looked
+   up.  A word at place ``i`` and its posting at place ``p`` say that the template begins at ``i - p``; a beginning on which ``MIN_WORDS``
+   postings agree is a candidate.
 4. A candidate counts if each of the template's mandatory key phrases stands at its place.  Its score is the share of the
    template's words that stand at theirs.
 
@@ -23,7 +24,53 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-INDEX_WORDS, MIN_WORDS, BASE_SCORE = 6, 2, 0.5
+INDEX_WORDS, LOOKUP_WORDS, MIN_WORDS, BASE_SCORE = 12, 6, 2, 0.5
+#: Of the words that more than one row in so many holds, a template is indexed under no more than it needs for this many words.
+COMMON, LEAST_WORDS = 8, 3
+
+_AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+_BSD_1 = f"{_BSD} 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+_BSD_2 = f"{_BSD_1} 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_3 = f"{_BSD_2} 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_END = (
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and "
+    "fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages "
+    "including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract "
+    "strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+_MIT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including "
+    "without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to "
+    f"the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software {_AS_IS} in no event shall the authors or "
+    "copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other "
+    "dealings in the software"
+)
+_ISC = (
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all "
+    "copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author "
+    "be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious "
+    "action arising out of or in connection with the use or performance of this software"
+)
+_APACHE = (
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license "
+    "2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or "
+    "implied see the license for the specific language governing permissions and limitations under the license"
+)
+
+
+def _later(name: str, version: str) -> str:
+    """The notice by which a program is put under a licence of the GNU family, or a later version of it."""
+    return (
+        f"this program is free software you can redistribute it and or modify it under the terms of the gnu {name} as published by the free software foundation either version {version} of the license or at "
+        f"your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular "
+        f"purpose see the gnu {name} for more details"
+    )
+
+
+def _later_keys(name: str, version: str) -> tuple[str, str]:
+    return (f"under the terms of the gnu {name} as published", f"either version {version} of the license or at your option any later version")
+
 
 #: Fixed values: (label, notice, mandatory key phrases); words as the scan sees them.
 TEMPLATES = (
@@ -40,6 +87,22 @@ TEMPLATES = (
     ("mit", "released under the mit license", ("under the mit license",)),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge", "obtaining a copy of this software")),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2 0",)),
+    ("mit", _MIT, ("permission is hereby granted free of charge", "the rights to use copy modify merge publish distribute sublicense")),
+    ("bsd-2-clause", f"{_BSD_2} {_BSD_END}", ("redistribution and use in source and binary forms", "provided with the distribution this software is provided by the copyright holders")),
+    ("bsd-3-clause", f"{_BSD_3} {_BSD_END}", ("redistribution and use in source and binary forms", "may be used to endorse or promote products derived from this software")),
+    ("isc", _ISC, ("with or without fee is hereby granted", "the author disclaims all warranties with regard to this software")),
+    ("apache-2.0", _APACHE, ("apache license version 2 0 the license", "except in compliance with the license")),
+    *((f"{label}-or-later", _later(name, version), _later_keys(name, version)) for label, name, version in (
+        ("gpl-2.0", "general public license", "2"), ("gpl-3.0", "general public license", "3"), ("lgpl-2.1", "lesser general public license", "2 1"),
+        ("lgpl-3.0", "lesser general public license", "3"), ("agpl-3.0", "affero general public license", "3"),
+    )),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ("mozilla public license v 2 0", "if a copy of the mpl was not distributed")),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ("free and unencumbered software released into the public domain",)),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", ("permission is granted to anyone to use this software for any purpose", "and to alter it and redistribute it freely")),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("any person or organization obtaining a copy", "accompanying documentation covered by this license")),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0", ("eclipse public license v 2 0",)),
+    ("cc0-1.0", "has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related or neighboring rights",)),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", ("changing it is allowed as long as the name is changed",)),
 )
 #: Fixed values: (label, base phrase).
 BASE = (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved"))
@@ -51,22 +114,24 @@ def words_of(text: Column) -> Column:
 
 
 def document_frequencies(docs: DataFrame, vocabulary: Iterable[str], text: str = "text") -> tuple[int, dict[str, int]]:
-    """Number of rows, and rows that hold each word of the fixed vocabulary."""
+    """Number of rows, and rows that hold each word of the fixed vocabulary, in one pass; the empty word stands for all rows."""
     wanted = sorted(set(vocabulary))
-    counts = [F.count(F.lit(1)).alias("_rows")]
-    found = docs.select(words_of(F.col(f"`{text}`")).alias("w")).select(F.array_distinct(F.filter("w", lambda w: w.isin(wanted))).alias("w"))
-    per_word = found.select(F.explode("w").alias("w")).groupBy("w").agg(*counts)
-    return docs.count(), {r["w"]: r["_rows"] for r in per_word.collect()}
+    held = F.array_distinct(F.filter(words_of(F.col(f"`{text}`")), lambda w: w.isin(wanted)))
+    found = docs.select(F.explode(F.concat(F.array(F.lit("")), held)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["w"]: r["n"] for r in found.collect()}
+    return counts.pop("", 0), counts
 
 
-def build_index(rows: int, frequencies: dict[str, int]) -> dict[str, list[tuple[int, int]]]:
-    """Postings ``(template, place)`` of each indexed word, words of the highest inverse document frequency first."""
+def build_index(rows: int, frequencies: dict[str, int]) -> dict[str, list[tuple[int, int, int]]]:
+    """Postings ``(template, place, rank of the word)`` of each indexed word, words of the highest inverse document frequency first."""
     idf = lambda w: math.log((rows + 1) / (frequencies.get(w, 0) + 1))
-    index: dict[str, list[tuple[int, int]]] = {}
+    index: dict[str, list[tuple[int, int, int]]] = {}
     for t, (_, notice, _) in enumerate(TEMPLATES):
         own = notice.split()
-        for word in sorted(set(own), key=lambda w: (-idf(w), own.index(w)))[:INDEX_WORDS]:
-            index.setdefault(word, []).extend((t, p) for p, w in enumerate(own) if w == word)
+        best = sorted(set(own), key=lambda w: (-idf(w), own.index(w)))[:INDEX_WORDS]
+        best = [w for r, w in enumerate(best) if r < LEAST_WORDS or COMMON * frequencies.get(w, 0) <= rows]
+        for rank, word in enumerate(best):
+            index.setdefault(word, []).extend((t, p, rank) for p, w in enumerate(own) if w == word)
     return dict(sorted(index.items(), key=lambda x: (-idf(x[0]), x[0])))
 
 
@@ -114,13 +179,21 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     places = {label: places_of(label, phrase) for label, phrase in BASE}
 
     # Maps and arrays of constants stay literals of the plan.
-    postings = F.create_map(*[c for w, p in index.items() for c in (F.lit(w), _structs(p, "t", "p"))])
+    postings = F.create_map(*[c for w, p in index.items() for c in (F.lit(w), _structs(p, "t", "p", "r"))])
     keys = F.array(*[_structs(k, "o", "n", "s") for k in _key_phrases()])
-    notices = F.array(*[F.array(*map(F.lit, notice.split())) for _, notice, _ in TEMPLATES])
+    notices = F.array(*[F.split(F.lit(notice), " ") for _, notice, _ in TEMPLATES])
     names = F.array(*[F.lit(label) for label, _, _ in TEMPLATES])
-    nothing = F.array().cast("array<struct<t:int,p:int>>")
-    begun = F.flatten(F.transform(spots, lambda x: F.transform(F.coalesce(postings[x["w"]], nothing), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["p"]).alias("s")))))
-    body = body.withColumns({f"_at_{label}": place for label, place in places.items()} | {"_begun": F.sort_array(begun)})
+    nothing = F.array().cast("array<struct<t:int,p:int,r:int>>")
+    begun = F.flatten(F.transform(spots, lambda x: F.transform(F.coalesce(postings[x["w"]], nothing), lambda p: F.struct(p["t"].alias("t"), p["r"].alias("r"), (x["i"] - p["p"]).alias("s")))))
+    body = body.withColumns({f"_at_{label}": place for label, place in places.items()} | {"_met": begun})
+    # Of each template the words of the lowest ranks that the file has; ranks of one template are neighbours after sorting.
+    ranks = F.array_sort(F.array_distinct(F.transform("_met", lambda b: F.struct(b["t"].alias("t"), b["r"].alias("r")))))
+    body = body.withColumn("_ranks", ranks)
+    earlier = lambda i: F.get(F.col("_ranks"), F.greatest(i - LOOKUP_WORDS, F.lit(0)))
+    chosen = F.filter("_ranks", lambda x, i: (i < LOOKUP_WORDS) | (earlier(i)["t"] != x["t"]))
+    body = body.withColumn("_chosen", chosen)
+    looked = F.filter("_met", lambda b: F.array_contains(F.col("_chosen"), F.struct(b["t"].alias("t"), b["r"].alias("r"))))
+    body = body.withColumn("_begun", F.sort_array(F.transform(looked, lambda b: F.struct(b["t"].alias("t"), b["s"].alias("s")))))
     # Equal beginnings are neighbours after sorting; MIN_WORDS of them agree where one equals the one so far ahead of it.
     first, later = F.col("_begun"), F.slice("_begun", MIN_WORDS, F.greatest(F.size("_begun"), F.lit(1)))
     agreed = F.array_distinct(F.filter(F.zip_with(first, later, lambda a, b: F.when(a == b, a)), lambda a: a.isNotNull()))
@@ -146,4 +219,4 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
         "labels": F.array_join(F.sort_array(F.array_union("_base", own_labels)), ","),
         "score": F.greatest(F.when(F.size("_places") > 0, F.lit(BASE_SCORE)).otherwise(0.0), F.col("_best")),
     })
-    return out.drop("_words", "_spots", "_begun", "_valid", "_places", "_base", "_best", *[f"_at_{label}" for label, _ in BASE])
+    return out.drop("_words", "_spots", "_begun", "_met", "_ranks", "_chosen", "_valid", "_places", "_base", "_best", *[f"_at_{label}" for label, _ in BASE])

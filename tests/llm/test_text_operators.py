@@ -145,6 +145,44 @@ def test_licenses(spark):
     assert licenses.scanned(df.limit(0)).collect() == []
 
 
+def _license_brute(text, index):
+    """Labels, score and base places, every template tried at every place."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(low))
+    stands = lambda at, phrase: at >= 0 and words[at : at + len(phrase.split())] == phrase.split()
+    base = {label: [i for i in range(len(words)) if stands(i, phrase)] for label, phrase in licenses.BASE}
+    labels, score = {label for label, at in base.items() if at}, 0.5 if any(base.values()) else 0.0
+    for t, (label, notice, phrases) in enumerate(licenses.TEMPLATES):
+        own = notice.split()
+        ranks = sorted({(r, w) for w, posts in index.items() for k, _, r in posts if k == t and w in words})[: licenses.LOOKUP_WORDS]
+        for start in range(-len(own), len(words)):
+            met = sum(0 <= start + p < len(words) and words[start + p] == w for _, w in ranks for k, p, _ in index[w] if k == t)
+            firsts = [next(i for i in range(len(own)) if own[i : i + len(x.split())] == x.split()) for x in phrases]
+            if met >= licenses.MIN_WORDS and all(stands(start + at, x) for at, x in zip(firsts, phrases)):
+                labels.add(label)
+                score = max(score, sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(own)) / len(own))
+    every = sorted(x for at in base.values() for x in at)
+    return len(words), len(every), every[0] if every else None, every[-1] if every else None, ",".join(sorted(x for x, at in base.items() if at)), ",".join(sorted(labels)), score
+
+
+def test_licenses_equal_brute_force(spark):
+    rnd = random.Random(12)
+    prose = lambda n: [rnd.choice("the of software license a and under permission word gnu".split()) for _ in range(n)]
+    texts = [None, "", "all rights reserved"] + [" ".join(prose(60)) for _ in range(6)]
+    for _, notice, _ in licenses.TEMPLATES:
+        own = notice.split()
+        texts.append(f"{' '.join(prose(5))}, {notice.upper()}.")
+        texts.append(" ".join(prose(9) + [w if rnd.random() > 0.06 else "changed" for w in own] + prose(9)))
+        texts.append(" ".join(own[: rnd.randrange(len(own))] + prose(3) + own[rnd.randrange(len(own)) :]))
+    df = spark.createDataFrame([(i, t, "e") for i, t in enumerate(texts)], "doc_id long, text string, _begun string")
+    index = licenses.build_index(*licenses.document_frequencies(df, {w for _, n, _ in licenses.TEMPLATES for w in n.split()}))
+    for r in licenses.scanned(df.withColumnRenamed("_begun", "labels")).collect():
+        got = (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score)
+        assert got == _license_brute(texts[r.doc_id], index), texts[r.doc_id]
+    whole = {r.doc_id: r for r in licenses.scanned(df).collect()}
+    assert all(label in whole[9 + 3 * k].labels.split(",") and whole[9 + 3 * k].score == 1 for k, (label, _, _) in enumerate(licenses.TEMPLATES))
+
+
 def test_decontamination(spark):
     rnd = random.Random(4)
     item = [f"word{i}" for i in range(40)]
