@@ -148,6 +148,9 @@ def _key_phrases() -> list[list[tuple[int, int, str]]]:
     return out
 
 
+RESULTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def _structs(rows: Iterable[tuple], *names: str) -> Column:
     return F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(row, names)]) for row in rows])
 
@@ -159,7 +162,8 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     anchors = {phrase.split()[-1] if label == "reserved" else phrase.split()[0] for label, phrase in BASE}
     looked_up = sorted({*index, *anchors})
 
-    body = docs.withColumn("_words", words_of(F.col(f"`{text}`")))
+    own = [c for c in docs.columns if c not in RESULTS]
+    body = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), words_of(F.col(f"`{text}`")).alias("_words"))
     body = body.withColumn("_spots", F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(looked_up)))
     words, spots = F.col("_words"), F.col("_spots")
 
@@ -219,4 +223,4 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
         "labels": F.array_join(F.sort_array(F.array_union("_base", own_labels)), ","),
         "score": F.greatest(F.when(F.size("_places") > 0, F.lit(BASE_SCORE)).otherwise(0.0), F.col("_best")),
     })
-    return out.drop("_words", "_spots", "_begun", "_met", "_ranks", "_chosen", "_valid", "_places", "_base", "_best", *[f"_at_{label}" for label, _ in BASE])
+    return out.select(*[F.col(f"_row.`{c}`") for c in own], *RESULTS)

@@ -33,6 +33,7 @@ THRESHOLDS: tuple[tuple[str, float | None, float | None], ...] = (
     ("stop_ratio", 0.02, None),
     ("dup_line_ratio", None, 0.5),
 )
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "mean_word", "symbol_ratio", "shout_ratio", "stop_ratio", "dup_line_ratio")
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
@@ -42,7 +43,9 @@ def _ratio(part: Column, whole: Column) -> Column:
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with counts and ratios of each whole text."""
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    own = [c for c in docs.columns if c not in MEASURES]
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+    body = F.col("_text")
     stop = sorted(set(STOP_WORDS.split()))
     lines = F.filter(F.split(body, "\n", -1), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
     d = docs.withColumns({
@@ -85,7 +88,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "stop_ratio": _ratio(F.col("_stops"), n),
         "dup_line_ratio": _ratio(F.col("n_dup_lines"), F.col("_n_lines")),
     })
-    return d.drop("_words", "_lines", "_windows", "_repeats", "_shouts", "_chars", "_stops", "_n_lines")
+    return d.select(*[F.col(f"_row.`{c}`") for c in own], *MEASURES)
 
 
 def passes(thresholds: Sequence[tuple[str, float | None, float | None]] = THRESHOLDS) -> Column:

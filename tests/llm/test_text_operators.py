@@ -75,7 +75,8 @@ def test_quality_counts_equal_brute_force(spark):
     texts = [None, "", " \n ", "a b", "a a a", "a a a a", "x y z\nx y z\n\nx y z", "#$% & ok", "w " * 20_000]
     texts += ["\n".join(" ".join(rnd.choice("ab c the".split() + ["#1"]) for _ in range(rnd.randrange(9))) for _ in range(rnd.randrange(9))) for _ in range(80)]
     texts += [" ".join(["the", "and", "of", "word"] + [f"word{i}" for i in range(60)])]
-    got = quality.judge_quality(spark.createDataFrame([(i, t, "e") for i, t in enumerate(texts)], DOCS)).orderBy("doc_id").collect()
+    got = quality.judge_quality(spark.createDataFrame([(i, t, "e", "own") for i, t in enumerate(texts)], f"{DOCS}, _words string")).orderBy("doc_id").collect()
+    assert {r._words for r in got} == {"own"}
     for r, t in zip(got, texts):
         t = t or ""
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -180,6 +181,7 @@ def test_licenses_equal_brute_force(spark):
         got = (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score)
         assert got == _license_brute(texts[r.doc_id], index), texts[r.doc_id]
     whole = {r.doc_id: r for r in licenses.scanned(df).collect()}
+    assert {r._begun for r in whole.values()} == {"e"}
     assert all(label in whole[9 + 3 * k].labels.split(",") and whole[9 + 3 * k].score == 1 for k, (label, _, _) in enumerate(licenses.TEMPLATES))
 
 
