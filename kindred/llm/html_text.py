@@ -3,7 +3,8 @@
 One pass over the markup builds the tree of block elements; elements that never hold an article (menus, page headers,
 footers, sidebars, forms, scripts, adverts, notices, reader comments) are left out.  A class or id that names such a part
 is only a hint: an element that it names stays if the page's article lies in it, or most of the article's text, as names
-like ``has-sidebar`` are given to wrappers.  Paragraphs pass points for length
+like ``has-sidebar`` are given to wrappers, and so does a form (some sites put whole pages into one).  Only elements named for reader comments go
+whatever they hold.  Of a header within an article the headings stay, and the id of a heading is no name.  Paragraphs pass points for length
 and commas to their ancestors, half as much a level further up; a container's points are discounted by its share of link
 text.  The best container is taken (an ``article`` or ``main`` around it takes its place), with headings before it and those
 siblings that score well or are long and hardly linked.
@@ -38,7 +39,8 @@ BLOCKS = {
     "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "button", "svg", "object", "canvas", "video", "audio", "option",
 }
 VOID = {"hr"}
-DROPPED = {"nav", "header", "footer", "aside", "form", "head", "menu", "button", "select", "svg", "dialog", "fieldset", "object", "canvas", "video", "audio", "search"}
+DROPPED = {"nav", "header", "footer", "aside", "head", "menu", "button", "select", "svg", "dialog", "fieldset", "object", "canvas", "video", "audio", "search"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 NEVER_BY_NAME = {"html", "body", "article", "main"}
 UNWANTED = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies",
@@ -63,15 +65,17 @@ SIBLING_SHARE, SIBLING_CHARS, SIBLING_LINKS = 0.2, 80, 0.25
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "dropped", "named", "depth", "weight", "score", "chars", "linked", "end", "at")
+    __slots__ = ("tag", "parent", "dropped", "cut", "head", "named", "depth", "weight", "score", "chars", "linked", "end", "at")
 
     def __init__(self, tag: str, parent: _Node | None, dropped: bool, named: int, at: int) -> None:
         self.tag, self.parent, self.dropped, self.named, self.at = tag, parent, dropped, named, at
-        self.depth = (parent.depth if parent else 0) + (named > 0)  # elements around the text that are named as unwanted
+        self.depth = (parent.depth if parent else 0) + named  # how much the elements around the text are named as unwanted
+        self.cut = False  # dropped for the name of it or of an element around it
+        self.head = False  # in the header of an article, of which headings stay
         self.weight, self.score, self.chars, self.linked, self.end = 0.0, 0.0, 0, 0, at
 
 
-#: What an element's tag and attributes say of it: nothing, that its name may, that its name does, that it surely is unwanted.
+#: What an element's tag and attributes say of it: nothing, that it may be unwanted, that it holds comments, that it surely is unwanted.
 WANTED, HINTED, NAMED, UNFIT = range(4)
 
 
@@ -79,17 +83,17 @@ def _unwanted(tag: str, attributes: str) -> int:
     if tag in DROPPED:
         return UNFIT
     if not attributes or tag in NEVER_BY_NAME:
-        return WANTED
+        return HINTED if tag == "form" else WANTED
     found = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(attributes)}
     if found.get("role", "").lower() in ROLES or found.get("aria-hidden", "").lower() == "true":
         return UNFIT
     if re.search(r"display\s*:\s*none", found.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes):
         return UNFIT
-    names = _STATE.sub(" ", f"{found.get('class', '')} {found.get('id', '')}".lower())
+    names = _STATE.sub(" ", f"{found.get('class', '')} {'' if tag in HEADINGS else found.get('id', '')}".lower())
     words = UNWANTED.intersection(_TOKEN.findall(names))
     if not words:
-        return WANTED
-    return HINTED if words.isdisjoint(names.split()) and words.isdisjoint(COMMENTS) else NAMED
+        return HINTED if tag == "form" else WANTED
+    return HINTED if words.isdisjoint(COMMENTS) else NAMED
 
 
 def _inside(node: _Node, top: _Node) -> bool:
@@ -137,7 +141,8 @@ class _Page:
         for node in self.nodes:
             around = _inside(scope, node)
             holds = node.named == HINTED and _inside(node, scope) and 2 * node.weight > scope.weight
-            node.dropped = node.dropped or bool(node.parent and node.parent.dropped) or bool(node.named and not around and not holds)
+            node.cut = bool(node.parent and node.parent.cut) or bool(node.named and not around and not holds)
+            node.dropped = node.dropped or node.cut
         self.blocks = [b for b in self.blocks if not b[0].dropped]
 
     def _flush(self) -> None:
@@ -183,7 +188,12 @@ class _Page:
             return
         parent = self.stack[-1]
         named = WANTED if parent.dropped else _unwanted(tag, attributes)
-        node = _Node(tag, parent, parent.dropped or named == UNFIT, named % UNFIT, len(self.nodes))
+        title = parent.head and tag in HEADINGS
+        if title:
+            named = _unwanted(tag, attributes)
+        node = _Node(tag, parent, (parent.dropped and not title) or named == UNFIT, named % UNFIT, len(self.nodes))
+        inside = self.open.get("article") or self.open.get("main")
+        node.head = parent.head and tag in ("div", "span", "hgroup") or (tag == "header" and bool(inside) and not parent.dropped)
         self.nodes.append(node)
         self.open[tag] = self.open.get(tag, 0) + 1
         if not attributes.endswith("/") or tag != "svg":

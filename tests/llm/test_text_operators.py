@@ -1,3 +1,4 @@
+import html
 import random
 import re
 import tracemalloc
@@ -111,6 +112,9 @@ LONG = "A sentence, with commas, that is long enough to count as a paragraph of
     (f"<main><article><p>{LONG}</p></article><article><p>{LONG} B</p></article></main>", f"{LONG}\n{LONG} B"),
     (f"<h1>T</h1><article><p>{LONG}</p></article><article><a href=1>teaser</a></article>", f"T\n{LONG}"),
     (f"<article><p>{LONG * 9}</p></article><div>{'<div>' * 9}{LONG}{'</div>' * 9}</div>", f"{LONG * 9}\n{LONG}"),
+    (f"<main><section id=notice><p>{LONG}</p></section></main>", LONG), (f"<form id=f action=x><div id=c><p>{LONG}</p><p>{LONG} B</p></div></form>", f"{LONG}\n{LONG} B"),
+    (f"<article><h2 id=share>Shares fell</h2><p>{LONG}</p></article>", f"Shares fell\n{LONG}"), (f"<article><header class=x><div><h1>T</h1></div><p>by A. Writer, who wrote this</p></header><p>{LONG}</p></article>", f"T\n{LONG}"),
+    (f"<header><h1>Site</h1></header><article><p>{LONG}</p><form><p>subscribe, now, to all of our letters</p></form></article>", LONG),
 ])
 def test_siblings_of_an_article(page, text):
     assert html_text.extract(page) == text
@@ -120,10 +124,39 @@ def test_siblings_of_an_article(page, text):
 def test_wrappers_named_like_unwanted_parts(name):
     rest = f"<div class=sidebar><p>{LONG} S</p></div><div id=comments><p>{LONG * 9}</p></div>"
     assert html_text.extract(f"<div class='{name}'><article><p>{LONG}</p></article>{rest}</div>") == LONG
-    assert html_text.extract(f"<div id=content class='{name}'><p>{LONG * 3}</p>{rest.replace(LONG * 9, LONG)}</div>") == (LONG * 3 if name != "sidebar" else "")
+    assert html_text.extract(f"<div id=content class='{name}'><p>{LONG * 3}</p>{rest.replace(LONG * 9, LONG)}</div>") == LONG * 3
     assert html_text.extract(f"<div><p>{LONG * 2}</p></div><div id=comments class='{name}'><article><p>{LONG}</p></article></div>") == LONG * 2
 
 
+def test_known_articles_are_extracted():
+    rnd = random.Random(3)
+    words = [f"{a}{b}" for a in ("ver", "tal", "no", "sum", "&amp;", "é") for b in ("ta", "ris", "ne", "lo")]
+    prose = lambda n: " ".join(rnd.choice(words) + rnd.choice(["", "", ","]) for _ in range(n))
+    for _ in range(300):
+        blocks_, page = [prose(rnd.randrange(2, 9))], []
+        page.append(f"<h1 class=title>{blocks_[0]}</h1>")
+        for _ in range(rnd.randrange(1, 9)):
+            text = prose(rnd.randrange(6, 60))
+            kind = rnd.randrange(4)
+            if kind == 0:
+                items = [prose(rnd.randrange(1, 9)) for _ in range(rnd.randrange(1, 4))]
+                blocks_ += items
+                page.append("<ul>" + "".join(f"<li>{i}" for i in items) + "</ul>")
+            else:
+                blocks_.append(text)
+                page.append([f"<p>{text}</p>", f"<p>{text}<br>", f"<blockquote><b>{text}</b></blockquote>"][kind - 1])
+            if rnd.random() < 0.3:
+                page.append(rnd.choice([f"<aside><p>{prose(50)}</p></aside>", f"<div class='ad'>{prose(9)}</div>", f"<script>var x='<p>{prose(9)}</p>'</script>", f"<form><p>{prose(5)}</p><button>{prose(2)}</button></form>", f"<!-- <p>{prose(30)}</p> -->"]))
+        links = "".join(f"<li><a href='/{i}'>{prose(2)}</a></li>" for i in range(rnd.randrange(2, 30)))
+        around = [f"<nav><ul>{links}</ul></nav>", f"<footer><p>{prose(20)}</p></footer>", f"<div class=sidebar><p>{prose(70)}</p></div>", f"<div id=comments><article><p>{prose(90)}</p></article></div>", f"<div class='cookie-notice'><p>{prose(20)}</p></div>"]
+        rnd.shuffle(around)
+        at = rnd.randrange(len(around))
+        body = f"<article>{''.join(page)}</article>"
+        body = rnd.choice(["{}", "<main class=content>{}</main>", "<div class='has-sidebar'><div id=page>{}</div></div>", "<form id=aspnet>{}</form>"]).format(body)
+        want = "\n".join(" ".join(html.unescape(b).split()) for b in blocks_)
+        assert html_text.extract(f"<html><head><title>{prose(4)}</title></head><body>{''.join(around[:at])}{body}{''.join(around[at:])}</body></html>") == want
+
+
 def test_pages_keep_other_columns(spark):
     rows = [(1, "u", "<p>é</p>", "clash"), (1, "u", "<p>é</p>", "clash"), (2, None, None, None)]
     got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).orderBy("page_id").collect()
