@@ -46,13 +46,14 @@ def source_targets(sizes: DataFrame, ws: Workspace, cap: int = CAP) -> DataFrame
     # A source is capped before those that have more words for their weight: walk them in that order.
     ratio = [(F.col("source_size") / F.col("weight")).asc(), F.col("source").asc_nulls_last()]
     walked = with_sums_before(ranked, ratio, {"_capped": "_most", "_passed": "weight"}, ws, "walked")
-    whole = ranked.agg(F.sum("source_size").alias("_all"), F.sum("weight").alias("_weights"))
-    walked = walked.crossJoin(F.broadcast(whole))  # one row
-    level = (F.col("_all") - F.col("_capped")) / (F.col("_weights") - F.col("_passed"))
-    fits = level * F.col("weight") <= F.col("_most")
-    highest = walked.agg(F.coalesce(F.max(F.when(fits, level)), F.lit(0.0)).alias("_level"))
-    target = F.least(F.col("_most").cast("double"), F.col("_level") * F.col("weight"))
-    return walked.crossJoin(F.broadcast(highest)).select("source", "source_size", F.col("weight").cast("double").alias("weight"), target.alias("target"))
+    walked = ws.save(walked, "levels")
+    size, weights = walked.agg(F.sum("source_size"), F.sum("weight")).first()
+    if not size:
+        return walked.select("source", "source_size", F.col("weight").cast("double").alias("weight"), F.lit(0.0).alias("target"))
+    level = (F.lit(size) - F.col("_capped")) / (F.lit(weights) - F.col("_passed"))
+    highest = walked.agg(F.max(F.when(level * F.col("weight") <= F.col("_most"), level))).first()[0] or 0.0
+    target = F.least(F.col("_most").cast("double"), F.lit(highest) * F.col("weight"))
+    return walked.select("source", "source_size", F.col("weight").cast("double").alias("weight"), target.alias("target"))
 
 
 def apportioned(table: DataFrame, group: list[str], seats: str, share: str, keys: list[str], ws: Workspace, name: str = "seats") -> DataFrame:
@@ -63,7 +64,7 @@ def apportioned(table: DataFrame, group: list[str], seats: str, share: str, keys
     With ``n`` rows that share ``v`` and ``N`` seats, ``round(v_i * N * t / v)`` summed over the rows differs from ``N * t`` by ``n / 2`` at most.  So the
     last quotient that wins lies between ``v / (2 N + n)`` and ``v / (2 N - n)``: quotients above win, and about two a row lie between.
     """
-    same = lambda a, b: F.lit(True) if not group else _all([F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.{g}")) for g in group])
+    same = lambda a, b: _all([F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.{g}")) for g in group])
     able = table.where((F.col(share) > 0) & (F.col(seats) > 0))
     sums = able.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.sum(share).alias("_v"), F.max(seats).alias("_seats"))
     low, high = F.col("_v") / (2 * F.col("_seats") + F.col("_n")), F.when(2 * F.col("_seats") > F.col("_n"), F.col("_v") / (2 * F.col("_seats") - F.col("_n")))
@@ -125,9 +126,9 @@ def plan(sizes: DataFrame, ws: Workspace, words: int, block_words: int = BLOCK_W
     ``source, _shard, source_size, target, _passes`` (times that all its documents are taken), and where the first blocks end that are
     taken once more: ``_cut``, the place of the document that is cut (null: none), and ``_cut_words``, what is taken of it.
     """
-    sources = source_targets(sizes, ws, cap).withColumn("_blocks", F.lit(words // block_words))
-    sources = apportioned(sources, [], "_blocks", "target", ["source"], ws, "sources")
-    sources = sources.select(F.col("source").alias("_s"), "source_size", "target", F.col("quota").alias("_blocks"))
+    sources = source_targets(sizes, ws, cap).withColumns({"_blocks": F.lit(words // block_words), "_mix": F.lit(0)})
+    sources = apportioned(sources, ["_mix"], "_blocks", "target", ["source"], ws, "sources")
+    sources = ws.save(sources.select(F.col("source").alias("_s"), "source_size", "target", F.col("quota").alias("_blocks")), "quotas")
 
     cells = sizes.groupBy("source", "_shard").agg(F.sum("size").alias("cell"))
     cells = ws.save(cells.join(sources, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "cells")
