@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 import pandas as pd
@@ -25,6 +26,11 @@ def _base_letters() -> tuple[str, str]:
 _ACCENTED, _PLAIN = _base_letters()
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim(x: Column) -> Column:
     """Without leading and trailing characters up to U+0020 (blanks, tabs and other controls)."""
     return F.regexp_replace(x, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
@@ -43,8 +49,8 @@ def split_columns(x: Column) -> Column:
 
 def order_occurrences(x: Column) -> Column:
     """Repeated values trimmed, distinct and sorted, joined by the separator again; a single value is unchanged."""
-    parts = F.array_sort(F.array_distinct(F.transform(F.split(x, OCCURRENCE, -1), trim)))
-    return F.when(x.contains(OCCURRENCE), F.array_join(parts, OCCURRENCE)).otherwise(x)
+    parts = lambda v: F.array_sort(F.array_distinct(F.transform(F.split(v, OCCURRENCE, -1), trim)))
+    return once(x, lambda v: F.when(v.contains(OCCURRENCE), F.array_join(parts(v), OCCURRENCE)).otherwise(v))
 
 
 def _compact(x: Column) -> Column:
@@ -67,10 +73,14 @@ def limit_size(x: Column, most: int = MAX_TEXT) -> Column:
     """Long texts are cut to a left, middle and right third."""
     third, extra = divmod(most, 3)
     middle, right = third + (extra > 0), third + (extra > 1)
-    n = F.length(x)
-    start = F.floor(n / 2) - middle // 2 + 1
-    cut = F.concat(F.substring(x, 1, third), F.substring(x, start.cast("int"), F.lit(middle)), F.substring(x, (n - right + 1).cast("int"), F.lit(right)))
-    return F.when(n > most, cut).otherwise(x)
+
+    def cut(v: Column) -> Column:
+        n = F.length(v)
+        start = F.floor(n / 2) - middle // 2 + 1
+        parts = F.substring(v, 1, third), F.substring(v, start.cast("int"), F.lit(middle)), F.substring(v, (n - right + 1).cast("int"), F.lit(right))
+        return F.when(n > most, F.concat(*parts)).otherwise(v)
+
+    return once(x, cut)
 
 
 def search_text(x: Column) -> Column:

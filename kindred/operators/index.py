@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -13,6 +14,8 @@ from kindred.sources.records import with_fields
 #: BM25 parameters; weights are kept as whole numbers of this unit so that sums don't depend on order.
 K1, B, UNIT = 1.2, 0.75, 1e9
 
+_VERSION = re.compile(r"v([0-9]{8,})-(-?[0-9]+)")
+
 
 @dataclass
 class Index:
@@ -101,25 +104,52 @@ def build_index(records: DataFrame, schema: MatchSchema, upsert_key: str = "raw"
     return Index(schema, docs, build_postings(docs, schema.indexed.name))
 
 
-def write_index(index: Index, path: str) -> Index:
-    """Writes both tables anew; postings lie together by gram."""
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, int, str]]:
+    """Committed versions of the index at ``path`` in order: number, batch and folder."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(conf)
+    names = [s.getPath().getName() for s in store.listStatus(root)] if store.exists(root) else []
+    found = [(m, f"{path}/{m[0]}") for n in names if (m := _VERSION.fullmatch(n))]
+    return sorted((int(m[1]), int(m[2]), folder) for m, folder in found if store.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/postings/_SUCCESS")))
+
+
+def write_index(index: Index, path: str, batch: int = -1) -> Index:
+    """Writes both tables as a new version, which readers see once its postings are whole; postings lie together by gram.
+
+    The version before stays for its readers, older ones are deleted.  ``batch`` is kept with the version (:func:`last_batch`).
+    """
     spark = index.docs.sparkSession
-    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    docs = spark.read.parquet(f"{path}/docs")
+    old = _versions(spark, path)
+    folder = f"{path}/v{old[-1][0] + 1 if old else 0:08}-{batch}"
+    index.docs.write.mode("overwrite").parquet(f"{folder}/docs")
+    docs = spark.read.parquet(f"{folder}/docs")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    build_postings(docs, index.schema.indexed.name).repartitionByRange(n, "gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/postings")
+    build_postings(docs, index.schema.indexed.name).repartitionByRange(n, "gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{folder}/postings")
+    for _, _, gone in old[:-1]:
+        spent = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(gone)
+        spent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(spent, True)
     return open_index(spark, path, index.schema)
 
 
 def open_index(spark: SparkSession, path: str, schema: MatchSchema) -> Index:
-    return Index(schema, spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings"))
+    """The last committed version of a written index."""
+    versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(f"no index at {path}")
+    folder = versions[-1][2]
+    return Index(schema, spark.read.parquet(f"{folder}/docs"), spark.read.parquet(f"{folder}/postings"))
+
+
+def last_batch(spark: SparkSession, path: str) -> int:
+    """The number that the last version was written with; -1 without any."""
+    versions = _versions(spark, path)
+    return versions[-1][1] if versions else -1
 
 
-def update_index(index: Index, docs: DataFrame, path: str) -> Index:
-    """Replaces the documents of a written index: the new ones are written beside the old before those are replaced."""
-    spark = docs.sparkSession
-    docs.write.mode("overwrite").parquet(f"{path}/docs-next")
-    return write_index(Index(index.schema, spark.read.parquet(f"{path}/docs-next"), index.postings), path)
+def update_index(index: Index, docs: DataFrame, path: str, batch: int = -1) -> Index:
+    """Replaces the documents of a written index by a new version; ``docs`` may read the old one."""
+    return write_index(Index(index.schema, docs, index.postings), path, batch)
 
 
 def terms(docs: DataFrame, indexed: str) -> DataFrame:

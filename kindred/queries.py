@@ -19,22 +19,30 @@ SCHEMA = MatchSchema(
 SEARCH3_SCHEMA = MatchSchema("documents", SCHEMA.fields, (*SCHEMA.tiers, Tier(0.0, 1)))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: A schema with a field of every kind.
+EVERY_FIELD = MatchSchema(
+    "documents",
+    (
+        *SCHEMA.fields[:3], FieldSpec("authorsField", "authors", 3), FieldSpec("exactField", "lang", 4, "DENY_DUP"), FieldSpec("exactField", "length", 5, "MAX_SCORE"), FieldSpec("regExpField", "number", 6, pattern=r"([0-9]+)", group=1, required="lang"),
+        FieldSpec("nGramField", "journal", 7, min_score=0.7), FieldSpec("diceField", "abstract", 8, min_score=0.8), FieldSpec("noCompField", "note", 9),
+    ),
+    (Tier(1.0, 1), Tier(0.9, 2), Tier(0.7, 3)),
+)
 
 
-def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, title, lang, source``: the first line of each document's text, which is what ``SQL`` states."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", 2)[0].alias("title"), "lang", "source")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table, dealt to all cores where its files alone would leave some idle (small tables only)."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``titles`` with the whole text as title, on one line as a record needs it."""
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, title, lang, source``: each document's whole text, on one line as a record needs it."""
     return table(spark, sf_dir, "documents").select("doc_id", F.translate("text", "\r\n", "  ").alias("title"), "lang", "source")
 
 
-def document_records(spark: SparkSession, sf_dir: str, shown: Callable[[SparkSession, str], DataFrame] = titles) -> DataFrame:
-    docs = shown(spark, sf_dir)
+def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = titles(spark, sf_dir)
     return docs.select(F.col("doc_id").alias("seq"), F.array("source", F.col("doc_id").cast("string"), "title", "lang").alias("fields"))
 
 
@@ -59,7 +67,7 @@ def limit_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", F.split("text", "\n", 2)[0].alias("t")).alias("x"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", F.col("text").alias("t")).alias("x"))
     return turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), text.OCCURRENCE).alias("joined"))
 
 
@@ -120,7 +128,7 @@ def dice_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ngram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    norm = whole_texts(spark, sf_dir).select("doc_id", text.search_text(F.col("title")).alias("a"))
+    norm = titles(spark, sf_dir).select("doc_id", text.search_text(F.col("title")).alias("a"))
     other = norm.select((F.col("doc_id") + 1).alias("doc_id"), F.col("a").alias("b"))
     return norm.join(other, "doc_id").select("doc_id", F.round(similarity.ngram_similarity(F.col("a"), F.col("b")).cast("double"), 5).alias("similarity"))
 
@@ -205,7 +213,7 @@ def line_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def adjacent_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = whole_texts(spark, sf_dir).select(F.col("doc_id").alias("seq"), F.translate("title", "|", " ").alias("line"))
+    docs = titles(spark, sf_dir).select(F.col("doc_id").alias("seq"), F.translate("title", "|", " ").alias("line"))
     return tools.adjacent_similarity(docs).withColumn("dist", F.round(F.col("dist").cast("double"), 5))
 
 
@@ -262,7 +270,7 @@ def html_unescape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _matches(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    docs = document_records(spark, sf_dir, whole_texts)
+    docs = document_records(spark, sf_dir)
     return match.match(docs, index.build_index(docs, SCHEMA), **options)
 
 
@@ -288,6 +296,55 @@ def dedup_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.json_lines(_matches(spark, sf_dir), SCHEMA)
 
 
+def every_field_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with a field of every kind: the whole text is the indexed one, the others come from the other columns."""
+    docs = titles(spark, sf_dir)
+    number, few = F.col("doc_id").cast("string"), (F.col("doc_id") % 7).cast("string")
+    people = F.concat_ws(text.OCCURRENCE, F.concat_ws(", ", "source", "lang"), F.concat_ws(", ", "lang", few))
+    pages, journal, abstract = F.concat_ws(" ", F.lit("p."), few, F.lit("ff")), F.concat_ws(" ", F.lit("journal of"), "source"), F.concat_ws(" ", "lang", "source", few)
+    fields = F.array("source", number, "title", people, "lang", few, pages, journal, abstract, F.lit("x"))
+    return docs.select(F.col("doc_id").alias("seq"), F.transform(fields, lambda v: F.coalesce(v, F.lit(""))).alias("fields"))
+
+
+def match_every_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against all under a schema with a field of every kind: pairs with the verdict on each field."""
+    docs = every_field_records(spark, sf_dir)
+    found = match.match(docs, index.build_index(docs, EVERY_FIELD), self_check=True, keys="normalized")
+    verdicts = F.array_join(F.transform("checks", lambda c: F.concat_ws(":", c["field"], c["condition"])), " ")
+    return found.select(F.col("q_seq").alias("a"), F.col("seq").alias("b"), verdicts.alias("verdicts"))
+
+
+def parse_query_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query lines in both notations: piped, and with a quoted field that holds a pipe."""
+    items = table(spark, sf_dir, "benchmark")
+    body = F.translate("text", '\r\n|"', "    ")
+    quoted = F.concat(F.lit('"'), body, F.lit('|b"'))
+    line = F.concat_ws("|", F.lit("db"), F.col("item_id").cast("string"), F.when(F.col("item_id") % 2 == 0, quoted).otherwise(body), F.lit("en"))
+    parsed = records.parse_queries(items.select(F.col("item_id").alias("seq"), line.alias("line")), SCHEMA, exact=False)
+    return parsed.select("seq", F.array_join("fields", "~").alias("fields"))
+
+
+def split_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of several records taken apart: records of each document."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text")
+    return records.lines_of_documents(docs).groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.max("line").alias("last"))
+
+
+def bad_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that aren't UTF-8, set apart: every fifth name has its last byte replaced."""
+    name = F.col("c_name").cast("binary")
+    spoilt = F.concat(name, F.when(F.col("c_custkey") % 5 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("41")))).cast("string")
+    good, bad = records.sound_lines(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seq"), spoilt.alias("line")))
+    return good.select("seq", "line").unionByName(bad.select("seq", F.lower(F.hex("bytes")).alias("line")))
+
+
+def numbered_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result lines numbered within each query, highest string first."""
+    orders = table(spark, sf_dir, "orders")
+    lines = orders.select(F.col("o_custkey").alias("q_seq"), F.concat_ws("|", "o_orderpriority", "o_orderstatus", F.col("o_orderkey").cast("string")).alias("line"))
+    return render.numbered(lines).select("q_seq", "line")
+
+
 def search_without_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = match.match(benchmark_records(spark, sf_dir), _document_index(spark, sf_dir, SEARCH3_SCHEMA), use_similarity=False)
     return found.select(F.col("q_seq").alias("item_id"), F.col("seq").alias("doc_id"))
@@ -317,7 +374,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         dice_multiset, dice_set, ngram_similarity, exact_compare, regexp_compare, tier_accept, pair_key_dedup, aggregate_count, common_lines_semi, common_lines_keyed,
         common_lines_second, compare_files, compare_totals, compare_groups, line_difference, adjacent_similarity, upsert_last_wins, delete_exact, delete_prefix, export_pipe,
         required_field_violations, parse_index_lines, parse_rejects, json_to_pipe, html_unescape, dedup_match, dedup_match_self_check, dedup_match_report, dedup_match_full,
-        dedup_json, search_without_similarity, compare_results, check_result_report,
+        dedup_json, match_every_field, parse_query_lines, split_records, bad_bytes, numbered_results, search_without_similarity, compare_results, check_result_report,
     )
 }
 
@@ -334,9 +391,11 @@ def _limit(x: str, most: int = 90) -> str:
     return f"CASE WHEN length({x}) > {most} THEN substr({x}, 1, {third}) || substr({x}, length({x}) // 2 - {mid // 2} + 1, {mid}) || right({x}, {right}) ELSE {x} END"
 
 
-_TITLES = f"""t0 AS (SELECT doc_id, source, lang, string_split(text, chr(10))[1] AS title, {_norm("string_split(text, chr(10))[1]")} AS n FROM documents),
-docs1 AS (SELECT doc_id, source, lang, trim(title, ' ' || chr(9)) AS title, trim({_limit("n")}) AS norm FROM t0)"""
-_TURNS = "joined AS (SELECT conv_id, string_agg(string_split(text, chr(10))[1], '//@//' ORDER BY turn, string_split(text, chr(10))[1]) AS j, count(*) AS n FROM conversations GROUP BY conv_id)"
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_LINE = "replace(replace(text, chr(13), ' '), chr(10), ' ')"
+_TITLES = f"""t0 AS (SELECT doc_id, source, lang, {_LINE} AS title, {_norm(_LINE)} AS n FROM documents),
+docs1 AS (SELECT doc_id, source, lang, trim(title, {_SPACE}) AS title, trim({_limit("n")}) AS norm FROM t0)"""
+_TURNS = "joined AS (SELECT conv_id, string_agg(text, '//@//' ORDER BY turn, text) AS j, count(*) AS n FROM conversations GROUP BY conv_id)"
 _BIGRAMS = """a AS (SELECT p_partkey, substr(p_name, i, 2) AS g, count(*) AS c FROM (SELECT p_partkey, p_name, unnest(range(1, length(p_name))) AS i FROM part) GROUP BY ALL),
 b AS (SELECT p_partkey, substr(p_type, i, 2) AS g, count(*) AS c FROM (SELECT p_partkey, p_type, unnest(range(1, length(p_type))) AS i FROM part) GROUP BY ALL)"""
 _LINES = "l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS nth FROM documents), l AS (SELECT doc_id, doc_id * 1000000 + nth AS seq, trim(line, ' ' || chr(9) || chr(13)) AS line FROM l0 WHERE trim(line, ' ' || chr(9) || chr(13)) <> '')"
@@ -354,6 +413,21 @@ sc AS (SELECT item_id, doc_id, CAST(sum(qf * weight) AS BIGINT) AS u FROM q JOIN
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY u DESC, doc_id) AS rank FROM sc)"""
 
 
+def _similarities(pairs: str) -> str:
+    """``sims(k, s)``: n-gram similarity of ``pairs(k, a, b)``, its edit table row by row in single precision."""
+    codes = lambda x: f"list_transform(range(1, length({x}) + 3), lambda i: CASE WHEN i < 3 THEN 0 ELSE unicode({x}[i - 2]) END)"
+    wrong = " + ".join(f"(ca[i + {g}] <> cb[j + {g}])::INTEGER" for g in range(3))
+    width = "3 - " + " - ".join(f"(ca[i + {g}] = 0 AND cb[j + {g}] = 0)::INTEGER" for g in range(2))
+    best = f"list_transform(range(1, la + 1), lambda i: [least(row[i + 1] + 1::FLOAT, row[i] + (({wrong})::FLOAT / ({width})::FLOAT))])"
+    return f"""codes AS (SELECT k, a, b, length(a) AS la, length(b) AS lb, {codes("a")} AS ca, {codes("b")} AS cb FROM {pairs}),
+steps AS (WITH RECURSIVE r AS (SELECT k, 0 AS j, la, lb, ca, cb, list_transform(range(0, la + 1), lambda i: i::FLOAT) AS row FROM codes WHERE a <> b AND least(la, lb) >= 3
+  UNION ALL SELECT k, j, la, lb, ca, cb, list_reduce({best}, lambda done, x: list_append(done, least(x[1], done[-1] + 1::FLOAT)), [j::FLOAT]) FROM (SELECT k, j + 1 AS j, la, lb, ca, cb, row FROM r WHERE j < lb))
+  SELECT k, row[-1] AS d FROM r WHERE j = lb),
+sims AS (SELECT k, CASE WHEN a = b THEN 1::FLOAT WHEN a = '' OR b = '' THEN 0::FLOAT
+  WHEN least(la, lb) < 3 THEN len(list_filter(range(3, least(la, lb) + 3), lambda i: ca[i] = cb[i]))::FLOAT / greatest(la, lb)::FLOAT
+  ELSE 1::FLOAT - d / greatest(la, lb)::FLOAT END AS s FROM codes LEFT JOIN steps USING (k))"""
+
+
 def _verdict(a: str, b: str, other: str) -> str:
     return f"CASE WHEN {a} = '' OR {b} = '' THEN 'IGNORE' WHEN {a} = {b} THEN 'SIMILAR' ELSE '{other}' END"
 
@@ -361,8 +435,8 @@ def _verdict(a: str, b: str, other: str) -> str:
 SQL: dict[str, str] = {
     "normalize_text": f"SELECT doc_id, {_norm('text')} AS norm FROM documents",
     "limit_size": f"WITH d AS (SELECT doc_id, text, {_norm('text')} AS n FROM documents) SELECT doc_id, {_limit('n')} AS limited, {_limit('text', 100)} AS limited100, {_limit('text', 101)} AS limited101 FROM d",
-    "order_occurrences": f"WITH {_TURNS} SELECT conv_id, CASE WHEN n > 1 THEN array_to_string(list_sort(list_distinct(list_transform(string_split(j, '//@//'), lambda x: trim(x)))), '//@//') ELSE j END AS ordered FROM joined",
-    "normalize_authors": f"WITH {_TURNS} SELECT conv_id, array_to_string(list_sort(list_transform(string_split(j, '//@//'), lambda x: {_norm('x')})), '|') AS authors, array_to_string(list_transform(string_split(j, '//@//'), lambda x: trim(x)), ',') AS given FROM joined",
+    "order_occurrences": f"WITH {_TURNS} SELECT conv_id, CASE WHEN n > 1 THEN array_to_string(list_sort(list_distinct(list_transform(string_split(j, '//@//'), lambda x: trim(x, {_SPACE})))), '//@//') ELSE j END AS ordered FROM joined",
+    "normalize_authors": f"WITH {_TURNS} SELECT conv_id, array_to_string(list_sort(list_transform(string_split(j, '//@//'), lambda x: {_norm('x')})), '|') AS authors, array_to_string(list_transform(string_split(j, '//@//'), lambda x: trim(x, {_SPACE})), ',') AS given FROM joined",
     "string_helpers": "SELECT p_partkey, length(p_name) - length(replace(p_name, 'a', '')) AS n_a, replace(p_type, ':', ' ') AS colonless, replace(replace(p_name, '|', '!'), '\"', '''') AS escaped, regexp_extract(p_brand, '([0-9]+)', 1) AS digits FROM part",
     "index_terms": f"WITH {_TITLES} SELECT doc_id, substr(norm, i, 3) AS term, i - 1 AS start, i + 2 AS \"end\" FROM (SELECT doc_id, norm, unnest(range(1, length(norm) - 1)) AS i FROM docs1 WHERE length(norm) >= 3)",
     "query_terms": f"WITH {_TITLES} SELECT doc_id, term, count(*) AS qf FROM (SELECT doc_id, unnest(flatten(list_transform(string_split(norm, ' '), lambda x: regexp_extract_all(x, '.{{3}}')))) AS term FROM docs1) GROUP BY ALL",
@@ -371,6 +445,8 @@ SQL: dict[str, str] = {
     "collection_stats": f"WITH {_TITLES} SELECT gram, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, substr(norm, i, 3) AS gram FROM (SELECT doc_id, norm, unnest(range(1, length(norm) - 1)) AS i FROM docs1 WHERE length(norm) >= 3)) GROUP BY gram",
     "bm25_topk": f"WITH {_TITLES}, {_POSTINGS}, {_ITEMS} SELECT item_id, doc_id, rank, round(CAST(CAST(u / 1e9 AS FLOAT) AS DOUBLE), 3) AS score FROM ranked WHERE rank <= 1000",
     "search_without_similarity": f"WITH {_TITLES}, {_POSTINGS}, {_ITEMS} SELECT item_id, doc_id FROM ranked JOIN docs1 USING (doc_id) WHERE rank <= 1000 AND CAST(u / 1e9 AS FLOAT) >= 1.0 AND lang = 'en'",
+    "ngram_similarity": f"WITH {_TITLES}, pairs AS (SELECT x.doc_id AS k, x.norm AS a, y.norm AS b FROM docs1 x JOIN docs1 y ON x.doc_id = y.doc_id + 1), {_similarities('pairs')} SELECT k AS doc_id, round(s::DOUBLE, 5) AS similarity FROM sims",
+    "adjacent_similarity": f"WITH {_TITLES}, l AS (SELECT doc_id, {_limit('n', 100)} AS s2 FROM t0), pairs AS (SELECT doc_id AS k, coalesce(lag(s2) OVER (ORDER BY doc_id), '') AS a, s2 AS b FROM l), {_similarities('pairs')} SELECT k AS seq, round(s::DOUBLE, 5) AS dist, a AS s1, b AS s2 FROM sims JOIN pairs USING (k) WHERE b <> '' AND s >= 0.35::FLOAT",
     "dice_multiset": f"WITH {_BIGRAMS}, c AS (SELECT a.p_partkey, sum(least(a.c, b.c)) AS m FROM a JOIN b ON a.p_partkey = b.p_partkey AND a.g = b.g GROUP BY 1) SELECT p.p_partkey, round(2.0 * coalesce(m, 0) / (length(p_name) + length(p_type) - 2), 6) AS dice FROM part p LEFT JOIN c USING (p_partkey)",
     "dice_set": f"WITH {_BIGRAMS}, c AS (SELECT a.p_partkey, count(*) AS m FROM a JOIN b ON a.p_partkey = b.p_partkey AND a.g = b.g GROUP BY 1), na AS (SELECT p_partkey, count(*) AS x FROM a GROUP BY 1), nb AS (SELECT p_partkey, count(*) AS y FROM b GROUP BY 1) SELECT p_partkey, round(2.0 * coalesce(m, 0) / (x + y), 6) AS dice FROM na JOIN nb USING (p_partkey) LEFT JOIN c USING (p_partkey)",
     "exact_compare": f"WITH {_NEXT} SELECT o_orderkey, {_verdict('s1', 's2', 'NOT_SIMILAR')} AS required, {_verdict('s1', 's2', 'MAX_SCORE')} AS max_score, {_verdict('s1', 's2', 'DENY_DUP')} AS deny_dup FROM p",
@@ -392,7 +468,11 @@ SQL: dict[str, str] = {
     "required_field_violations": "SELECT doc_id AS seq, CAST(doc_id AS VARCHAR) AS id FROM documents WHERE doc_id % 7 = 0",
     "parse_index_lines": f"WITH {_TITLES} SELECT doc_id AS seq, source || '|' || doc_id || '|' || trim(replace(replace(title, '|', '/'), ':', ' ')) || '|' || lang || '|more' AS fields FROM docs1 WHERE doc_id % 10 <> 0",
     "parse_rejects": "SELECT doc_id AS seq, CASE doc_id % 4 WHEN 0 THEN 'too few fields' WHEN 1 THEN 'no id' ELSE 'no database' END AS reason FROM documents WHERE doc_id % 4 <> 3",
-    "json_to_pipe": "SELECT doc_id, source || '|' || doc_id || '|' || string_split(text, chr(10))[1] || '//@//' || lang || '|' || lang AS line FROM documents",
+    "json_to_pipe": f"SELECT doc_id, source || '|' || doc_id || '|' || {_LINE} || '//@//' || lang || '|' || lang AS line FROM documents",
+    "parse_query_lines": "SELECT item_id AS seq, 'db~' || item_id || '~' || trim(replace(b, ':', ' ')) || CASE WHEN item_id % 2 = 0 THEN '|b' ELSE '' END || '~en' AS fields FROM (SELECT item_id, translate(text, chr(13) || chr(10) || '|\"', '    ') AS b FROM benchmark)",
+    "split_records": f"WITH l AS (SELECT doc_id AS seq, unnest(string_split_regex(trim(text, {_SPACE}), ' *\\n *')) AS line FROM documents) SELECT seq, count(*) AS n, max(line) AS last FROM l GROUP BY seq",
+    "bad_bytes": "SELECT c_custkey AS seq, CASE WHEN c_custkey % 5 = 0 THEN lower(hex(encode(c_name))) || 'ff' ELSE c_name || 'A' END AS line FROM customer",
+    "numbered_results": "SELECT o_custkey AS q_seq, row_number() OVER (PARTITION BY o_custkey ORDER BY line DESC) || ') ' || line AS line FROM (SELECT o_custkey, o_orderpriority || '|' || o_orderstatus || '|' || o_orderkey AS line FROM orders)",
     "html_unescape": "SELECT page_id, replace(replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS html FROM pages",
     "compare_results": f"WITH {_TITLES}, {_RESULTS}, j AS (SELECT r.*, x.source AS xs, y.source AS ys, x.title AS xt, y.title AS yt, x.lang AS xl, y.lang AS yl FROM r JOIN docs1 x ON x.doc_id = a JOIN docs1 y ON y.doc_id = b), k AS (SELECT *, list_filter([CASE WHEN xs <> ys THEN '[database]|' || xs || '|' || ys END, CASE WHEN xt <> yt THEN '[title]|' || xt || '|' || yt END, CASE WHEN xl <> yl THEN '[lang]|' || xl || '|' || yl END], lambda v: v IS NOT NULL) AS d FROM j) SELECT seq, similarity, CAST(a AS VARCHAR) AS id1, CAST(b AS VARCHAR) AS id2, CASE WHEN len(d) = 0 THEN '<identical>' WHEN similarity = '1.0' THEN '<very similar>' ELSE '<similar>' END AS label, coalesce(array_to_string(d, chr(10)), '') AS differences FROM k",
     "check_result_report": f"WITH {_RESULTS} SELECT similarity, seq, 'similarity: ' || similarity || chr(10) || 'stext: s' || chr(10) || 'itext: t' || chr(10) || 'sid: ' || a || ' iid: ' || b || chr(10) AS block FROM r WHERE seq NOT IN (SELECT seq FROM r ORDER BY seq LIMIT 2)",

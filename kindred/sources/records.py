@@ -23,6 +23,17 @@ def read_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataF
     return rows.select((F.col("file_block_start") + row).alias("seq"), "line")
 
 
+def sound_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines of a UTF-8 file that are valid, and the others as ``seq, bytes`` (to be reported and skipped)."""
+    valid = F.is_valid_utf8("line")
+    return lines.where(valid), lines.where(~valid).select("seq", F.col("line").cast("binary").alias("bytes"))
+
+
+def lines_of_documents(docs: DataFrame) -> DataFrame:
+    """``seq, line`` of ``docs(seq, text)`` whose texts hold several records each; ``seq`` repeats."""
+    return docs.select("seq", F.explode(split_document_lines(F.col("text"))).alias("line"))
+
+
 def split_document_lines(x: Column) -> Column:
     """The lines of a text that holds several records."""
     return F.split(text.trim(x), r" *\n *", -1)
@@ -32,7 +43,7 @@ def parse_records(lines: DataFrame, schema: MatchSchema, strict: bool = True) ->
     """Records ``seq, fields`` of index lines, and the lines that are not records with a reason.
 
     A line needs a field for each position (more are ignored), an id and a database; blank lines are skipped.  With
-    ``strict`` a bad line fails the job when it is reached; else it is set apart.
+    ``strict`` all lines are looked at first, and the bad one with the smallest ``seq`` is an error; else bad lines are set apart.
     """
     wanted = len(schema.fields)
     line = text.trim(F.col("line"))
@@ -46,9 +57,8 @@ def parse_records(lines: DataFrame, schema: MatchSchema, strict: bool = True) ->
     )
     rows = rows.withColumn("reason", reason)
     bad = rows.where("reason IS NOT NULL").select("seq", "line", "reason")
-    if strict:
-        checked = F.when(F.col("reason").isNotNull(), F.raise_error(F.concat(F.col("reason"), F.lit(": "), F.col("line"))).cast("array<string>")).otherwise(F.col("fields"))
-        return rows.select("seq", checked.alias("fields")), bad
+    if strict and (first := bad.agg(F.min_by(F.struct("reason", "line"), "seq").alias("first")).first()["first"]):
+        raise ValueError(f"{first.reason}: {first.line}")
     return rows.where("reason IS NULL").select("seq", "fields"), bad
 
 
@@ -72,19 +82,21 @@ def parse_queries(lines: DataFrame, schema: MatchSchema, exact: bool = True) ->
 
 
 def json_to_pipe(json: Column, schema: MatchSchema, database: Column, record_id: Column) -> Column:
-    """A JSON object as a piped line; lists are joined by the separator, missing fields are empty, other values fail."""
-    parts = []
+    """A JSON object as a piped line; lists of strings are joined by the separator, missing fields and nulls are empty, other values fail."""
+    parts, parsed = [], F.parse_json(json)
     for f in schema.fields:
         if f.kind == "databaseField":
             parts.append(database)
         elif f.kind == "idField":
             parts.append(record_id)
         else:
-            value = F.get_json_object(json, f"$['{f.name}']")
-            listed = F.array_join(F.from_json(value, "array<string>"), text.OCCURRENCE)
-            bad = value.startswith("{") | value.isin("true", "false")
-            value = F.when(bad, F.raise_error(F.concat(F.lit("unsupported value: "), value)).cast("string")).when(value.startswith("["), listed).otherwise(value)
-            parts.append(F.coalesce(value, F.lit("")))
+            path = f"$['{f.name}']"
+            raw = F.get_json_object(json, path)
+            kind = F.coalesce(F.schema_of_variant(F.try_variant_get(parsed, path, "variant")), F.lit("VOID"))
+            bad = F.raise_error(F.concat(F.lit("unsupported value: "), raw)).cast("string")
+            listed = F.when(kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), F.array_join(F.from_json(raw, "array<string>"), text.OCCURRENCE)).otherwise(bad)
+            other = F.when(kind.startswith("OBJECT") | (kind == "BOOLEAN"), bad).when(kind.startswith("ARRAY"), listed).when(kind == "VOID", "").otherwise(raw)
+            parts.append(F.when(kind == "STRING", F.try_variant_get(parsed, path, "string")).otherwise(other))
     return F.concat_ws("|", *parts)
 
 

@@ -13,13 +13,16 @@ from kindred.sources.records import parse_records
 def follow_lines(spark: SparkSession, folder: str, path: str, schema: MatchSchema, checkpoint: str, key: str = "raw") -> StreamingQuery:
     """Starts a query that upserts the lines of new files in ``folder`` into the index at ``path``.
 
-    A batch that is run again replaces the rows it had added, as their ids are equal.
+    Each version of the index names the batch that made it, so a batch that is run again after its version was committed
+    changes nothing.  One stream follows into an index.
     """
 
-    def upsert(batch: DataFrame, _: int) -> None:
+    def upsert(batch: DataFrame, number: int) -> None:
+        if number <= index.last_batch(spark, path):
+            return
         lines = batch.select(F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"))
         good, _bad = parse_records(lines, schema, strict=False)
         own = index.open_index(spark, path, schema)
-        index.update_index(own, index.merged(own.docs, index.shape_documents(good, schema), key), path)
+        index.update_index(own, index.merged(own.docs, index.shape_documents(good, schema), key), path, number)
 
     return spark.readStream.text(folder).writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -212,16 +212,42 @@ def test_parsing(spark):
     good, bad = records.parse_records(given, schema, strict=False)
     assert [(r.seq, r.fields) for r in good.collect()] == [(0, ["d", "1", "a  b &  c", "n", "more"])]
     assert sorted((r.seq, r.reason) for r in bad.collect()) == [(3, "too few fields"), (4, "no database"), (5, "no id")]
-    with pytest.raises(Exception, match="too few fields"):
-        records.parse_records(given, schema)[0].collect()
+    for parts in (1, 3, 6):  # of several bad lines the first one is named, however they are dealt
+        with pytest.raises(ValueError, match=re.escape("too few fields: d|1|x")):
+            records.parse_records(given.repartition(parts), schema)
     queries = records.parse_queries(lines(spark, "d|1|a: &#58;c|n", 'd|1|"a|b"|n'), schema, exact=False)
     assert [r.fields for r in queries.orderBy("seq").collect()] == [["d", "1", "a  :c", "n"], ["d", "1", "a|b", "n"]]
     with pytest.raises(Exception, match="invalid number of fields"):
         records.parse_queries(lines(spark, "d|1|x"), schema).collect()
     made = lines(spark, '{"title": ["a", "b"], "note": 5, "id": "no"}', "{}")
     assert [r[0] for r in made.orderBy("seq").select(records.json_to_pipe(F.col("line"), schema, F.lit("D"), F.lit("7"))).collect()] == ["D|7|a//@//b|5", "D|7||"]
-    with pytest.raises(Exception, match="unsupported value"):
-        lines(spark, '{"title": true}').select(records.json_to_pipe(F.col("line"), schema, F.lit("D"), F.lit("7"))).collect()
+    odd = ['{"title": "[Draft] A study", "note": "{x"}', '{"title": "true", "note": null}', '{"title": "[\\"a\\"]", "note": []}', '{"title": 1.50, "note": ["x"]}']
+    assert [r[0] for r in lines(spark, *odd).orderBy("seq").select(records.json_to_pipe(F.col("line"), schema, F.lit("D"), F.lit("7"))).collect()] == ["D|7|[Draft] A study|{x", "D|7|true|", 'D|7|["a"]|', "D|7|1.5|x"]
+    for value in ("true", '{"a": 1}', "[1]", "[[]]"):
+        with pytest.raises(Exception, match="unsupported value"):
+            lines(spark, f'{{"title": {value}}}').select(records.json_to_pipe(F.col("line"), schema, F.lit("D"), F.lit("7"))).collect()
+
+
+def test_bad_bytes_are_set_apart(spark, tmp_path):
+    path = tmp_path / "mixed.txt"
+    path.write_bytes("d|1|é|n\n".encode() + b"d|2|\xff\xfe|n\n" + b"d|3|x|n\n")
+    good, bad = records.sound_lines(records.read_lines(spark, str(path)))
+    assert [r.line for r in good.orderBy("seq").collect()] == ["d|1|é|n", "d|3|x|n"] and [bytes(r.bytes) for r in bad.collect()] == [b"d|2|\xff\xfe|n"]
+    several = spark.createDataFrame([(1, " a|b \n c|d\n"), (2, "e")], "seq long, text string")
+    assert sorted((r.seq, r.line) for r in records.lines_of_documents(several).collect()) == [(1, "a|b"), (1, "c|d"), (2, "e")]
+
+
+def test_versions_of_an_index(spark, tmp_path):
+    path = str(tmp_path / "ix")
+    with pytest.raises(FileNotFoundError):
+        index.open_index(spark, path, SCHEMA)
+    first = index.write_index(index.build_index(frames(spark, corpus(9, 2)), SCHEMA), path)
+    second = index.update_index(first, first.docs.where("seq < 5"), path, batch=3)
+    assert (first.docs.count(), second.docs.count(), index.last_batch(spark, path)) == (9, 5, 3)  # the version before can still be read
+    (tmp_path / "ix" / "v00000002-4" / "docs").mkdir(parents=True)  # a version that was never finished
+    assert index.open_index(spark, path, SCHEMA).docs.count() == 5 and index.last_batch(spark, path) == 3
+    third = index.update_index(second, second.docs.where("seq < 2"), path)
+    assert third.docs.count() == 2 and len([p for p in (tmp_path / "ix").iterdir() if (p / "postings" / "_SUCCESS").exists()]) == 2
 
 
 def test_pairs_are_counted_once_per_key(spark):
