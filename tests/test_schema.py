@@ -6,37 +6,37 @@ from kindred.plans.schema import MatchSchema, SchemaError
 
 XML = r"""
 <config>
-  <score minValue="1"   minFields="1"/>
-  <score minValue="0.9" minFields="1"/>
-  <score minValue="0.7" minFields="3"/>
-  <databaseField pos="0"/>
-  <idField pos="1"/>
-  <idxNGramField pos="2" name="title"/>
-  <authorsField  pos="3" name="authors"/>
-  <exactField    pos="4" name="year"     match="MAX_SCORE"/>
-  <exactField    pos="5" name="lang"     match="DENY_DUP"/>
-  <regExpField   pos="6" name="pages"    pattern="(\d+)" groupNum="1" requiredField="year"/>
-  <nGramField    pos="7" name="journal"  minScore="0.7"/>
-  <diceField     pos="8" name="abstract" minScore="0.81"/>
-  <noCompField   pos="9" name="note"/>
+  <idField pos="0"/>
+  <databaseField pos="1"/>
+  <exactField pos="2" name="country" match="DENY_DUP"/>
+  <idxNGramField pos="3" name="summary"/>
+  <nGramField pos="4" name="publisher" minScore="0.6"/>
+  <exactField pos="5" name="volume" match="MAX_SCORE"/>
+  <regExpField pos="6" name="code" pattern="([a-z]+)-" groupNum="1" requiredField="volume"/>
+  <noCompField pos="7" name="shelf"/>
+  <authorsField pos="8" name="people"/>
+  <diceField pos="9" name="remarks" minScore="0.75"/>
+  <score minValue="0.8" minFields="4"/>
+  <score minValue="1" minFields="0"/>
+  <score minValue="0.95" minFields="2"/>
 </config>
 """
 
 
 def test_round_trip_and_views():
     schema = MatchSchema.from_xml("s", XML)
-    assert [f.name for f in schema.fields] == ["database", "id", "title", "authors", "year", "lang", "pages", "journal", "abstract", "note"]
-    assert (schema.highest_tier, schema.lowest_tier) == (1.0, 0.7)
+    assert [f.name for f in schema.fields] == ["id", "database", "country", "summary", "publisher", "volume", "code", "shelf", "people", "remarks"]
+    assert (schema.highest_tier, schema.lowest_tier) == (1.0, 0.8)
     assert MatchSchema.from_xml("s", schema.to_xml()) == schema
     shown = json.loads(schema.to_json())
-    assert shown["total"] == 10 and shown["params"][8] == {"pos": 8, "name": "abstract", "type": "", "requiredField": "null", "contentMatch": "required"}
-    assert shown["score"][0] == {"minValue": "1.0", "minFields": "1"}
+    assert shown["total"] == 10 and shown["params"][9] == {"pos": 9, "name": "remarks", "type": "", "requiredField": "null", "contentMatch": "required"}
+    assert shown["score"][0] == {"minValue": "1.0", "minFields": "0"}
 
 
 @pytest.mark.parametrize(("old", "new"), [
-    ('<databaseField pos="0"/>', ""), ('<idField pos="1"/>', '<idField pos="1"/><idField pos="1"/>'), ('pos="9"', 'pos="8"'), ('pos="9"', 'pos="10"'), ('match="DENY_DUP"', 'match="X"'),
-    ('minScore="0.7"', 'minScore="1.7"'), ('minScore="0.7"', ""), ('groupNum="1"', 'groupNum="0"'), ('requiredField="year"', 'requiredField="note"'),
-    ('requiredField="year"', 'requiredField="nosuch"'), ('minValue="0.9"', 'minValue="2"'), ('minFields="3"', 'minFields="-1"'), ("</config>", ""), ('pos="5"', 'pos="x"'),
+    ('<databaseField pos="1"/>', ""), ('<idField pos="0"/>', '<idField pos="0"/><idField pos="0"/>'), ('pos="9"', 'pos="8"'), ('pos="9"', 'pos="10"'), ('match="DENY_DUP"', 'match="X"'),
+    ('minScore="0.6"', 'minScore="1.6"'), ('minScore="0.6"', ""), ('groupNum="1"', 'groupNum="0"'), ('requiredField="volume"', 'requiredField="shelf"'),
+    ('requiredField="volume"', 'requiredField="nosuch"'), ('minValue="0.95"', 'minValue="2"'), ('minFields="4"', 'minFields="-1"'), ("</config>", ""), ('pos="5"', 'pos="x"'),
 ])
 def test_bad_schemas(old, new):
     with pytest.raises(SchemaError):
@@ -44,8 +44,8 @@ def test_bad_schemas(old, new):
 
 
 def test_equal_tiers_collapse_to_the_first():
-    schema = MatchSchema.from_xml("s", XML.replace('minValue="0.9" minFields="1"', 'minValue="1" minFields="4"'))
-    assert [(t.min_value, t.min_fields) for t in schema.tiers] == [(1.0, 1), (0.7, 3)]
+    schema = MatchSchema.from_xml("s", XML.replace('minValue="0.95" minFields="2"', 'minValue="1" minFields="5"'))
+    assert [(t.min_value, t.min_fields) for t in schema.tiers] == [(1.0, 0), (0.8, 4)]
 
 
 def test_tiers_and_checked_fields_are_needed():
