@@ -70,5 +70,7 @@ class Workspace:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table, dealt to all cores where its files alone would leave some idle (small tables only)."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df, cores = spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
