@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import dataclasses
 import time
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kindred.functions import similarity, text
-from kindred.operators import index, match, render, tools
+from kindred.operators import index, match, render, search, segments, tools
 from kindred.plans.schema import MatchSchema
 from kindred.sources import records
 
@@ -23,53 +24,75 @@ def _show(lines: DataFrame) -> None:
 
 
 def _schema(args: argparse.Namespace) -> MatchSchema:
-    return MatchSchema.from_file(args.index.rstrip("/").rpartition("/")[2], args.config, args.config_encoding)
+    schema = MatchSchema.from_file(args.index.rstrip("/").rpartition("/")[2], args.config, args.config_encoding)
+    return dataclasses.replace(schema, gram=args.gram, rough_lengths=args.rough_lengths)
 
 
-def index_command(args: argparse.Namespace) -> None:
-    spark, schema = _session(), _schema(args)
-    good, bad = records.parse_records(records.read_lines(spark, args.input, args.encoding), schema, strict=not args.permissive)
+def _parsed(args: argparse.Namespace, schema: MatchSchema) -> DataFrame:
+    """The records of the input; bytes that aren't text, and with ``--permissive`` lines that aren't records, go to a file of their own."""
+    lines, broken = records.sound_lines(records.read_lines(_session(), args.input, args.encoding))
+    good, bad = records.parse_records(lines, schema, strict=not args.permissive)
+    broken.write.mode("overwrite").parquet(f"{args.index}/rejected/bytes")
     if args.permissive:
-        bad.select("line").write.mode("overwrite").text(f"{args.index}/rejected")
-    index.write_index(index.build_index(good, schema, args.upsert_key), args.index)
+        bad.write.mode("overwrite").parquet(f"{args.index}/rejected/lines")
+    return good
+
+
+def index_command(args: argparse.Namespace) -> None:
+    schema = _schema(args)
+    segments.write_index(index.build_index(_parsed(args, schema), schema, args.upsert_key), args.index)
+
+
+def add_command(args: argparse.Namespace) -> None:
+    schema = _schema(args)
+    segments.add_records(_session(), args.index, schema, _parsed(args, schema), args.upsert_key)
 
 
 def search1_command(args: argparse.Namespace) -> None:
     spark, schema = _session(), _schema(args)
     queries = records.parse_queries(records.read_lines(spark, args.input, args.encoding), schema)
-    found = match.match(queries, index.open_index(spark, args.index, schema), report=args.report, self_check=args.self_check, mode=args.mode)
+    if args.new_pairs:
+        found = segments.new_pairs(spark, args.index, schema, queries, report=args.report, mode=args.mode)
+    else:
+        found = match.match(queries, segments.open_index(spark, args.index, schema), report=args.report, self_check=args.self_check, mode=args.mode)
     lines = render.report_lines(found, schema) if args.report else render.short_lines(found, schema)
     render.write_lines(lines, args.output, render.report_header(schema) if args.report else render.HEADER, args.single_file, args.output_encoding)
 
 
 def _point(args: argparse.Namespace, use_similarity: bool) -> None:
     spark, schema = _session(), _schema(args)
-    queries = records.parse_queries(spark.createDataFrame([(0, args.text)], "seq long, line string"), schema, exact=not args.json)
-    found = match.match(queries, index.open_index(spark, args.index, schema), use_similarity, report=args.report)
-    form = render.json_lines if args.json else render.report_lines if args.report else render.full_lines
-    _show(render.numbered(form(found, schema)).orderBy(F.regexp_extract("line", r"^([0-9]+)", 1).cast("int")).select("line"))
+    if args.json:
+        found = search.search_json(spark, args.index, schema, args.text, use_similarity=use_similarity)
+    else:
+        found = search.search(spark, args.index, schema, args.text, report=args.report, use_similarity=use_similarity)
+    _show(found.orderBy("n").select("line"))
 
 
 def export_command(args: argparse.Namespace) -> None:
     schema = _schema(args)
-    docs = index.open_index(_session(), args.index, schema).docs
+    docs = segments.open_index(_session(), args.index, schema).docs
     index.exported(docs, schema).orderBy("seq").select(F.col("line").alias("value")).write.mode("overwrite").option("encoding", args.encoding).text(args.output)
 
 
 def delete_command(args: argparse.Namespace) -> None:
-    own = index.open_index(_session(), args.index, _schema(args))
-    index.update_index(own, index.deleted(own.docs, args.id, args.legacy_prefix), args.index)
+    segments.delete_record(_session(), args.index, _schema(args), args.id, args.legacy_prefix)
+
+
+def merge_command(args: argparse.Namespace) -> None:
+    spark = _session()
+    segments.merge(spark, args.index, _schema(args), everything=True)
+    segments.vacuum(spark, args.index)
 
 
 def check_index_command(args: argparse.Namespace) -> None:
     schema = _schema(args)
-    bad = index.required_violations(index.open_index(_session(), args.index, schema).docs, schema).select("id_raw").orderBy("id_raw").limit(1).collect()
+    bad = index.required_violations(segments.open_index(_session(), args.index, schema).docs, schema).select("id_raw").orderBy("id_raw").limit(1).collect()
     print(f"bad document: {bad[0][0]}" if bad else "ok")
 
 
 def terms_command(args: argparse.Namespace) -> None:
     schema = _schema(args)
-    _show(index.terms(index.open_index(_session(), args.index, schema).docs, schema.indexed.name).orderBy("term"))
+    _show(index.terms(segments.open_index(_session(), args.index, schema).docs, schema.indexed.name, schema.gram).orderBy("term"))
 
 
 def tokens_command(args: argparse.Namespace) -> None:
@@ -123,7 +146,7 @@ def compare_results_command(args: argparse.Namespace) -> None:
     lines = records.read_lines(spark, args.input, args.encoding)
     first = lines.orderBy("seq").limit(1).agg(F.max("seq").alias("_last"))
     lines = lines.crossJoin(F.broadcast(first)).where("seq > _last").drop("_last")
-    found = tools.compare_results(lines, index.open_index(spark, args.index, schema).docs, [f.name for f in schema.fields])
+    found = tools.compare_results(lines, segments.open_index(spark, args.index, schema).docs, [f.name for f in schema.fields])
     block = F.concat(F.concat_ws(" ", "label", "id1", "id2"), F.when(F.col("differences") != "", F.concat(F.lit("\n"), "differences")).otherwise(""), F.lit("\n"))
     found.orderBy("seq").select(block.alias("value")).write.mode("overwrite").text(args.output)
 
@@ -135,6 +158,8 @@ def report_command(args: argparse.Namespace) -> None:
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="kindred")
+    top.add_argument("--gram", type=int, default=text.GRAM, help="size of the grams of the index")
+    top.add_argument("--rough-lengths", action="store_true", help="score with lengths as one byte keeps them")
     commands = top.add_subparsers(required=True)
 
     def command(name: str, run, *arguments: str, of_index: bool = False, **flags) -> argparse.ArgumentParser:
@@ -148,20 +173,22 @@ def parser() -> argparse.ArgumentParser:
         p.set_defaults(run=run)
         return p
 
-    p = command("index", index_command, "input", "encoding", of_index=True)
-    p.add_argument("--permissive", action="store_true", help="set bad lines apart instead of failing")
-    p.add_argument("--upsert-key", choices=("raw", "normalized", "db_id"), default="raw")
+    for name, run in (("index", index_command), ("add", add_command)):
+        p = command(name, run, "input", "encoding", of_index=True)
+        p.add_argument("--permissive", action="store_true", help="set bad lines apart instead of failing")
+        p.add_argument("--upsert-key", choices=("raw", "normalized", "db_id"), default="raw")
     p = command("search1", search1_command, "input", "encoding", "output", of_index=True)
     p.add_argument("output_encoding", nargs="?", default="UTF-8")
-    for flag in ("--report", "--self-check", "--single-file"):
+    for flag in ("--report", "--self-check", "--single-file", "--new-pairs"):
         p.add_argument(flag, action="store_true")
-    p.add_argument("--mode", choices=("early_stop", "exhaustive"), default="early_stop")
+    p.add_argument("--mode", choices=("early_stop", "ranked", "exhaustive"), default="early_stop")
     for name, use in (("search2", True), ("search3", False)):
         p = command(name, lambda args, use=use: _point(args, use), "text", of_index=True)
         p.add_argument("--report", action="store_true")
         p.add_argument("--json", action="store_true")
     command("export", export_command, "output", "encoding", of_index=True)
     command("delete", delete_command, "id", of_index=True).add_argument("--legacy-prefix", action="store_true")
+    command("merge", merge_command, of_index=True)
     command("check-index", check_index_command, of_index=True)
     command("terms", terms_command, of_index=True)
     command("tokens", tokens_command, "text")

@@ -2,67 +2,199 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kindred.functions import similarity, text
-from kindred.operators.index import UNIT, Index
+from kindred.operators.index import CANDIDATES, UNIT, Index
 from kindred.plans.schema import FieldSpec, MatchSchema
 from kindred.sources.records import with_fields
+from kindred.sources.scratch import kept
 
-#: Candidates a query, candidates that are looked at after the first miss, least score of a search without similarity.
-CANDIDATES, AFTER_MISS, SCORE_FLOOR = 1000, 3, 1.0
+#: Candidates that are looked at after the first miss, least score of a search without similarity.
+AFTER_MISS, SCORE_FLOOR = 3, 1.0
 CHECK = "struct<field:string,elem1:string,elem2:string,condition:string,similarity:float>"
 
 
+#: Query texts whose grams are sent to all tasks at most; rows of a task's sums of scores; tasks of the ranking at most.
+SENT_QUERIES, TASK_SUMS, TASKS = 50_000, 4_000_000, 20_000
+#: Candidates looked at first: few queries need more.  One of so many texts tells a least score of the best ones, by the best of so many groups of them.
+FIRST_CANDIDATES, SAMPLED, GROUPS = 12, 16, 64
+
+
 def query_texts(queries: DataFrame, indexed: str) -> DataFrame:
     """Distinct query texts ``qtid, qtext``."""
     return queries.groupBy(F.col(f"q_{indexed}").alias("qtext")).agg(F.min("q_seq").alias("qtid"))
 
 
-def scored_texts(qtexts: DataFrame, postings: DataFrame, double_pass: bool = False) -> DataFrame:
-    """``qtid, tid, units``: BM25 of every pair of texts that shares a gram."""
-    grams = qtexts.select("qtid", F.explode(text.query_grams(F.col("qtext"), double_pass=double_pass)).alias("gram"))
-    grams = grams.groupBy("qtid", "gram").agg(F.count(F.lit(1)).alias("qf"))
-    return grams.join(postings, "gram").groupBy("qtid", "tid").agg(F.sum(F.col("qf") * F.col("weight")).alias("units"))
+def query_gram_counts(qtexts: DataFrame, double_pass: bool = False, size: int = text.GRAM) -> DataFrame:
+    """``qtid, gram, qf``."""
+    grams = qtexts.select("qtid", F.explode(text.query_grams(F.col("qtext"), size, double_pass)).alias("gram"))
+    return grams.groupBy("qtid", "gram").agg(F.count(F.lit(1)).alias("qf"))
 
 
-def ranked_candidates(queries: DataFrame, index: Index, double_pass: bool = False) -> DataFrame:
-    """``qtid, qtext, tid, dtext, did, score, rank``: the best ``CANDIDATES`` documents of each distinct query text.
+def _sums(joined: DataFrame) -> DataFrame:
+    return joined.groupBy("qtid", "tid").agg(F.sum(F.col("qf") * F.col("weight")).alias("units"))
 
-    Texts are ranked first: the best documents lie among the best texts, as each text has a document.
+
+def scored_texts(qtexts: DataFrame, postings: DataFrame, double_pass: bool = False, size: int = text.GRAM) -> DataFrame:
+    """``qtid, tid, units``: BM25 of every pair of texts that shares a gram, for any number of queries.
+
+    Postings of a frequent gram lie in several blocks, which are joined apart from each other, so no key holds more than a block.
     """
-    name = index.schema.indexed.name
-    qtexts = query_texts(queries, name)
+    grams = query_gram_counts(qtexts, double_pass, size)
+    blocks = postings.groupBy("gram").agg(F.max("block").alias("_last"))
+    spread = grams.join(blocks, "gram").select("qtid", "gram", "qf", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("block"))
+    return _sums(spread.join(postings, ["gram", "block"]))
+
+
+def best_texts(qtexts: DataFrame, index: Index, k: int, double_pass: bool = False) -> DataFrame:
+    """``qtid, tid, units``: the best ``k`` texts of each query text, ties by ``tid``.
+
+    Up to ``SENT_QUERIES`` queries the grams of all are sent to tasks that hold all postings of some texts: scores are summed where they arise, and only
+    the best of each task are shuffled.  A part of the texts is scored first: the k-th best of the best scores of its ``GROUPS`` groups is
+    reached by k texts, so all below it are left out before anything is sorted.  More queries meet the postings by gram and block.
+    """
+    qtexts, size = kept(qtexts), index.schema.gram
+    queries = qtexts.limit(SENT_QUERIES + 1).count()
     best = Window.partitionBy("qtid").orderBy(F.desc("units"), "tid")
-    texts = scored_texts(qtexts, index.postings, double_pass).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= CANDIDATES).drop("_r")
-    first = Window.partitionBy(name)
-    docs = index.docs.select(F.col("seq").alias("did"), F.col(name).alias("dtext"), F.min("seq").over(first).alias("tid"))
+    if queries > SENT_QUERIES:
+        scored = scored_texts(qtexts, index.postings, double_pass, size)
+    else:
+        grams = F.broadcast(query_gram_counts(qtexts, double_pass, size))
+        cores = qtexts.sparkSession.sparkContext.defaultParallelism
+        tasks = max(1, min(TASKS, max(cores, -(-index.docs.count() * queries // TASK_SUMS))))
+        score = lambda postings: _sums(postings.repartition(tasks, "tid").join(grams, "gram"))
+        scored = score(index.postings)
+        if k < GROUPS:
+            sample = score(index.postings.where(F.pmod(F.xxhash64("tid"), F.lit(SAMPLED)) == 0))
+            tops = sample.groupBy("qtid", F.pmod(F.xxhash64(F.lit(1), "tid"), F.lit(GROUPS)).alias("_group")).agg(F.max("units").alias("_top"))
+            least = tops.groupBy("qtid").agg(F.get(F.sort_array(F.collect_list("_top"), False), F.lit(k - 1)).alias("_least"))
+            scored = scored.join(F.broadcast(least), "qtid", "left").where(F.col("_least").isNull() | (F.col("units") >= F.col("_least"))).drop("_least")
+    return scored.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
+
+
+def ranked_candidates(queries: DataFrame, index: Index, double_pass: bool = False, k: int = CANDIDATES) -> DataFrame:
+    """``qtid, qtext, tid, dtext, did, score, rank``: the best ``k`` documents of each distinct query text."""
+    return ranked_texts(query_texts(queries, index.schema.indexed.name), index, double_pass, k)
+
+
+def ranked_texts(qtexts: DataFrame, index: Index, double_pass: bool = False, k: int = CANDIDATES) -> DataFrame:
+    """:func:`ranked_candidates` of ``qtexts``.
+
+    Texts are ranked first: the best documents lie among the best texts, as each text has a document.
+    """
     rank = F.row_number().over(Window.partitionBy("qtid").orderBy(F.desc("units"), "did"))
-    found = texts.join(docs, "tid").withColumn("rank", rank).where(F.col("rank") <= CANDIDATES)
+    found = best_texts(qtexts, index, k, double_pass).join(index.members, "tid").withColumn("rank", rank).where(F.col("rank") <= k)
     return found.join(qtexts, "qtid").select("qtid", "qtext", "tid", "dtext", "did", (F.col("units") / UNIT).cast("float").alias("score"), "rank")
 
 
-def similar_candidates(ranked: DataFrame, lowest: float, mode: str = "early_stop") -> DataFrame:
-    """Candidates with a similarity of ``lowest`` or more.
+def early_candidates(qtexts: DataFrame, index: Index, lowest: float, double_pass: bool = False) -> DataFrame:
+    """Candidates of early-stop search: a few are ranked at first, and up to ``CANDIDATES`` only for queries whose search isn't over with these."""
+    first = with_similarity(ranked_texts(qtexts, index, double_pass, FIRST_CANDIDATES), lowest)
+    first = kept(first.select("qtid", "qtext", "tid", "dtext", "did", "score", "rank", "similarity"))
+    miss = F.min(F.when(F.col("similarity") < F.lit(lowest).cast("float"), F.col("rank")))
+    reach = first.groupBy("qtid").agg(F.max("rank").alias("_last"), miss.alias("_miss"))
+    more = F.col("_miss").isNull() | (F.col("_miss") + AFTER_MISS > FIRST_CANDIDATES)
+    open_ids = kept(reach.where((F.col("_last") >= FIRST_CANDIDATES) & more).select("qtid"))
+    done = stopped(first, lowest)
+    if open_ids.isEmpty():
+        return done
+    rest = similar_candidates(ranked_texts(qtexts.join(open_ids, "qtid", "left_semi"), index, double_pass), lowest)
+    return done.join(open_ids, "qtid", "left_anti").unionByName(rest)
+
+
+def _length_bound() -> Column:
+    """What a similarity can't exceed: the ratio of the lengths."""
+    short, long = F.least(F.length("qtext"), F.length("dtext")), F.greatest(F.length("qtext"), F.length("dtext"))
+    return F.when(long > 0, short / long).otherwise(1.0).cast("float")
+
 
-    ``early_stop``: after the first candidate below it only ``AFTER_MISS`` more are looked at.  A similarity can't exceed
-    the ratio of the lengths, so the first candidate whose ratio is too low bounds what needs computing; the result is
-    the same.  ``exhaustive`` looks at all.
+def with_similarity(ranked: DataFrame, lowest: float) -> DataFrame:
+    """Candidates up to where the search must stop, with their similarity (0 if it lies below ``lowest``).
+
+    The first candidate whose lengths rule a similarity of ``lowest`` out bounds what needs computing.
     """
+    bound = _length_bound()
+    miss = F.min(F.when(bound < F.lit(lowest).cast("float"), F.col("rank"))).over(Window.partitionBy("qtid"))
+    near = ranked.withColumn("_miss", miss).where(F.col("_miss").isNull() | (F.col("rank") <= F.col("_miss") + AFTER_MISS)).drop("_miss")
+    return near.withColumn("similarity", similarity.ngram_similarity_from(lowest)(F.col("qtext"), F.col("dtext")))
+
+
+def stopped(candidates: DataFrame, lowest: float) -> DataFrame:
+    """Of candidates with a similarity those that the search looks at and that reach ``lowest``: after the first miss only ``AFTER_MISS`` more."""
     floor = F.lit(lowest).cast("float")
-    short, long = F.least(F.length("qtext"), F.length("dtext")), F.greatest(F.length("qtext"), F.length("dtext"))
-    bound = F.when(long > 0, short / long).otherwise(1.0).cast("float")
-    each = Window.partitionBy("qtid")
+    miss = F.min(F.when(F.col("similarity") < floor, F.col("rank"))).over(Window.partitionBy("qtid"))
+    seen = candidates.withColumn("_miss", miss).where(F.col("_miss").isNull() | (F.col("rank") <= F.col("_miss") + AFTER_MISS)).drop("_miss")
+    return seen.where(F.col("similarity") >= floor)
+
+
+def similar_candidates(ranked: DataFrame, lowest: float, mode: str = "early_stop") -> DataFrame:
+    """Ranked candidates with a similarity of ``lowest`` or more: those up to the early stop, or with ``ranked`` all."""
     if mode == "early_stop":
-        miss = F.min(F.when(bound < floor, F.col("rank"))).over(each)
-        ranked = ranked.withColumn("_miss", miss).where((F.col("_miss").isNull()) | (F.col("rank") <= F.col("_miss") + AFTER_MISS)).drop("_miss")
+        return stopped(with_similarity(ranked, lowest), lowest)
+    floor = F.lit(lowest).cast("float")
+    near = ranked.where(_length_bound() >= floor)
+    return near.withColumn("similarity", similarity.ngram_similarity_from(lowest)(F.col("qtext"), F.col("dtext"))).where(F.col("similarity") >= floor)
+
+
+def _placed_grams(texts: DataFrame, key: str, value: str) -> DataFrame:
+    """``key, value, size, gram, at``: the trigrams that edit tables compare, those of the padding before the text included."""
+    padded = F.concat(F.lit("\1\1"), F.col(value))
+    grams = F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.struct(F.substring(padded, i, F.lit(3)).alias("gram"), i.alias("at")))
+    rows = texts.where(F.length(value) > 0).select(key, value, F.length(value).alias("size"), F.explode(grams).alias("_g"))
+    return rows.select(key, value, "size", "_g.gram", "_g.at")
+
+
+def _prefixes(placed: DataFrame, key: str, value: str, frequencies: DataFrame, floor: float) -> DataFrame:
+    """The rarest grams of each text, so many that a similar text must share one: all but as many as it must share, less one."""
+    shared = F.ceil(F.col("size") * (3 * floor - 2) - 0.01)
+    held = placed.join(frequencies, "gram", "left").groupBy(key, value, "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "gram", "at"))).alias("_g"))  # at most MAX_TEXT grams
+    kept_grams = F.slice("_g", F.lit(1), (F.col("size") - shared + 1).cast("int"))
+    bucket = F.floor(F.log(F.col("size").cast("double")) / F.lit(-math.log(floor)) + 1e-9).cast("int") if floor < 1 else F.col("size")
+    return held.select(key, value, "size", bucket.alias("bucket"), F.explode(kept_grams).alias("_g")).select(key, value, "size", "bucket", "_g.gram", "_g.at")
+
+
+def similar_texts(qtexts: DataFrame, texts: DataFrame, floor: float) -> DataFrame:
+    """All pairs ``qtid, qtext, tid, dtext, similarity`` of texts that reach ``floor``, which must exceed 2/3.
+
+    An edit table of ``L`` columns whose cost is at most ``(1 - floor) * L`` has ``L * (3 * floor - 2)`` steps without cost at least, as every other step
+    costs a third.  Each is a trigram that both texts hold at places no further apart than that cost.  Of these trigrams the rarest one is among the first of
+    both texts in order of frequency (prefix filter); places and lengths are compared before the table is filled.
+    """
+    placed = _placed_grams(texts.select("tid", "dtext"), "tid", "dtext")
+    frequencies = placed.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    own = _prefixes(placed, "tid", "dtext", frequencies, floor).withColumnsRenamed({"size": "dsize", "at": "dat"})
+    asked = _prefixes(_placed_grams(qtexts.select("qtid", "qtext"), "qtid", "qtext"), "qtid", "qtext", frequencies, floor)
+    near = F.array(*[F.col("bucket") + i for i in (-1, 0, 1)]) if floor < 1 else F.array("bucket")
+    asked = asked.withColumn("bucket", F.explode(near))
+    longer, shorter = F.greatest("size", "dsize"), F.least("size", "dsize")
+    apart = F.abs(F.col("at") - F.col("dat")) <= (1 - floor) * longer + 0.01
+    pairs = asked.join(own, ["gram", "bucket"]).where(apart & (shorter >= floor * longer - 0.01)).select("qtid", "qtext", "tid", "dtext").distinct()
+    found = pairs.withColumn("similarity", similarity.ngram_similarity_from(floor)(F.col("qtext"), F.col("dtext")))
+    return found.where(F.col("similarity") >= F.lit(floor).cast("float"))
+
+
+def all_candidates(qtexts: DataFrame, index: Index, lowest: float, double_pass: bool = False) -> DataFrame:
+    """All documents that reach ``lowest``, ranked among themselves; a query without indexed text finds none.
+
+    With floors up to 2/3 no number of shared trigrams is sure: then all texts that share a gram with the query are compared, however many.
+    """
+    texts = index.members.select("tid", "dtext").distinct()
+    size = index.schema.gram
+    if lowest > 2 / 3:
+        found = kept(similar_texts(qtexts, texts, lowest))
+        grams = query_gram_counts(found.select("qtid", "qtext").distinct(), double_pass, size)
+        scores = found.select("qtid", "tid").join(grams, "qtid").join(index.postings, ["gram", "tid"]).groupBy("qtid", "tid").agg(F.sum(F.col("qf") * F.col("weight")).alias("units"))
+        found = found.join(scores, ["qtid", "tid"], "left").withColumn("units", F.coalesce("units", F.lit(0).cast("long")))
     else:
-        ranked = ranked.where(bound >= floor)
-    found = ranked.withColumn("similarity", similarity.ngram_similarity(F.col("qtext"), F.col("dtext")))
-    if mode == "early_stop":
-        miss = F.min(F.when(F.col("similarity") < floor, F.col("rank"))).over(each)
-        found = found.withColumn("_miss", miss).where(F.col("_miss").isNull() | (F.col("rank") <= F.col("_miss") + AFTER_MISS)).drop("_miss")
-    return found.where(F.col("similarity") >= floor)
+        scored = scored_texts(qtexts, index.postings, double_pass, size).join(texts, "tid").join(qtexts, "qtid")
+        found = similar_candidates(scored, lowest, "ranked")
+    rank = F.row_number().over(Window.partitionBy("qtid").orderBy(F.desc("units"), "did"))
+    docs = index.docs.select(F.col("seq").alias("did"), F.col(index.schema.indexed.name).alias("dtext"))
+    score = (F.col("units") / UNIT).cast("float").alias("score")
+    return found.join(docs, "dtext").select("qtid", "qtext", "tid", "dtext", "did", score, rank.alias("rank"), "similarity")
 
 
 def compared(a: Column, b: Column, match: str) -> Column:
@@ -115,7 +247,7 @@ def with_checks(pairs: DataFrame, schema: MatchSchema, report: bool = False) ->
             extra[f"_sim_{f.name}"] = similarity.dice(F.col(f"q_{f.name}"), F.col(f.name)).cast("float")
         elif f.kind == "authorsField":
             extra[f"_sim_{f.name}"] = similarity.dice(F.col(f"q_{f.name}_raw"), text.join_trimmed(F.array(f"{f.name}_raw"))).cast("float")
-            extra[f"_found_{f.name}"] = similarity._authors_agree(F.col(f"q_{f.name}_list"), F.col(f"{f.name}_list"))
+            extra[f"_found_{f.name}"] = similarity.authors_agree(F.col(f"q_{f.name}_list"), F.col(f"{f.name}_list"))
     pairs = pairs.withColumns(extra) if extra else pairs
     return pairs.withColumn("checks", F.array(*[check_of(f, report) for f in schema.fields])).drop(*extra)
 
@@ -143,32 +275,43 @@ def pair_key(id1: Column, database1: Column, id2: Column, database2: Column) ->
     return F.concat_ws("_", F.least(a, b), F.greatest(a, b))
 
 
-def first_of_pairs(accepted: DataFrame, keys: str = "mixed") -> DataFrame:
-    """Of the accepted pairs that are each other's mirror the first in order of query and rank.
+def with_pair_key(accepted: DataFrame, keys: str = "mixed") -> DataFrame:
+    """``accepted`` with ``pair``.
 
     ``mixed``: the query's id as given and its database normalised, the document's both normalised, so mirrors meet
     only where ids are in normal form; ``normalized``: both sides normalised.
     """
     key = pair_key(F.col("q_id_raw") if keys == "mixed" else F.col("q_id"), text.normalize(F.col("q_database_raw")), F.col("id"), F.col("database"))
-    order = Window.partitionBy("_pair").orderBy("q_seq", "rank")
-    return accepted.withColumn("_pair", key).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_pair", "_n")
+    return accepted.withColumn("pair", key)
+
+
+def first_of_pairs(accepted: DataFrame, keys: str = "mixed") -> DataFrame:
+    """Of the accepted pairs that are each other's mirror the first in order of query and rank."""
+    order = Window.partitionBy("pair").orderBy("q_seq", "rank")
+    return with_pair_key(accepted, keys).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("pair", "_n")
 
 
 def match(queries: DataFrame, index: Index, use_similarity: bool = True, self_check: bool = False, report: bool = False, mode: str = "early_stop", double_pass: bool = False, keys: str = "mixed") -> DataFrame:
     """Accepted pairs of ``queries(seq, fields)`` with the indexed documents.
 
     Columns: ``q_*`` of the query, the document's own, ``score``, ``rank``, ``similarity``, ``checks`` and the verdict.  Without
-    similarity candidates below ``SCORE_FLOOR`` are left out and the similarity is 0.
+    similarity candidates below ``SCORE_FLOOR`` are left out and the similarity is 0.  ``mode``: ``early_stop`` ends a search soon after the first
+    candidate below the lowest tier, ``ranked`` looks at all ``CANDIDATES``, ``exhaustive`` finds all documents that reach the lowest tier.
     """
     schema = index.schema
     name = schema.indexed.name
     wanted = with_fields(queries, schema, "q_")
-    ranked = ranked_candidates(wanted, index, double_pass)
-    if use_similarity:
-        kept = similar_candidates(ranked, schema.lowest_tier, mode)
+    qtexts = kept(query_texts(wanted, name))
+    if not use_similarity:
+        ranked = ranked_texts(qtexts, index, double_pass)
+        found = ranked.where(F.col("score") >= SCORE_FLOOR).withColumn("similarity", F.lit(0).cast("float"))
+    elif mode == "early_stop":
+        found = early_candidates(qtexts, index, schema.lowest_tier, double_pass)
+    elif mode == "exhaustive":
+        found = all_candidates(qtexts, index, schema.lowest_tier, double_pass)
     else:
-        kept = ranked.where(F.col("score") >= SCORE_FLOOR).withColumn("similarity", F.lit(0).cast("float"))
-    kept = kept.select("qtext", "did", "score", "rank", "similarity")
-    pairs = wanted.join(kept, F.col(f"q_{name}") == F.col("qtext")).join(index.docs, F.col("did") == F.col("seq")).drop("qtext", "did")
+        found = similar_candidates(ranked_texts(qtexts, index, double_pass), schema.lowest_tier, mode)
+    found = found.select("qtext", "did", "score", "rank", "similarity")
+    pairs = wanted.join(found, F.col(f"q_{name}") == F.col("qtext")).join(index.docs, F.col("did") == F.col("seq")).drop("qtext", "did")
     accepted = verdicts(with_checks(pairs, schema, report), schema).where("accepted")
     return first_of_pairs(accepted, keys) if self_check else accepted

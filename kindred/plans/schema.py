@@ -55,8 +55,13 @@ class MatchSchema:
     name: str
     fields: tuple[FieldSpec, ...]
     tiers: tuple[Tier, ...] = field(default_factory=tuple)
+    #: Size of the grams of the indexed text, and whether its length counts only as exactly as one byte tells it.
+    gram: int = 3
+    rough_lengths: bool = False
 
     def __post_init__(self) -> None:
+        if self.gram < 1:
+            raise SchemaError("the size of grams must be positive")
         for kind in KINDS[:2] + KINDS[3:4]:
             if sum(f.kind == kind for f in self.fields) != 1:
                 raise SchemaError(f"exactly one {kind} is needed")

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kindred.functions import similarity, text
-from kindred.operators import index, match, render, tools
+from kindred.operators import index, match, render, search, segments, tools
 from kindred.plans.schema import FieldSpec, MatchSchema, Tier
-from kindred.sources import records
+from kindred.sources import records, scratch
 
 SCHEMA = MatchSchema(
     "documents",
@@ -110,7 +110,12 @@ def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _document_index(spark: SparkSession, sf_dir: str, schema: MatchSchema = SCHEMA) -> index.Index:
-    return index.build_index(document_records(spark, sf_dir), schema)
+    return stored(document_records(spark, sf_dir), schema)
+
+
+def stored(rows: DataFrame, schema: MatchSchema) -> index.Index:
+    """An index of ``rows``, written to the shared folder and read from there, as a search wants it."""
+    return segments.write_index(index.build_index(rows, schema), scratch.new_path(rows.sparkSession, "index"))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,7 +276,7 @@ def html_unescape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _matches(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     docs = document_records(spark, sf_dir)
-    return match.match(docs, index.build_index(docs, SCHEMA), **options)
+    return match.match(docs, stored(docs, SCHEMA), **options)
 
 
 def dedup_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,7 +314,7 @@ def every_field_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_every_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against all under a schema with a field of every kind: pairs with the verdict on each field."""
     docs = every_field_records(spark, sf_dir)
-    found = match.match(docs, index.build_index(docs, EVERY_FIELD), self_check=True, keys="normalized")
+    found = match.match(docs, stored(docs, EVERY_FIELD), self_check=True, keys="normalized")
     verdicts = F.array_join(F.transform("checks", lambda c: F.concat_ws(":", c["field"], c["condition"])), " ")
     return found.select(F.col("q_seq").alias("a"), F.col("seq").alias("b"), verdicts.alias("verdicts"))
 

@@ -80,7 +80,6 @@ def test_golden_similarities(spark):
     rows = spark.createDataFrame([(i, p[0], p[1]) for i, p in enumerate([*PAIRS, ("gg", "gggggggg", 0, 0.25)])], "i int, a string, b string")
     got = [r[0] for r in rows.orderBy("i").select(similarity.dice(F.col("a"), F.col("b"))).collect()]
     assert np.allclose(got, [*[p[3] for p in PAIRS], 0.25], atol=1e-6)
-    assert np.allclose([similarity.dice_of(p[0], p[1]) for p in PAIRS], [p[3] for p in PAIRS], atol=1e-6)
     sets = [r[0] for r in rows.orderBy("i").select(similarity.dice_sets(F.col("a"), F.col("b"))).collect()]
     assert sets[0] == 1 and sets[3] == 0.25 and np.isnan(sets[9])
 
@@ -112,8 +111,41 @@ def test_similarity_properties():
     assert all(0 <= s <= min(len(x), len(y)) / max(len(x), len(y), 1) + 1e-6 for s, x, y in zip(got, a, b) if x or y)
 
 
-def test_authors():
-    assert similarity.authors_agree(["silvaj"], ["silvaj", "souza"])
-    assert not similarity.authors_agree(["silvaj", "xxxx"], ["silvaj", "souza"])
-    assert similarity.authors_agree(["silvaj", "xxxx"], ["silvaj"])  # none left to disagree
-    assert similarity.authors_agree([], ["a"]) and similarity.authors_agree([""], [""])
+def test_similarities_from_a_floor_on_fill_less_of_the_table():
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdefgh12") for _ in range(rnd.randrange(60, 91))) for _ in range(120)]
+    near = []
+    for w in words:
+        t = list(w)
+        for _ in range(rnd.randrange(25)):
+            t[rnd.randrange(len(t))] = rnd.choice("abc")
+            if rnd.random() < 0.3:
+                del t[rnd.randrange(len(t))]
+        near.append("".join(t))
+    left, right = words + words + ["ab", "", "abc", "a"], near + words[1:] + words[:1] + ["abc", "", "abc", "b"]
+    similarity.Cells.computed = 0
+    full = similarity.ngram_similarities(left, right)
+    cells, similarity.Cells.computed = similarity.Cells.computed, 0
+    for floor in (0.3, 0.7, 0.9):
+        similarity.Cells.computed = 0
+        got = similarity.ngram_similarities(left, right, floor=floor)
+        assert np.array_equal(got, np.where(full >= np.float32(floor), full, np.float32(0)))
+        assert similarity.Cells.computed < {0.3: 1.01, 0.7: 0.5, 0.9: 0.25}[floor] * cells
+
+
+def test_authors(spark):
+    rows = [(["silvaj"], ["silvaj", "souza"], True), (["silvaj", "xxxx"], ["silvaj", "souza"], False), (["silvaj", "xxxx"], ["silvaj"], True), ([], ["a"], True), ([""], [""], True), (None, None, True)]
+    got = spark.createDataFrame(rows, "a array<string>, b array<string>, agree boolean").withColumn("got", similarity.authors_agree(F.col("a"), F.col("b")))
+    assert all(r.got == r.agree for r in got.collect())  # in the third none is left to disagree
+
+
+def test_functions_in_sql(spark):
+    from kindred.functions import sql
+
+    sql.register(spark)
+    words = ["  São Paulo: 12-13 ", "Vol. 12 / 3", "Zeta//@//alpha//@//Alpha ", "", None, "//@//", "\tÉ 1 2", "gg", "gggggggg", "night", "nacht"]
+    df = spark.createDataFrame([(i, w, words[-1 - i]) for i, w in enumerate(words)], "i int, a string, b string")
+    df.createOrReplaceTempView("two_words")
+    got = spark.sql("SELECT i, normalize_text(a) AS n, dice_similarity(a, b) AS d, ngram_similarity(a, b) AS s FROM two_words").orderBy("i").collect()
+    want = df.select("i", text.normalize(F.col("a")).alias("n"), similarity.dice(F.col("a"), F.col("b")).alias("d"), similarity.ngram_similarity(F.col("a"), F.col("b")).alias("s")).orderBy("i").collect()
+    assert got == want and got[0].n == "saopaulo12 13"

@@ -52,6 +52,26 @@ def norm_list(x):
     return sorted(norm(p) for p in x.split("//@//"))
 
 
+def dice_of(a, b):
+    """Dice coefficient of the bags of bigrams."""
+    if not a or not b or len(a) < 2 or len(b) < 2:
+        return 0.0
+    x, y = (Counter(t[i : i + 2] for i in range(len(t) - 1)) for t in (a, b))
+    return 2.0 * sum((x & y).values()) / (len(a) + len(b) - 2)
+
+
+def authors_agree(wanted, given):
+    left = sorted({g.strip() for g in given} - {""})
+    for author in filter(None, (w.strip() for w in wanted)):
+        if not left:
+            break
+        best = max(left, key=lambda g: (dice_of(author, g), g))
+        if dice_of(author, best) < 0.4:
+            return False
+        left.remove(best)
+    return True
+
+
 def sequential(docs, queries, schema, use_similarity=True, self_check=False):
     """The search as a loop over queries and candidates."""
     texts = [norm(d[2]) for d in docs]
@@ -89,17 +109,17 @@ def sequential(docs, queries, schema, use_similarity=True, self_check=False):
                 a, b = norm(q[f.pos]), norm(d[f.pos])
                 deny = "DENY_DUP" if f.match == "DENY_DUP" else "NOT_SIMILAR"
                 if f.kind in ("nGramField", "diceField"):
-                    x = sim(a, b) if f.kind == "nGramField" else np.float32(similarity.dice_of(a, b))
+                    x = sim(a, b) if f.kind == "nGramField" else np.float32(dice_of(a, b))
                     verdicts.append("SIMILAR" if b and np.float32(x) >= np.float32(f.min_score) else deny)
                 elif f.kind in ("exactField", "regExpField"):
                     if f.kind == "regExpField":
                         a, b = ((re.search(f.pattern, x) or [""] * 2)[1] for x in (a, b))
                     verdicts.append("IGNORE" if not a or not b else "SIMILAR" if a == b else "NOT_SIMILAR" if f.match == "REQUIRED" else f.match)
                 elif f.kind == "authorsField":
-                    if not similarity.authors_agree(norm_list(q[f.pos]), norm_list(d[f.pos])):
+                    if not authors_agree(norm_list(q[f.pos]), norm_list(d[f.pos])):
                         verdicts.append("NOT_SIMILAR" if f.match == "REQUIRED" else f.match)
                     else:
-                        verdicts.append("SIMILAR" if similarity.dice_of(q[f.pos], d[f.pos]) >= 0.75 else deny)
+                        verdicts.append("SIMILAR" if dice_of(q[f.pos], d[f.pos]) >= 0.75 else deny)
                 else:
                     verdicts.append("IGNORE")
             if "DENY_DUP" in verdicts:
@@ -143,11 +163,92 @@ def test_search_without_similarity(spark):
     assert not found(match.match(frames(spark, queries), index.build_index(frames(spark, docs), SCHEMA), use_similarity=False))
 
 
-def test_exhaustive_finds_at_least_as_much(spark):
+@pytest.mark.parametrize("sent", [50_000, 0])
+def test_ranking_equals_all_scores(spark, monkeypatch, sent):
+    """Both plans of the ranking, with blocks of postings and few documents of a text, against the scores of all pairs."""
+    monkeypatch.setattr(match, "SENT_QUERIES", sent)
+    monkeypatch.setattr(index, "BLOCK", 20)
+    docs = [[d[0], str(i), *d[2:]] for i, d in enumerate(corpus(200, 8) + corpus(3, 9) * 20)]
+    built = index.build_index(frames(spark, docs), SCHEMA)
+    wanted = records.with_fields(frames(spark, docs), SCHEMA, "q_")
+    for k in (12, 1000):
+        got = match.ranked_candidates(wanted, built, k=k).collect()
+        texts = [norm(d[2]) for d in docs]
+        dl = [max(0, len(t) - 2) for t in texts]
+        grams = [Counter(t[i : i + 3] for i in range(len(t) - 2)) for t in texts]
+        df, n, average = Counter(g for c in grams for g in c), len(docs), sum(dl) / len(docs)
+        weights = [{g: round(math.log(1 + (n - df[g] + 0.5) / (df[g] + 0.5)) * f / (f + 1.2 * (0.25 + 0.75 * dl[d] / average)) * 1e9) for g, f in c.items()} for d, c in enumerate(grams)]
+        want = set()
+        for q, t in enumerate(texts):
+            if texts.index(t) == q:
+                asked = Counter(g for piece in t.split(" ") for g in re.findall("...", piece))
+                scores = [(-sum(f * w.get(g, 0) for g, f in asked.items()), d) for d, w in enumerate(weights) if any(g in w for g in asked)]
+                want |= {(q, d, rank) for rank, (_, d) in enumerate(sorted(scores)[:k], 1)}
+        assert {(r.qtid, r.did, r.rank) for r in got} == want
+
+
+def test_queries_with_many_copies_are_ranked_on(spark):
+    docs = [["d", str(i), "dengue virus in rural brazil 2019", *["x"] * 7] for i in range(40)] + [[d[0], f"9{d[1]}", *d[2:]] for d in corpus(30, 10)]
+    got = found(match.match(frames(spark, docs), index.build_index(frames(spark, docs), SCHEMA)))
+    assert got == sorted(sequential(docs, docs, SCHEMA)) and len([g for g in got if g[0] == 0]) >= 40
+
+
+@pytest.mark.parametrize("floor", [0.7, 0.95, 0.5])
+def test_exhaustive_search_finds_all_pairs(spark, floor):
+    docs = corpus(150, 5)
+    schema = MatchSchema("s", (*FIELDS[:3], FieldSpec("noCompField", "note", 3)), (Tier(floor, 0),))
+    rows = [[*d[:3], "n"] for d in docs]
+    built = index.build_index(frames(spark, rows), schema)
+    got = match.match(frames(spark, rows), built, mode="exhaustive").collect()
+    texts = [norm(d[2]) for d in docs]
+    sims = {(a, b): float(similarity.ngram_similarities([x], [y])[0]) for a, x in enumerate(texts) for b, y in enumerate(texts)}
+    shared = lambda a, b: floor > 2 / 3 or any(g in texts[b] for p in texts[a].split(" ") for g in re.findall("...", p))
+    want = {(a, b) for (a, b), s in sims.items() if s >= np.float32(floor) and texts[a] and shared(a, b)}
+    assert {(r.q_seq, r.seq) for r in got} == want and len(want) >= 150
+    ranked = match.ranked_candidates(records.with_fields(frames(spark, rows), schema, "q_"), built)
+    scores = {(r.qtext, r.did): r.score for r in ranked.collect()}
+    assert all(r.score == scores.get((r.q_title, r.seq), 0) for r in got)
+
+
+def test_early_stop_finds_no_more_than_exhaustive_search(spark):
     docs = corpus(120, 5)
     built = index.build_index(frames(spark, docs), SCHEMA)
-    early, every = (set(found(match.match(frames(spark, docs), built, mode=m))) for m in ("early_stop", "exhaustive"))
-    assert early <= every
+    early, ranked = (set(found(match.match(frames(spark, docs), built, mode=m))) for m in ("early_stop", "ranked"))
+    assert early <= ranked
+
+
+@pytest.mark.parametrize("gram, rough", [(2, False), (4, True)])
+def test_gram_sizes_and_rough_lengths(spark, gram, rough):
+    docs = corpus(60, 11)
+    schema = MatchSchema("s", FIELDS, SCHEMA.tiers, gram=gram, rough_lengths=rough)
+    built = index.build_index(frames(spark, docs), schema)
+    got = {(r.gram, r.tid): r.weight for r in built.postings.collect()}
+    texts = [norm(d[2]) for d in docs]
+    dl = [max(0, len(t) - gram + 1) for t in texts]
+    grams = [Counter(t[i : i + gram] for i in range(len(t) - gram + 1)) for t in texts]
+    df, n, average = Counter(g for c in grams for g in c), len(docs), sum(dl) / len(docs)
+
+    def length(x):
+        if not rough or x < 40:
+            return x
+        step = 2 ** ((x - 24).bit_length() - 4)
+        return 24 + (x - 24) // step * step
+
+    want = {(g, texts.index(t)): round(math.log(1 + (n - df[g] + 0.5) / (df[g] + 0.5)) * f / (f + 1.2 * (0.25 + 0.75 * length(dl[d]) / average)) * 1e9) for d, t in enumerate(texts) for g, f in grams[d].items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1 for k in want)
+    assert len(found(match.match(frames(spark, docs), built))) > 50
+    one = spark.range(24, 200).select("id", index.quantised(F.col("id")).alias("q")).collect()
+    assert all(r.q == 24 + ((r.id - 24) if r.id < 40 else (r.id - 24) // 2 ** ((r.id - 24).bit_length() - 4) * 2 ** ((r.id - 24).bit_length() - 4)) for r in one)
+
+
+def test_authors_agree_in_the_plan_without_python(spark):
+    rnd = random.Random(12)
+    people = ["silvaj", "silva j", "souzam", "silvak", "leec", "", " ", "a", "ab", "gggg", "gg", "lee"]
+    rows = [([rnd.choice(people) for _ in range(rnd.randrange(5))], [rnd.choice(people) for _ in range(rnd.randrange(5))]) for _ in range(300)]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>").withColumn("agree", similarity.authors_agree(F.col("a"), F.col("b")))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    for r in df.collect():
+        assert r.agree == authors_agree(r.a, r.b), r
 
 
 def test_short_queries_and_empty_tables_find_nothing(spark):
@@ -193,8 +294,6 @@ def test_upserts_deletes_export(spark):
     assert ids(index.deleted(docs, "abc*")) == [0, 1, 4] and ids(index.deleted(docs, "abc*", legacy_prefix=True)) == [0, 1]
     assert ids(index.deleted(docs, "*")) == []
     assert index.exported(docs, SCHEMA).orderBy("seq").first().line == "d|1|first one|x|x|x|x|x|x|x"
-    more = index.merged(docs, index.shape_documents(frames(spark, [["n", "1", "third", *["x"] * 7]]), SCHEMA))
-    assert ids(more) == [2, 3, 4, 5]
 
 
 def test_required_fields(spark):
@@ -237,19 +336,6 @@ def test_bad_bytes_are_set_apart(spark, tmp_path):
     assert sorted((r.seq, r.line) for r in records.lines_of_documents(several).collect()) == [(1, "a|b"), (1, "c|d"), (2, "e")]
 
 
-def test_versions_of_an_index(spark, tmp_path):
-    path = str(tmp_path / "ix")
-    with pytest.raises(FileNotFoundError):
-        index.open_index(spark, path, SCHEMA)
-    first = index.write_index(index.build_index(frames(spark, corpus(9, 2)), SCHEMA), path)
-    second = index.update_index(first, first.docs.where("seq < 5"), path, batch=3)
-    assert (first.docs.count(), second.docs.count(), index.last_batch(spark, path)) == (9, 5, 3)  # the version before can still be read
-    (tmp_path / "ix" / "v00000002-4" / "docs").mkdir(parents=True)  # a version that was never finished
-    assert index.open_index(spark, path, SCHEMA).docs.count() == 5 and index.last_batch(spark, path) == 3
-    third = index.update_index(second, second.docs.where("seq < 2"), path)
-    assert third.docs.count() == 2 and len([p for p in (tmp_path / "ix").iterdir() if (p / "postings" / "_SUCCESS").exists()]) == 2
-
-
 def test_pairs_are_counted_once_per_key(spark):
     rows = [(0, 1, "1", "D", "2", "d"), (1, 1, "2", "D", "1", "d"), (1, 2, "2", "D", "2", "d")]
     df = spark.createDataFrame([(a, b, c, c, d, e, f) for a, b, c, d, e, f in rows], "q_seq long, rank int, q_id_raw string, q_id string, q_database_raw string, id string, database string")

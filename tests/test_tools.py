@@ -101,14 +101,16 @@ def test_command_line(spark, tmp_path, capsys):
 
 
 def test_streamed_lines_are_upserted(spark, tmp_path):
-    from kindred.operators import index
+    from kindred.operators import index, segments
     from kindred.plans.schema import MatchSchema
     from kindred.streaming.upserts import follow_lines
 
     schema, path = MatchSchema.from_xml("s", XML), str(tmp_path / "ix")
     first = spark.createDataFrame([(0, ["L", "1", "old title", "2019"])], "seq long, fields array<string>")
-    index.write_index(index.build_index(first, schema), path)
+    segments.write_index(index.build_index(first, schema), path)
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.txt").write_text("L|1|new title|2020\nL|2|second|2020\nbad line\n")
+    (tmp_path / "in" / "a.txt").write_bytes(b"L|1|new title|2020\nL|2|second|2020\nbad line\nL|3|\xff|2020\n")
     follow_lines(spark, str(tmp_path / "in"), path, schema, str(tmp_path / "cp")).awaitTermination(120)
-    assert sorted((r.id, r.title) for r in index.open_index(spark, path, schema).docs.collect()) == [("1", "newtitle"), ("2", "second")]
+    assert sorted((r.id, r.title) for r in segments.open_index(spark, path, schema).docs.collect()) == [("1", "newtitle"), ("2", "second")]
+    refused = spark.read.parquet(f"{path}/rejected/batch=0").collect()
+    assert sorted((r.reason, bytes(r.bytes)) for r in refused) == [("not UTF-8", b"L|3|\xff|2020"), ("too few fields", b"bad line")]
