@@ -53,8 +53,8 @@ def best_texts(qtexts: DataFrame, index: Index, k: int, double_pass: bool = Fals
     """``qtid, tid, units``: the best ``k`` texts of each query text, ties by ``tid``.
 
     Up to ``SENT_QUERIES`` queries the grams of all are sent to tasks that hold all postings of some texts: scores are summed where they arise, and only
-    the best of each task are shuffled.  A part of the texts is scored first: the k-th best of the best scores of its ``GROUPS`` groups is
-    reached by k texts, so all below it are left out before anything is sorted.  More queries meet the postings by gram and block.
+    the best of each task are shuffled.  Where these are many, a part of the texts is scored first: the k-th best of the best scores of its ``GROUPS``
+    groups is reached by k texts, so all below it are left out before anything is sorted.  More queries meet the postings by gram and block.
     """
     qtexts, size = kept(qtexts), index.schema.gram
     queries = qtexts.limit(SENT_QUERIES + 1).count()
@@ -64,10 +64,11 @@ def best_texts(qtexts: DataFrame, index: Index, k: int, double_pass: bool = Fals
     else:
         grams = F.broadcast(query_gram_counts(qtexts, double_pass, size))
         cores = qtexts.sparkSession.sparkContext.defaultParallelism
-        tasks = max(1, min(TASKS, max(cores, -(-index.docs.count() * queries // TASK_SUMS))))
+        sums = index.docs.count() * queries
+        tasks = max(1, min(TASKS, max(cores, -(-sums // TASK_SUMS))))
         score = lambda postings: _sums(postings.repartition(tasks, "tid").join(grams, "gram"))
         scored = score(index.postings)
-        if k < GROUPS:
+        if k < GROUPS and sums > TASK_SUMS:
             sample = score(index.postings.where(F.pmod(F.xxhash64("tid"), F.lit(SAMPLED)) == 0))
             tops = sample.groupBy("qtid", F.pmod(F.xxhash64(F.lit(1), "tid"), F.lit(GROUPS)).alias("_group")).agg(F.max("units").alias("_top"))
             least = tops.groupBy("qtid").agg(F.get(F.sort_array(F.collect_list("_top"), False), F.lit(k - 1)).alias("_least"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kindred.functions import similarity, text
+from kindred.functions import similarity, sql, text
 from kindred.operators import index, match, render, search, segments, tools
 from kindred.plans.schema import FieldSpec, MatchSchema, Tier
 from kindred.sources import records, scratch
@@ -355,6 +355,57 @@ def search_without_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("q_seq").alias("item_id"), F.col("seq").alias("doc_id"))
 
 
+def bm25_rough_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`bm25_topk` with lengths as one byte keeps them."""
+    schema = MatchSchema(SCHEMA.name, SCHEMA.fields, SCHEMA.tiers, rough_lengths=True)
+    queries = records.with_fields(benchmark_records(spark, sf_dir), schema, "q_")
+    ranked = match.ranked_candidates(queries, _document_index(spark, sf_dir, schema), k=100)
+    return ranked.select(F.col("qtid").alias("item_id"), F.col("did").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round(F.col("score").cast("double"), 3).alias("score"))
+
+
+def terms_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold each gram of two letters, from an index of that gram size."""
+    schema = MatchSchema(SCHEMA.name, SCHEMA.fields, SCHEMA.tiers, gram=2)
+    docs = index.shape_documents(document_records(spark, sf_dir), schema)
+    return index.collection_stats(docs, "title", schema.gram)
+
+
+def _revised_index(spark: SparkSession, sf_dir: str) -> str:
+    """The path of an index of all documents, to which a second batch then brings a new version of each third one."""
+    path = scratch.new_path(spark, "segments")
+    docs = document_records(spark, sf_dir)
+    segments.add_records(spark, path, SCHEMA, docs)
+    segments.add_records(spark, path, SCHEMA, docs.where("seq % 3 = 0").select("seq", F.array(F.lit("new"), F.get("fields", F.lit(1)), F.get("fields", F.lit(2)), F.get("fields", F.lit(3))).alias("fields")))
+    return path
+
+
+def segments_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live documents of two segments."""
+    return segments.open_index(spark, _revised_index(spark, sf_dir), SCHEMA).docs.select("seq", "id", "database")
+
+
+def segments_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequencies, kept as sums, after an upsert and the deletion of a prefix."""
+    path = _revised_index(spark, sf_dir)
+    segments.delete_record(spark, path, SCHEMA, "12*")
+    return segments.live_counts(spark, path, SCHEMA)
+
+
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text functions in a SELECT."""
+    sql.register(spark)
+    table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang").createOrReplaceTempView("kindred_documents")
+    return spark.sql("SELECT doc_id, normalize_text(text) AS norm, round(dice_similarity(source, concat('source', lang, doc_id)), 6) AS dice FROM kindred_documents")
+
+
+def dedup_every_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of documents whose texts have a similarity of 0.9 or more, however many candidates lie between."""
+    schema = MatchSchema(SCHEMA.name, SCHEMA.fields, (Tier(0.9, 0),))
+    docs = document_records(spark, sf_dir)
+    found = match.match(docs, stored(docs, schema), mode="exhaustive")
+    return found.select(F.col("q_seq").alias("a"), F.col("seq").alias("b"), F.round(F.col("similarity").cast("double"), 5).alias("similarity"))
+
+
 def _result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = titles(spark, sf_dir)
     sim = F.when(F.col("doc_id") % 3 == 0, "1.0").otherwise("0.9")
@@ -380,6 +431,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         common_lines_second, compare_files, compare_totals, compare_groups, line_difference, adjacent_similarity, upsert_last_wins, delete_exact, delete_prefix, export_pipe,
         required_field_violations, parse_index_lines, parse_rejects, json_to_pipe, html_unescape, dedup_match, dedup_match_self_check, dedup_match_report, dedup_match_full,
         dedup_json, match_every_field, parse_query_lines, split_records, bad_bytes, numbered_results, search_without_similarity, compare_results, check_result_report,
+        bm25_rough_lengths, terms_of_two, segments_upsert, segments_statistics, sql_functions, dedup_every_pair,
     )
 }
 
@@ -418,19 +470,38 @@ sc AS (SELECT item_id, doc_id, CAST(sum(qf * weight) AS BIGINT) AS u FROM q JOIN
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY u DESC, doc_id) AS rank FROM sc)"""
 
 
-def _similarities(pairs: str) -> str:
-    """``sims(k, s)``: n-gram similarity of ``pairs(k, a, b)``, its edit table row by row in single precision."""
+def _similarities(pairs: str, tag: str = "") -> str:
+    """``sims(k, s)``: n-gram similarity of ``pairs(k, a, b)``, its edit table row by row in single precision; ``tag`` tells several apart."""
     codes = lambda x: f"list_transform(range(1, length({x}) + 3), lambda i: CASE WHEN i < 3 THEN 0 ELSE unicode({x}[i - 2]) END)"
     wrong = " + ".join(f"(ca[i + {g}] <> cb[j + {g}])::INTEGER" for g in range(3))
     width = "3 - " + " - ".join(f"(ca[i + {g}] = 0 AND cb[j + {g}] = 0)::INTEGER" for g in range(2))
     best = f"list_transform(range(1, la + 1), lambda i: [least(row[i + 1] + 1::FLOAT, row[i] + (({wrong})::FLOAT / ({width})::FLOAT))])"
-    return f"""codes AS (SELECT k, a, b, length(a) AS la, length(b) AS lb, {codes("a")} AS ca, {codes("b")} AS cb FROM {pairs}),
-steps AS (WITH RECURSIVE r AS (SELECT k, 0 AS j, la, lb, ca, cb, list_transform(range(0, la + 1), lambda i: i::FLOAT) AS row FROM codes WHERE a <> b AND least(la, lb) >= 3
+    return f"""codes{tag} AS (SELECT k, a, b, length(a) AS la, length(b) AS lb, {codes("a")} AS ca, {codes("b")} AS cb FROM {pairs}),
+steps{tag} AS (WITH RECURSIVE r AS (SELECT k, 0 AS j, la, lb, ca, cb, list_transform(range(0, la + 1), lambda i: i::FLOAT) AS row FROM codes{tag} WHERE a <> b AND least(la, lb) >= 3
   UNION ALL SELECT k, j, la, lb, ca, cb, list_reduce({best}, lambda done, x: list_append(done, least(x[1], done[-1] + 1::FLOAT)), [j::FLOAT]) FROM (SELECT k, j + 1 AS j, la, lb, ca, cb, row FROM r WHERE j < lb))
   SELECT k, row[-1] AS d FROM r WHERE j = lb),
-sims AS (SELECT k, CASE WHEN a = b THEN 1::FLOAT WHEN a = '' OR b = '' THEN 0::FLOAT
+sims{tag} AS (SELECT k, CASE WHEN a = b THEN 1::FLOAT WHEN a = '' OR b = '' THEN 0::FLOAT
   WHEN least(la, lb) < 3 THEN len(list_filter(range(3, least(la, lb) + 3), lambda i: ca[i] = cb[i]))::FLOAT / greatest(la, lb)::FLOAT
-  ELSE 1::FLOAT - d / greatest(la, lb)::FLOAT END AS s FROM codes LEFT JOIN steps USING (k))"""
+  ELSE 1::FLOAT - d / greatest(la, lb)::FLOAT END AS s FROM codes{tag} LEFT JOIN steps{tag} USING (k))"""
+
+
+#: Accepted pairs of all documents with all, as the search finds them: the first candidates of each text, and where these hold no miss soon enough, all.
+_DEDUP = f"""{_TITLES}, {_POSTINGS},
+dq AS (SELECT norm AS a, unnest(flatten(list_transform(string_split(norm, ' '), lambda x: regexp_extract_all(x, '.{{3}}')))) AS gram FROM (SELECT DISTINCT norm FROM docs1)),
+dqf AS (SELECT a, gram, count(*) AS qf FROM dq GROUP BY ALL),
+dsc AS (SELECT a, doc_id, CAST(sum(qf * weight) AS BIGINT) AS u FROM dqf JOIN w USING (gram) GROUP BY ALL),
+cand AS (SELECT a, docs1.norm AS b, doc_id, u, row_number() OVER (PARTITION BY a ORDER BY u DESC, doc_id) AS rank FROM dsc JOIN docs1 USING (doc_id) QUALIFY rank <= 1000),
+p1 AS (SELECT DISTINCT least(a, b) || '|' || greatest(a, b) AS k, least(a, b) AS a, greatest(a, b) AS b FROM cand WHERE rank <= 8),
+{_similarities("p1", "1")},
+seen1 AS (SELECT cand.*, s FROM cand JOIN sims1 ON k = least(a, b) || '|' || greatest(a, b) WHERE rank <= 8),
+on1 AS (SELECT a FROM seen1 GROUP BY a HAVING max(rank) = 8 AND coalesce(min(CASE WHEN s < 0.7::FLOAT THEN rank END), 99) > 5),
+p2 AS (SELECT DISTINCT least(a, b) || '|' || greatest(a, b) AS k, least(a, b) AS a, greatest(a, b) AS b FROM cand JOIN on1 USING (a)),
+{_similarities("p2", "2")},
+seen AS (SELECT * FROM seen1 WHERE a NOT IN (SELECT a FROM on1) UNION ALL SELECT cand.*, s FROM cand JOIN sims2 ON k = least(a, b) || '|' || greatest(a, b)),
+hits AS (SELECT *, min(CASE WHEN s < 0.7::FLOAT THEN rank END) OVER (PARTITION BY a) AS miss FROM seen QUALIFY s >= 0.7::FLOAT AND (miss IS NULL OR rank <= miss + 3)),
+acc AS (SELECT q.doc_id AS q_seq, q.source AS q_source, q.title AS q_title, q.lang AS q_lang, d.doc_id, d.source, d.title, d.lang, h.a, h.b, h.rank, h.s, (h.u / 1e9)::FLOAT AS score
+  FROM hits h JOIN docs1 q ON q.norm = h.a JOIN docs1 d ON d.doc_id = h.doc_id WHERE h.s >= 1 OR (q.lang = d.lang AND q.lang <> ''))"""
+_SAFE = lambda x: f"replace({x}, '|', '!')"
 
 
 def _verdict(a: str, b: str, other: str) -> str:
@@ -438,6 +509,24 @@ def _verdict(a: str, b: str, other: str) -> str:
 
 
 SQL: dict[str, str] = {
+    "bm25_rough_lengths": f"WITH {_TITLES}, {_POSTINGS.replace('* dl /', '* (CASE WHEN dl < 40 THEN dl ELSE 24 + ((dl - 24) >> (length(bin(dl - 24)) - 4)) * (1 << (length(bin(dl - 24)) - 4)) END) /')}, {_ITEMS} SELECT item_id, doc_id, rank, round((u / 1e9)::FLOAT::DOUBLE, 3) AS score FROM ranked WHERE rank <= 100",
+    "terms_of_two": f"WITH {_TITLES} SELECT gram, count(*) AS df FROM (SELECT DISTINCT doc_id, substr(norm, i, 2) AS gram FROM (SELECT doc_id, norm, unnest(range(1, length(norm))) AS i FROM docs1 WHERE length(norm) >= 2)) GROUP BY gram",
+    "segments_upsert": "SELECT doc_id AS seq, CAST(doc_id AS VARCHAR) AS id, lower(source) AS database FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id + (SELECT max(doc_id) + 1 FROM documents), CAST(doc_id AS VARCHAR), 'new' FROM documents WHERE doc_id % 3 = 0",
+    "segments_statistics": f"WITH {_TITLES} SELECT gram, count(*) AS df FROM (SELECT DISTINCT doc_id, substr(norm, i, 3) AS gram FROM (SELECT doc_id, norm, unnest(range(1, length(norm) - 1)) AS i FROM docs1 WHERE length(norm) >= 3 AND NOT starts_with(doc_id::VARCHAR, '12'))) GROUP BY gram",
+    "sql_functions": f"""WITH p AS (SELECT doc_id, source AS a, 'source' || lang || doc_id AS b FROM documents),
+x AS (SELECT doc_id, substr(a, i, 2) AS g, count(*) AS c FROM (SELECT doc_id, a, unnest(range(1, length(a))) AS i FROM p) GROUP BY ALL), y AS (SELECT doc_id, substr(b, i, 2) AS g, count(*) AS c FROM (SELECT doc_id, b, unnest(range(1, length(b))) AS i FROM p) GROUP BY ALL),
+m AS (SELECT doc_id, sum(least(x.c, y.c)) AS n FROM x JOIN y USING (doc_id, g) GROUP BY doc_id)
+SELECT d.doc_id, {_norm('text')} AS norm, CASE WHEN length(a) > 1 AND length(b) > 1 THEN round(2 * coalesce(n, 0) / (length(a) + length(b) - 2), 6) ELSE 0 END AS dice FROM documents d JOIN p USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    # Texts of 0.9 or more share at least seven tenths of their padded trigrams, counted as bags.
+    "dedup_every_pair": f"""WITH {_TITLES}, t AS (SELECT DISTINCT norm FROM docs1 WHERE norm <> ''),
+g AS (SELECT norm, substr('__' || norm, i, 3) AS gram, count(*) AS c FROM (SELECT norm, unnest(range(1, length(norm) + 1)) AS i FROM t) GROUP BY ALL),
+o AS (SELECT x.norm AS a, y.norm AS b, sum(least(x.c, y.c)) AS n FROM g x JOIN g y USING (gram) GROUP BY ALL HAVING n >= 0.7 * greatest(length(a), length(b)) - 0.01),
+p AS (SELECT a || '|' || b AS k, a, b FROM o), {_similarities("p")}
+SELECT q.doc_id AS a, d.doc_id AS b, round(s::DOUBLE, 5) AS similarity FROM p JOIN sims USING (k) JOIN docs1 q ON q.norm = p.a JOIN docs1 d ON d.norm = p.b WHERE s >= 0.9::FLOAT""",
+    "dedup_match": f"WITH {_DEDUP} SELECT DISTINCT q_seq, concat_ws('|', score, s, q_seq, doc_id, {_SAFE('q_title')}, {_SAFE('title')}, q_source, source) AS line FROM acc",
+    "dedup_match_self_check": f"WITH {_DEDUP}, k AS (SELECT q_seq, doc_id, s, rank, q_seq || '_' || q_source AS x, doc_id || '_' || source AS y FROM acc) SELECT q_seq AS a, doc_id AS b, round(s::DOUBLE, 5) AS similarity FROM k QUALIFY row_number() OVER (PARTITION BY least(x, y), greatest(x, y) ORDER BY q_seq, rank) = 1",
+    "dedup_json": f"""WITH {_DEDUP} SELECT DISTINCT q_seq, '{{ "database":"' || source || '", "id":"' || doc_id || '", "title":"' || b || '", "lang":"' || lang || '", "score":"' || score || '" }}' AS line FROM acc""",
+    "dedup_match_full": f"WITH {_DEDUP}, f AS (SELECT *, {_norm('q_title')} AS n FROM acc) SELECT DISTINCT q_seq, concat_ws('|', score, s, q_source, q_source, q_seq, q_seq, {_SAFE('q_title')}, {_limit('n')}, q_lang, q_lang, source, source, doc_id, doc_id, {_SAFE('title')}, b, lang, lang) AS line FROM f",
     "normalize_text": f"SELECT doc_id, {_norm('text')} AS norm FROM documents",
     "limit_size": f"WITH d AS (SELECT doc_id, text, {_norm('text')} AS n FROM documents) SELECT doc_id, {_limit('n')} AS limited, {_limit('text', 100)} AS limited100, {_limit('text', 101)} AS limited101 FROM d",
     "order_occurrences": f"WITH {_TURNS} SELECT conv_id, CASE WHEN n > 1 THEN array_to_string(list_sort(list_distinct(list_transform(string_split(j, '//@//'), lambda x: trim(x, {_SPACE})))), '//@//') ELSE j END AS ordered FROM joined",

@@ -163,15 +163,16 @@ def test_search_without_similarity(spark):
     assert not found(match.match(frames(spark, queries), index.build_index(frames(spark, docs), SCHEMA), use_similarity=False))
 
 
-@pytest.mark.parametrize("sent", [50_000, 0])
-def test_ranking_equals_all_scores(spark, monkeypatch, sent):
+@pytest.mark.parametrize("sent, sums", [(50_000, 5_000), (0, 0)])
+def test_ranking_equals_all_scores(spark, monkeypatch, sent, sums):
     """Both plans of the ranking, with blocks of postings and few documents of a text, against the scores of all pairs."""
     monkeypatch.setattr(match, "SENT_QUERIES", sent)
+    monkeypatch.setattr(match, "TASK_SUMS", sums)
     monkeypatch.setattr(index, "BLOCK", 20)
     docs = [[d[0], str(i), *d[2:]] for i, d in enumerate(corpus(200, 8) + corpus(3, 9) * 20)]
     built = index.build_index(frames(spark, docs), SCHEMA)
     wanted = records.with_fields(frames(spark, docs), SCHEMA, "q_")
-    for k in (12, 1000):
+    for k in (12, 1000) if sent else (12,):
         got = match.ranked_candidates(wanted, built, k=k).collect()
         texts = [norm(d[2]) for d in docs]
         dl = [max(0, len(t) - 2) for t in texts]
