@@ -295,19 +295,18 @@ def _mark(indexes: _Blocks, text: str, min_words: int, percent: int, shape):
         held: list[pa.RecordBatch] = []
 
         def judged() -> Iterator[pa.RecordBatch]:
-            items = [[[] for _ in range(len(b))] for b in held]
+            items: list[list[dict]] = [[{} for _ in range(len(b))] for b in held]
             longest = [np.zeros(len(b), np.int64) for b in held]
             for index in indexes:
                 for k, batch in enumerate(held):
                     for a, _, data, offsets in blocks(batch.column(text)):
                         w = hash_words(data, offsets, _BREAKS)
                         for row, item, _, _, n, _ in matches(w.hashes, w.first, index, min_words, percent):
-                            if index.ids[item] not in items[k][a + row]:
-                                items[k][a + row].append(index.ids[item])
+                            items[k][a + row][index.ids[item]] = True
                             longest[k][a + row] = max(longest[k][a + row], n)
             for batch, own, most in zip(held, items, longest):
                 cols = [batch.column(c) for c in arrow.names[:-2]]
-                yield pa.record_batch([*cols, pa.array([sorted(x) for x in own], arrow.field(len(arrow) - 2).type), pa.array(most, pa.int64())], schema=arrow)
+                yield pa.record_batch([*cols, pa.array([sorted(x, key=lambda v: (v is None, v)) for x in own], arrow.field(len(arrow) - 2).type), pa.array(most, pa.int64())], schema=arrow)
 
         size = 0
         for batch in batches:
@@ -344,6 +343,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFram
 
 
 def _unused(docs: DataFrame, name: str) -> str:
-    while name in docs.columns:
+    while name.lower() in {c.lower() for c in docs.columns}:
         name += "_"
     return name

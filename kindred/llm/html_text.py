@@ -306,7 +306,7 @@ def extract(page: str | None) -> str:
 def extract_pages(pages: DataFrame, column: str = "html") -> DataFrame:
     """``pages`` without the markup, with ``text`` and ``n_chars``."""
     ship(pages.sparkSession)
-    own = [c for c in pages.columns if c not in (column, "text", "n_chars")]
+    own = [c for c in pages.columns if c.lower() not in (column.lower(), "text", "n_chars")]
     schema = T.StructType([*[pages.schema[c] for c in own], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,13 +1,14 @@
 """Licence scans with a positional index of rare words, with built-in functions only.
 
 1. The document frequency of every word of the licence templates is counted over all documents.
-2. Each template is indexed under its ``INDEX_WORDS`` words of highest inverse document frequency: a posting tells where in the
-   template a word stands, and the word's rank in it.
+2. Each template is indexed under the two words of highest inverse document frequency of each of its mandatory key phrases, and up to ``INDEX_WORDS``
+   in all under those of its other words: a posting tells where in the template a word stands, and the word's rank in it.
 3. In each file, of each template the ``LOOKUP_WORDS`` indexed words of highest inverse document frequency among those that the file has are looked
    up.  A word at place ``i`` and its posting at place ``p`` say that the template begins at ``i - p``; a beginning on which ``MIN_WORDS``
    postings agree is a candidate.
-4. A candidate counts if each of the template's mandatory key phrases stands at its place.  Its score is the share of the
-   template's words that stand at theirs.
+4. A candidate counts if a mandatory key phrase stands at its place, and each of them at that of some candidate of the template (so words may be
+   put in between).  Its score is the share of the template's words that stand at theirs.  The corpus decides only which words are looked up,
+   never whether a label holds.
 
 Beside the templates three base phrases are reported wherever their words stand one after the other.
 
@@ -19,14 +20,15 @@ and one named like a result column is replaced.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 INDEX_WORDS, LOOKUP_WORDS, MIN_WORDS, BASE_SCORE = 12, 6, 2, 0.5
-#: Of the words that more than one row in so many holds, a template is indexed under no more than it needs for this many words.
-COMMON, LEAST_WORDS = 8, 3
+#: A word that more than one row in so many holds indexes a template only as part of a key phrase.
+COMMON = 8
 
 _AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
 _BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
@@ -102,6 +104,12 @@ TEMPLATES = (
     ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("any person or organization obtaining a copy", "accompanying documentation covered by this license")),
     ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0", ("eclipse public license v 2 0",)),
     ("cc0-1.0", "has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related or neighboring rights",)),
+    ("mpl-2.0", "mozilla public license version 2 0", ("mozilla public license version 2 0",)),
+    ("lgpl", "gnu library general public license", ("library general public license",)),
+    *((label, f"spdx license identifier {re.sub('[^a-z0-9]+', ' ', label)}", (f"spdx license identifier {re.sub('[^a-z0-9]+', ' ', label)}",)) for label in (
+        "agpl-3.0-only", "agpl-3.0-or-later", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "bsl-1.0", "cc0-1.0", "epl-2.0", "gpl-2.0-only", "gpl-2.0-or-later", "gpl-3.0-only",
+        "gpl-3.0-or-later", "isc", "lgpl-2.1-only", "lgpl-2.1-or-later", "lgpl-3.0-only", "lgpl-3.0-or-later", "mit", "mpl-2.0", "unlicense", "zlib",
+    )),
     ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", ("changing it is allowed as long as the name is changed",)),
 )
 #: Fixed values: (label, base phrase).
@@ -123,14 +131,19 @@ def document_frequencies(docs: DataFrame, vocabulary: Iterable[str], text: str =
 
 
 def build_index(rows: int, frequencies: dict[str, int]) -> dict[str, list[tuple[int, int, int]]]:
-    """Postings ``(template, place, rank of the word)`` of each indexed word, words of the highest inverse document frequency first."""
+    """Postings ``(template, place, rank of the word)`` of each indexed word, words of the highest inverse document frequency first.
+
+    A template is indexed under the two rarest words of each of its key phrases, so that a phrase that stands is always met, and under the rarest of its
+    other words that some row holds.
+    """
     idf = lambda w: math.log((rows + 1) / (frequencies.get(w, 0) + 1))
     index: dict[str, list[tuple[int, int, int]]] = {}
-    for t, (_, notice, _) in enumerate(TEMPLATES):
+    for t, (_, notice, phrases) in enumerate(TEMPLATES):
         own = notice.split()
-        best = sorted(set(own), key=lambda w: (-idf(w), own.index(w)))[:INDEX_WORDS]
-        best = [w for r, w in enumerate(best) if r < LEAST_WORDS or COMMON * frequencies.get(w, 0) <= rows]
-        for rank, word in enumerate(best):
+        rarest = lambda words: sorted(set(words), key=lambda w: (-idf(w), own.index(w)))  # noqa: B023, E731
+        anchors = list(dict.fromkeys(w for phrase in phrases for w in rarest(phrase.split())[:2]))
+        others = [w for w in rarest(own) if w not in anchors and frequencies.get(w, 0) and COMMON * frequencies[w] <= rows]
+        for rank, word in enumerate([*anchors, *others[: max(0, INDEX_WORDS - len(anchors))]]):
             index.setdefault(word, []).extend((t, p, rank) for p, w in enumerate(own) if w == word)
     return dict(sorted(index.items(), key=lambda x: (-idf(x[0]), x[0])))
 
@@ -162,7 +175,7 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     anchors = {phrase.split()[-1] if label == "reserved" else phrase.split()[0] for label, phrase in BASE}
     looked_up = sorted({*index, *anchors})
 
-    own = [c for c in docs.columns if c not in RESULTS]
+    own = [c for c in docs.columns if c.lower() not in RESULTS]
     body = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), words_of(F.col(f"`{text}`")).alias("_words"))
     body = body.withColumn("_spots", F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(looked_up)))
     words, spots = F.col("_words"), F.col("_spots")
@@ -201,8 +214,13 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     # Equal beginnings are neighbours after sorting; MIN_WORDS of them agree where one equals the one so far ahead of it.
     first, later = F.col("_begun"), F.slice("_begun", MIN_WORDS, F.greatest(F.size("_begun"), F.lit(1)))
     agreed = F.array_distinct(F.filter(F.zip_with(first, later, lambda a, b: F.when(a == b, a)), lambda a: a.isNotNull()))
-    valid = F.filter(agreed, lambda a: F.forall(F.get(keys, a["t"]), lambda k: stands(a["s"] + k["o"], k["n"], k["s"])))
-    body = body.withColumn("_valid", valid)
+    body = body.withColumn("_agreed", agreed)
+    # A template counts once each of its key phrases stands somewhere; its score is the best of where one stands in its place.
+    here = lambda a: F.filter(F.get(keys, a["t"]), lambda k: stands(a["s"] + k["o"], k["n"], k["s"]))
+    stood = F.array_distinct(F.flatten(F.transform("_agreed", lambda a: F.transform(here(a), lambda k: F.struct(a["t"].alias("t"), k["s"].alias("s"))))))
+    body = body.withColumn("_stood", stood)
+    whole = lambda a: F.forall(F.get(keys, a["t"]), lambda k: F.array_contains(F.col("_stood"), F.struct(a["t"].alias("t"), k["s"].alias("s"))))
+    body = body.withColumn("_valid", F.filter("_agreed", lambda a: whole(a) & (F.size(here(a)) > 0)))
 
     def share(a: Column) -> Column:
         notice = F.get(notices, a["t"])

@@ -186,7 +186,7 @@ def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, cap: int = CAP, see
     ``text`` is what is taken that time: the whole text, or in the last copy its first words with the white space between them.
     """
     _, cells, shards = _planned(docs, block_words, cap, seed, shard_words)
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "copy")]
+    own = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken", "copy")]
     row = F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row")
     rows = _decided(_dealt(_sized(docs.select("doc_id", "source", "text", row), seed), shards, seed), cells).where("taken > 0")
     last = F.col("_passes") + F.when(F.col("_part") > 0, 1).otherwise(0)

@@ -358,7 +358,7 @@ def _like(number: int, was: str) -> str:
 def pseudonymised(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in ``text``, ``n_values`` replaced and ``kinds`` (distinct, sorted, comma-joined)."""
     ship(docs.sparkSession)
-    own = [c for c in docs.columns if c not in (text, "n_values", "kinds")]
+    own = [c for c in docs.columns if c.lower() not in (text.lower(), "n_values", "kinds")]
     schema = T.StructType([*[docs.schema[c] for c in own], T.StructField(text, T.StringType()), T.StructField("n_values", T.LongType()), T.StructField("kinds", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

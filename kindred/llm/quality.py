@@ -43,7 +43,7 @@ def _ratio(part: Column, whole: Column) -> Column:
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with counts and ratios of each whole text."""
-    own = [c for c in docs.columns if c not in MEASURES]
+    own = [c for c in docs.columns if c.lower() not in MEASURES]
     docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
     body = F.col("_text")
     stop = sorted(set(STOP_WORDS.split()))

@@ -1,21 +1,20 @@
 """Toxicity by weak supervision.
 
-Voters look at a text and vote "toxic" or abstain: lexicons and patterns of four languages, and lexicons learned from training
-rows, each of which holds the words with a common stem and votes if enough of them stand in the text.  A generative label model is
-fitted by expectation-maximisation over the votes alone: each voter has a rate of voting on toxic and on clean rows (its accuracy), and
-voters that agree more than these rates explain are correlated and share their weight.  Gold labels choose the learned lexicons and give the
-rates from which the fit begins; they are no votes.  The model's posteriors label the sample, and a linear classifier is trained
-on them; it alone scores documents.
+Voters look at a text and vote "toxic" or abstain: lexicons and patterns of four languages, and lexicons mined from training
+rows, each of which holds the words with a common stem and votes if enough of them stand in the text.  Gold labels of training rows only choose the
+mined lexicons and drop fixed words that stand in clean rows.  A generative label model is then fitted by expectation-maximisation over the votes alone, without
+any label: each voter has a rate of voting on toxic and on clean rows (its accuracy), and voters that agree more than these rates explain are
+correlated and share their weight.  The model's posteriors label the sample, and a linear classifier is trained on them; it alone scores documents.
 
 Training uses at most ``SAMPLE`` labelled rows, those with the smallest hashes of their doc_id (a bounded sample whose size
-doesn't depend on the corpus).  Scoring reads every whole text.  Labels, language, source and doc_id are not inputs of a
-score.
+doesn't depend on the corpus; rows that repeat a doc_id count once each, in one row of equal votes).  Scoring reads every whole text.  Labels, language,
+source and doc_id are not inputs of a score.
 
 Defined cases: a null text is scored as an empty one; an empty text gets the classifier's bias alone; without usable
-labels a row on which two voters agree, or a pattern votes, counts as toxic at first, and without such rows all voters get one preset weight.
+labels the fixed voters are all there are, and where none of them votes all voters get one preset weight.
 Labels that are null or repeat a doc_id are ignored or counted once (toxic if any says so).  A row without a doc_id isn't
 held out.  Repeated rows get equal scores; an empty table gives an empty result.  :func:`scored` carries other columns along and replaces
-one named like its result; :func:`without_toxic` returns the columns as they are.
+one named like its result, in any case; :func:`without_toxic` returns the columns as they are.
 """
 
 from __future__ import annotations
@@ -38,8 +37,9 @@ PREFIXES, MOST = (3, 4, 5, 6), 4
 #: Learned lexicons: at most so many, each with this support and precision, and a likelihood ratio that chance hardly gives.
 LEARNED, MIN_SUPPORT, MIN_PRECISION, MIN_RATIO = 240, 5, 0.88, 12.0
 EM_ROUNDS, TRAIN_ROUNDS, RIDGE = 30, 40, 0.1
-#: Weight of the rates under the first beliefs against those under the beliefs of a round.
-FIRST_RATES = 4.0
+#: Label model: share of toxic rows; belief in "toxic" at first, by number of votes; rates of voting on toxic and on clean rows that a voter has without
+#: evidence, with the rows that this counts for; how much more often a voter votes on toxic rows at least.
+PRIOR, FIRST_BELIEFS, USUAL, BETTER = 0.1, (0.02, 0.5, 0.95), ((0.1, 4.0), (0.002, 20.0)), 3.0
 #: How much it says that a voter abstains; less than all, as voters of one language or topic abstain on the others.
 ABSTAINED = 0.5
 #: A word of a fixed lexicon is left out if so many training rows hold it and fewer than half of them are toxic.
@@ -163,25 +163,19 @@ class LabelModel(NamedTuple):
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
-def fit_label_model(votes: np.ndarray, first: np.ndarray, rounds: int = EM_ROUNDS) -> LabelModel:
-    """EM over ``votes``; ``first`` are the beliefs that it begins with.
+def fit_label_model(votes: np.ndarray, counts: np.ndarray | None = None, rounds: int = EM_ROUNDS) -> LabelModel:
+    """Expectation-maximisation over ``votes`` alone, rows counted ``counts`` times; no label is read.
 
-    The rates under the first beliefs are a prior for those of each round, which keeps "toxic" what it was at first.
+    The first beliefs come from how many voters vote (``FIRST_BELIEFS``).  The share of toxic rows is fixed (``PRIOR``), and every voter is held to vote at least
+    ``BETTER`` times as often on toxic rows as on clean ones; else "toxic" could come to mean the rows that no one votes on.
     """
-    n, belief = max(1, len(votes)), first.astype(float)
-
-    def rates(belief: np.ndarray, toxic: np.ndarray | float, clean: np.ndarray | float, strengths: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
-        found = [(part @ votes + k * was) / (part.sum() + k) for part, was, k in ((belief, toxic, strengths[0]), (1 - belief, clean, strengths[1]))]
-        return np.clip(found[0], 1e-4, 1 - 1e-4), np.clip(found[1], 1e-4, 1 - 1e-4)
-
-    # A voter that has hardly voted keeps a mild preference for "toxic".
-    begun = rates(belief, 0.05, 0.002, (4.0, 4.0))
-    worth = (FIRST_RATES * belief.sum(), FIRST_RATES * (1 - belief).sum())
-    model = LabelModel(*begun, 0.1, np.eye(votes.shape[1]))
-    for k in range(rounds):
-        now = rates(belief, *begun, worth) if k else begun
-        prior = float(np.clip((belief.sum() + worth[0] + 1) / (n + sum(worth) + 10), 1e-3, 0.999))
-        model = LabelModel(*now, prior, _ties(votes, belief, *now))
+    counts = np.ones(len(votes)) if counts is None else counts.astype(float)
+    belief = np.array(FIRST_BELIEFS)[np.minimum(votes.sum(axis=1), len(FIRST_BELIEFS) - 1).astype(int)]
+    model = LabelModel(np.full(votes.shape[1], USUAL[0][0]), np.full(votes.shape[1], USUAL[1][0]), PRIOR, np.eye(votes.shape[1]))
+    for _ in range(rounds):
+        toxic, clean = (((part * counts) @ votes + strength * usual) / ((part * counts).sum() + strength) for part, (usual, strength) in zip((belief, 1 - belief), USUAL))
+        toxic, clean = np.clip(np.maximum(toxic, BETTER * clean), 1e-4, 0.99), np.clip(clean, 1e-4, 0.99 / BETTER)
+        model = LabelModel(toxic, clean, PRIOR, _ties(votes, counts, belief, toxic, clean))
         new = model.posterior(votes)
         if np.abs(new - belief).max(initial=0) < 1e-4:
             break
@@ -189,12 +183,11 @@ def fit_label_model(votes: np.ndarray, first: np.ndarray, rounds: int = EM_ROUND
     return model
 
 
-def _ties(votes: np.ndarray, belief: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+def _ties(votes: np.ndarray, counts: np.ndarray, belief: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
     """Correlation of the voters beyond what the labels explain; weak ones count as none."""
     if not len(votes):
         return np.eye(votes.shape[1])
-    expected = belief[:, None] * toxic + (1 - belief)[:, None] * clean
-    rest = votes - expected
+    rest = (votes - (belief[:, None] * toxic + (1 - belief)[:, None] * clean)) * np.sqrt(counts)[:, None]
     size = np.sqrt((rest**2).sum(axis=0)) + 1e-9
     tied = np.clip((rest.T @ rest) / np.outer(size, size), 0, 1)
     tied[tied < 0.2] = 0
@@ -202,14 +195,15 @@ def _ties(votes: np.ndarray, belief: np.ndarray, toxic: np.ndarray, clean: np.nd
     return tied
 
 
-def fit_classifier(votes: np.ndarray, posterior: np.ndarray, rounds: int = TRAIN_ROUNDS, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
+def fit_classifier(votes: np.ndarray, posterior: np.ndarray, counts: np.ndarray | None = None, rounds: int = TRAIN_ROUNDS, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
     """Logistic regression on posterior labels by damped Newton steps; the bias is not shrunk."""
+    counts = np.ones(len(votes)) if counts is None else counts.astype(float)
     x = np.hstack([votes.astype(float), np.ones((len(votes), 1))])
     theta, shrink = np.zeros(x.shape[1]), np.append(np.full(votes.shape[1], ridge), 1e-6)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        slope = x.T @ (posterior - p) - shrink * theta
-        bend = (x * (p * (1 - p))[:, None]).T @ x + np.diag(shrink)
+        slope = x.T @ (counts * (posterior - p)) - shrink * theta
+        bend = (x * (counts * p * (1 - p))[:, None]).T @ x + np.diag(shrink)
         step = np.linalg.solve(bend, slope)
         theta += step * min(1.0, 2.0 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-6:
@@ -275,7 +269,7 @@ def _packed(found: list[int], count: int) -> bytes:
 
 
 def vote_table(rows: DataFrame, learned: list[tuple[str, int]], dropped: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Votes and labels of rows ``(text, toxic)``, of which there are a bounded number."""
+    """Distinct rows of votes on ``rows(text)``, of which there are a bounded number, and how often each occurs."""
     ship(rows.sparkSession)
     count = Voters(learned).count
 
@@ -283,13 +277,11 @@ def vote_table(rows: DataFrame, learned: list[tuple[str, int]], dropped: list[st
         own = Voters(learned, dropped)
         for batch in batches:
             found = [_packed(own.votes(t.as_py()), count) for t in batch.column("text")]
-            yield pa.record_batch([pa.array(found, pa.binary()), batch.column("toxic")], names=["votes", "toxic"])
+            yield pa.record_batch([pa.array(found, pa.binary())], names=["votes"])
 
-    # Equal rows of votes are counted, so one task needn't hold the many rows on which nobody votes.
-    got = rows.mapInArrow(vote, "votes binary, toxic int").groupBy("votes", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()
-    got = [r for r in sorted(got) for _ in range(r.n)]
+    got = sorted(rows.select("text").mapInArrow(vote, "votes binary").groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect())
     votes = np.array([np.unpackbits(np.frombuffer(r.votes, np.uint8))[:count] for r in got], dtype=float).reshape(-1, count)
-    return votes, np.array([r.toxic for r in got], dtype=float)
+    return votes, np.array([r.n for r in got], dtype=float)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -299,20 +291,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     seen = seen.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = ws.save(docs.select("doc_id", "text").join(F.broadcast(seen), "doc_id").select("text", "toxic"), "sample")
     learned, dropped = learn_lexicons(rows)
-    votes, first = vote_table(rows, learned, dropped)
+    votes, counts = vote_table(rows, learned, dropped)
     ws.drop("")
-    if not first.sum():  # no toxic row to learn from
-        first = ((votes.sum(axis=1) > 1) | votes[:, len(LEXICONS) : FIXED].any(axis=1)).astype(float)
-    if not first.sum():
+    if not votes.any():
         return Model(learned, dropped, np.full(votes.shape[1], 3.0), -3.0)
-    weights, bias = fit_classifier(votes, fit_label_model(votes, first).posterior(votes))
+    weights, bias = fit_classifier(votes, fit_label_model(votes, counts).posterior(votes), counts)
     return Model(learned, dropped, weights, bias)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the score as column ``name``."""
     ship(docs.sparkSession)
-    schema = T.StructType([*[f for f in docs.schema.fields if f.name != name], T.StructField(name, T.DoubleType())])
+    schema = T.StructType([*[f for f in docs.schema.fields if f.name.lower() != name.lower()], T.StructField(name, T.DoubleType())])
     own = [f.name for f in schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,6 +325,6 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't call toxic."""
     name = "score"
-    while name in docs.columns:
+    while name.lower() in {c.lower() for c in docs.columns}:
         name += "_"
     return scored(docs, train(docs, labels), name=name).where(F.col(name) < THRESHOLD).drop(name)

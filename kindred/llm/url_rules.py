@@ -121,7 +121,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     spark = pages.sparkSession
     ship(spark)
     n = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    own = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     link = F.col(f"`{url}`")
     urls = pages.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), host_of(link).alias("_host"), path_of(link).alias("_path"))
     urls = urls.withColumns({"_key": host_key(F.col("_host")), "_salt": F.pmod(F.xxhash64("_row"), F.lit(1 << 30))})
