@@ -38,8 +38,8 @@ PREFIXES, MOST = (3, 4, 5, 6), 4
 LEARNED, MIN_SUPPORT, MIN_PRECISION, MIN_RATIO = 240, 5, 0.88, 12.0
 EM_ROUNDS, TRAIN_ROUNDS, RIDGE = 30, 40, 0.1
 #: Label model: share of toxic rows; belief in "toxic" at first, by number of votes; rates of voting on toxic and on clean rows that a voter has without
-#: evidence, with the rows that this counts for; how much more often a voter votes on toxic rows at least.
-PRIOR, FIRST_BELIEFS, USUAL, BETTER = 0.1, (0.02, 0.5, 0.95), ((0.1, 4.0), (0.002, 20.0)), 3.0
+#: evidence, with the rows that this counts for; how much more often a voter votes on toxic rows at least, and the precision that mining stands for.
+PRIOR, FIRST_BELIEFS, USUAL, BETTER, MINED_PRECISION = 0.1, (0.02, 0.5, 0.95), ((0.1, 4.0), (0.002, 20.0)), 3.0, 0.95
 #: How much it says that a voter abstains; less than all, as voters of one language or topic abstain on the others.
 ABSTAINED = 0.5
 #: A word of a fixed lexicon is left out if so many training rows hold it and fewer than half of them are toxic.
@@ -163,18 +163,23 @@ class LabelModel(NamedTuple):
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
-def fit_label_model(votes: np.ndarray, counts: np.ndarray | None = None, rounds: int = EM_ROUNDS) -> LabelModel:
+def least_ratios(count: int) -> np.ndarray:
+    """How much more often each voter is held to vote on toxic rows: fixed ones ``BETTER`` times, mined ones as a precision of ``MINED_PRECISION`` asks."""
+    return np.where(np.arange(count) < FIXED, BETTER, (1 - PRIOR) / PRIOR * MINED_PRECISION / (1 - MINED_PRECISION))
+
+
+def fit_label_model(votes: np.ndarray, counts: np.ndarray | None = None, better: np.ndarray | float = 3.0, rounds: int = EM_ROUNDS) -> LabelModel:
     """Expectation-maximisation over ``votes`` alone, rows counted ``counts`` times; no label is read.
 
     The first beliefs come from how many voters vote (``FIRST_BELIEFS``).  The share of toxic rows is fixed (``PRIOR``), and every voter is held to vote at least
-    ``BETTER`` times as often on toxic rows as on clean ones; else "toxic" could come to mean the rows that no one votes on.
+    ``better`` times as often on toxic rows as on clean ones; else "toxic" could come to mean the rows that no one votes on.
     """
     counts = np.ones(len(votes)) if counts is None else counts.astype(float)
     belief = np.array(FIRST_BELIEFS)[np.minimum(votes.sum(axis=1), len(FIRST_BELIEFS) - 1).astype(int)]
     model = LabelModel(np.full(votes.shape[1], USUAL[0][0]), np.full(votes.shape[1], USUAL[1][0]), PRIOR, np.eye(votes.shape[1]))
     for _ in range(rounds):
         toxic, clean = (((part * counts) @ votes + strength * usual) / ((part * counts).sum() + strength) for part, (usual, strength) in zip((belief, 1 - belief), USUAL))
-        toxic, clean = np.clip(np.maximum(toxic, BETTER * clean), 1e-4, 0.99), np.clip(clean, 1e-4, 0.99 / BETTER)
+        toxic, clean = np.clip(toxic, 1e-3, 0.99), np.clip(np.minimum(clean, toxic / better), 1e-6, 0.33)
         model = LabelModel(toxic, clean, PRIOR, _ties(votes, counts, belief, toxic, clean))
         new = model.posterior(votes)
         if np.abs(new - belief).max(initial=0) < 1e-4:
@@ -295,7 +300,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ws.drop("")
     if not votes.any():
         return Model(learned, dropped, np.full(votes.shape[1], 3.0), -3.0)
-    weights, bias = fit_classifier(votes, fit_label_model(votes, counts).posterior(votes), counts)
+    weights, bias = fit_classifier(votes, fit_label_model(votes, counts, least_ratios(votes.shape[1])).posterior(votes), counts)
     return Model(learned, dropped, weights, bias)
 
 
