@@ -110,10 +110,10 @@ def _all(parts: list[Column]) -> Column:
     return out
 
 
-def _sized(docs: DataFrame, seed: int) -> DataFrame:
-    """``docs`` with ``size`` (words) and ``_order``, a row's place in the seeded order."""
+def _sized(docs: DataFrame, seed: int, by_text: bool = True) -> DataFrame:
+    """``docs`` with ``size`` (words) and ``_order``, a row's place in the seeded order: by doc_id and text, or by doc_id and size."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    return docs.withColumns({"size": size, "_order": F.xxhash64(F.lit(seed), "doc_id", "text")})
+    return docs.withColumns({"size": size, "_order": F.xxhash64(F.lit(seed), "doc_id", F.col("text") if by_text else size)})
 
 
 def _dealt(sized: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -164,10 +164,10 @@ def _decided(placed: DataFrame, cells: DataFrame) -> DataFrame:
     return joined.withColumn("taken", (F.col("_passes") * F.col("size") + F.col("_part")).cast("long")).drop("_s", "_h", "_cut", "_cut_words")
 
 
-def _planned(docs: DataFrame, block_words: int, cap: int, seed: int, shard_words: int) -> tuple[DataFrame, DataFrame, int]:
+def _planned(docs: DataFrame, block_words: int, cap: int, seed: int, shard_words: int, by_text: bool = True) -> tuple[DataFrame, DataFrame, int]:
     """Sizes and places of ``docs``, the plan, and the number of shards."""
     ws = Workspace(docs.sparkSession, "mixing")
-    sizes = ws.save(_sized(docs.select("doc_id", "source", "text"), seed).drop("text"), "sizes")
+    sizes = ws.save(_sized(docs.select("doc_id", "source", "text"), seed, by_text).drop("text"), "sizes")
     words = sizes.agg(F.sum("size")).first()[0] or 0
     shards = max(1, math.ceil(words / shard_words))
     sizes = _dealt(sizes, shards, seed)
@@ -180,15 +180,16 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, cap: int = CAP, seed:
     return _decided(sizes, cells).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, cap: int = CAP, seed: int = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
+def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, cap: int = CAP, seed: int = SEED, shard_words: int = SHARD_WORDS, by_text: bool = True) -> DataFrame:
     """The texts of the mix: a row for each time that a document is taken, with its columns, its figures and ``copy`` (1, 2, ...).
 
+    Without ``by_text`` the seeded order depends on ids and sizes alone, so texts that differ in pseudonyms make the same mix.
     ``text`` is what is taken that time: the whole text, or in the last copy its first words with the white space between them.
     """
-    _, cells, shards = _planned(docs, block_words, cap, seed, shard_words)
+    _, cells, shards = _planned(docs, block_words, cap, seed, shard_words, by_text)
     own = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken", "copy")]
     row = F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row")
-    rows = _decided(_dealt(_sized(docs.select("doc_id", "source", "text", row), seed), shards, seed), cells).where("taken > 0")
+    rows = _decided(_dealt(_sized(docs.select("doc_id", "source", "text", row), seed, by_text), shards, seed), cells).where("taken > 0")
     last = F.col("_passes") + F.when(F.col("_part") > 0, 1).otherwise(0)
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), last)))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(SPACED_WORD), F.lit(0)), 1, F.col("_part").cast("int")), "")

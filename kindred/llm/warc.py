@@ -36,7 +36,7 @@ ARCHIVE_BYTES = 16 << 20
 MIN_REVISIT_BYTES = 1000
 _VERSION = b"WARC/1.1"
 _GZIP = b"\x1f\x8b\x08"
-_STEP, _WINDOW, _MOST_HEADERS = 1 << 16, 1 << 18, 1 << 20
+_STEP, _WINDOW, _MOST_HEADERS = 1 << 16, 1 << 18, 1 << 24
 #: Pages with the same payload are joined in so many groups, as one payload may be that of a third of all pages.
 SALTS = 16
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -348,5 +348,5 @@ def round_trip(pages: DataFrame) -> DataFrame:
         ws.save(found.where("gap IS NOT NULL").select("archive", "offset", "length", "gap"), "quarantine")
         raise RuntimeError(f"{written} records were written, {read} were read and {gaps} gaps found; see {ws.path('quarantine')}")
     ws.drop("archives", "copies")
-    page = lambda c: F.url_decode(F.substring(c, 10, 10_000)).try_cast(kind)
+    page = lambda c: F.url_decode(F.substr(c, F.lit(10))).try_cast(kind)
     return found.select(page(F.col("record_id")).alias("page_id"), "payload_bytes", F.col("payload_sha1").alias("payload_digest"), F.col("kind").alias("record_type"), page(F.col("refers_to")).alias("refers_to"))

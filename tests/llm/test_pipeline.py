@@ -45,3 +45,17 @@ def test_stages_apply_their_decisions(spark, tmp_path):
         words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
     assert words == {d: r.taken for d, r in seen["mix"].items()} and len(got) > len(words)
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_the_mix_does_not_depend_on_the_key(spark):
+    rnd = random.Random(9)
+    rows = [(i, " ".join(f"w{rnd.randrange(99)}" for _ in range(40)) + f" a{i}.b@mail.example.com", "en", f"s{i % 3}", 1) for i in range(150)]
+    docs, mixes = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), []
+    for key in ("00" * 32, "17" * 32):
+        spark.conf.set("spark.kindred.pseudonyms.key", key)
+        try:
+            mix = corpus_pipeline.mix_sources(spark, corpus_pipeline.replace_personal_data(spark, docs, ""), "").collect()
+        finally:
+            spark.conf.unset("spark.kindred.pseudonyms.key")
+        mixes.append((sorted((r.doc_id, r.copy, r.taken) for r in mix), {r.text for r in mix}))
+    assert mixes[0][0] == mixes[1][0] and mixes[0][1] != mixes[1][1]

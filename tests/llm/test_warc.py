@@ -112,3 +112,5 @@ def test_equal_payloads_become_revisits(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     named = warc.round_trip(spark.createDataFrame([("a b/é\r\n", "u", "x"), ("+", "u", "x")], "page_id string, url string, html string")).collect()
     assert {r.page_id for r in named} == {"a b/é\r\n", "+"}
+    long = warc.round_trip(spark.createDataFrame([("p" * 12_000, "http://a.com/" + "u" * 1_500_000, "x"), ("é" * 4_000, "u", "x" * 2000), ("q", "u", "x" * 2000)], "page_id string, url string, html string")).collect()
+    assert {(len(r.page_id), r.refers_to) for r in long} == {(12_000, None), (4_000, None), (1, "é" * 4_000)}
