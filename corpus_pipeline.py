@@ -33,8 +33,11 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The corpus: a row for each time that the mix takes a document, with the text that it takes then, and the figures of the mix."""
-    out = mixing.mixture(docs)
+    """The corpus: a row for each time that the mix takes a document, with the text that it takes then, and the figures of the mix.
+
+    What is taken doesn't depend on the key of the pseudonyms.
+    """
+    out = mixing.mixture(docs, by_text=False)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
