@@ -2,29 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kindred.functions import text
 from kindred.plans.schema import MatchSchema
+from kindred.sources import wide_lines
 
 
 def read_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """``seq, line`` of one text file; ``seq`` rises with the place in the file (offset of the split plus row in it)."""
-    reader = spark.read.option("encoding", encoding)
-    if encoding.lower().replace("-", "") not in ("utf8", "usascii", "iso88591", "latin1"):
-        # Spark splits bytes at line feeds; a charset with other line feeds is decoded whole by the CSV reader.
-        rows = spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "").option("multiLine", True).schema("line string").csv(path)
-        return rows.select(F.monotonically_increasing_id().alias("seq"), F.coalesce("line", F.lit("")).alias("line"))
-    if encoding.lower().replace("-", "") in ("iso88591", "latin1"):
-        rows = spark.read.format("text").load(path).select(F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("line"), "_metadata.file_block_start")
-    else:
-        rows = reader.text(path).select(F.col("value").alias("line"), "_metadata.file_block_start")
+    """``seq, line`` of one text file, and ``bytes`` of lines that can't be decoded where the charset isn't UTF-8 (their ``line`` is null).
+
+    ``seq`` rises with the place in the file (offset of the split plus row in it).  Charsets with wide characters are split by a data source of our own.
+    """
+    name = wide_lines.plain(encoding)
+    if name in wide_lines.CHARSETS:
+        spark.dataSource.register(wide_lines.WideLines)
+        return spark.read.format("wide_lines").option("encoding", encoding).load(path)
+    rows = spark.read.text(path).select(F.col("value").alias("line"), "_metadata.file_block_start")
     row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    return rows.select((F.col("file_block_start") + row).alias("seq"), "line")
+    rows = rows.select((F.col("file_block_start") + row).alias("seq"), "line")
+    if name in ("utf8", "usascii"):
+        return rows
+    if bytes(range(128)).decode(encoding) != bytes(range(128)).decode("ascii"):
+        raise ValueError(f"{encoding} has other line feeds than ASCII")
+    return rows.select("seq", _decoder(encoding)(F.col("line").cast("binary")).alias("_d")).select("seq", "_d.line", "_d.bytes")
+
+
+def _decoder(encoding: str) -> Callable[[Column], Column]:
+    """Text of the bytes of a line in a charset that keeps ASCII's line feeds, or the bytes."""
+
+    def decoded(raw: bytes) -> tuple[str | None, bytes | None]:
+        try:
+            return raw.decode(encoding), None
+        except UnicodeDecodeError:
+            return None, raw
+
+    @F.pandas_udf("line string, bytes binary")
+    def decode(lines: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([decoded(x) for x in lines], columns=["line", "bytes"])
+
+    return decode
 
 
 def sound_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The lines of a UTF-8 file that are valid, and the others as ``seq, bytes`` (to be reported and skipped)."""
+    """The lines that could be decoded, and the others as ``seq, bytes`` (to be reported and skipped)."""
+    if "bytes" in lines.columns:
+        return lines.where(F.col("bytes").isNull()).select("seq", "line"), lines.where(F.col("bytes").isNotNull()).select("seq", "bytes")
     valid = F.is_valid_utf8("line")
     return lines.where(valid), lines.where(~valid).select("seq", F.col("line").cast("binary").alias("bytes"))
 
