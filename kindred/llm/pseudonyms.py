@@ -165,6 +165,8 @@ PATTERN = re.compile(
 
 )
 #: Of a text in lower case: a search that ignores case is three times as slow.
+#: Plain words, which after a colon and without quotes are prose; a pseudonym of such a value would be of the same form.
+_WORDS = re.compile(r"(?:[A-Za-z][a-z]*|[A-Z]+)(?:[\-/_](?:[A-Za-z][a-z]*|[A-Z]+))*")
 _ANCHOR = re.compile(rf"[0-9@]|akia|asia|password|passwd|pwd|token|secret|api[_\-]?key|{'|'.join(_MONTHS['en']).lower()}")
 _RUN = re.compile(r"[0-9A-Za-z]*")
 #: Characters before an anchor at which a value may begin (an e-mail name has 64 at most).
@@ -318,6 +320,8 @@ class Pseudonyms:
             name, _, host = value.rpartition("@")
             return "email", f"{self.characters(name, 'email')}@{host}"
         if m["secret"]:
+            if ":" in m["is"] and m["is"][-1] not in "\"'" and _WORDS.fullmatch(m["value"]):
+                return None  # "the secret: understanding people"
             return "credential", m["word"] + m["is"] + self.characters(m["value"], "credential")
         if m["access"]:
             return "credential", value[:4] + self.characters(value[4:], "credential")
