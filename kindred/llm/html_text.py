@@ -2,9 +2,11 @@
 
 One pass over the markup builds the tree of block elements; elements that never hold an article (menus, page headers,
 footers, sidebars, forms, scripts, adverts, notices, reader comments) are left out.  A class or id that names such a part
-is only a hint: an element that it names stays if the page's article lies in it, or most of the article's text, as names
-like ``has-sidebar`` are given to wrappers, and so does a form (some sites put whole pages into one).  Only elements named for reader comments go
-whatever they hold.  Of a header within an article the headings stay, and the id of a heading is no name.  Paragraphs pass points for length
+(``share-buttons``) is only a hint: an element that it names stays if the page's article lies in it, or most of the article's text, as names
+like ``has-sidebar`` are given to wrappers, and so does a form or fieldset (some sites put whole pages into one).  A name that holds other words too
+(``share-price``, ``related-work``) is a weak hint: such an element goes only if it stands outside the container that the rest of the page's text
+chooses, or is mostly links.  Only elements named for reader comments go whatever they hold.  Spans within a sentence and headings are not judged by name
+(headings but for comments); a span goes if all of its block's text lies in spans that are so named.  Of a header within an article the headings stay.  Paragraphs pass points for length
 and commas to their ancestors, half as much a level further up; a container's points are discounted by its share of link
 text.  The best container is taken (an ``article`` or ``main`` around it takes its place), with headings before it and those
 siblings that score well or are long and hardly linked.
@@ -39,7 +41,8 @@ BLOCKS = {
     "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "button", "svg", "object", "canvas", "video", "audio", "option",
 }
 VOID = {"hr"}
-DROPPED = {"nav", "header", "footer", "aside", "head", "menu", "button", "select", "svg", "dialog", "fieldset", "object", "canvas", "video", "audio", "search"}
+DROPPED = {"nav", "header", "footer", "aside", "head", "menu", "button", "select", "svg", "dialog", "object", "canvas", "video", "audio", "search"}
+INLINE = {"span", "small", "sup", "label", "ins"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 NEVER_BY_NAME = {"html", "body", "article", "main"}
 UNWANTED = {
@@ -48,6 +51,16 @@ UNWANTED = {
     "popup", "promo", "promotion", "related", "replies", "respond", "share", "sharing", "sidebar", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar",
     "widget",
 }
+#: Words that stand beside those in names of parts of a page; with any other word a name may be that of a part of the article.
+PARTS = {
+    "area", "article", "articles", "bar", "bars", "block", "blocks", "blog", "body", "bottom", "box", "btn", "button", "buttons", "center", "col", "column", "container", "content",
+    "copyright", "email", "entry", "facebook", "fixed", "floating", "follow", "form", "global", "google", "grid", "group", "head", "holder", "icon", "icons", "inline", "inner",
+    "item", "items", "layout", "left", "legal", "link", "links", "list", "login", "logo", "main", "message", "mobile", "module", "network", "networks", "news", "outer", "overlay", "page",
+    "panel", "policy", "post", "posts", "primary", "reader", "reply", "right", "row", "search", "secondary", "section", "side", "signup", "site", "slot", "sticky", "stories",
+    "story", "tab", "tabs", "text", "thread", "title", "tools", "top", "twitter", "unit", "user", "website", "wrap", "wrapper", "zone",
+}
+#: With these words a header is that of a part of the article.
+ARTICLE_PARTS = {"article", "chapter", "content", "entry", "post", "section", "story"}
 COMMENTS = {"comment", "comments", "disqus", "replies", "respond"}
 #: A name with such a word before or after it tells of a state, not of a part of the page.
 _STATE = re.compile(r"(?<![a-z])(?:has|no|not|with|without)[-_]+[a-z]+|[a-z]+[-_]+(?:enabled|disabled)(?![a-z])")
@@ -65,35 +78,47 @@ SIBLING_SHARE, SIBLING_CHARS, SIBLING_LINKS = 0.2, 80, 0.25
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "dropped", "cut", "head", "named", "depth", "weight", "score", "chars", "linked", "end", "at")
+    __slots__ = ("tag", "parent", "dropped", "cut", "head", "named", "depth", "weak", "weight", "score", "chars", "linked", "end", "at")
 
     def __init__(self, tag: str, parent: _Node | None, dropped: bool, named: int, at: int) -> None:
         self.tag, self.parent, self.dropped, self.named, self.at = tag, parent, dropped, named, at
-        self.depth = (parent.depth if parent else 0) + named  # how much the elements around the text are named as unwanted
+        self.weak = named == WEAK or bool(parent and parent.weak)
+        self.depth = (parent.depth if parent else 0) + max(0, named - WEAK)  # how much the elements around the text are named as unwanted
         self.cut = False  # dropped for the name of it or of an element around it
         self.head = False  # in the header of an article, of which headings stay
         self.weight, self.score, self.chars, self.linked, self.end = 0.0, 0.0, 0, 0, at
 
 
-#: What an element's tag and attributes say of it: nothing, that it may be unwanted, that it holds comments, that it surely is unwanted.
-WANTED, HINTED, NAMED, UNFIT = range(4)
+#: What an element's tag and attributes say of it: nothing, hardly that it is unwanted, that it may be, that it holds comments, that it surely is unwanted.
+WANTED, WEAK, HINTED, NAMED, UNFIT = range(5)
+WRAPPERS = {"form", "fieldset"}
 
 
 def _unwanted(tag: str, attributes: str) -> int:
     if tag in DROPPED:
         return UNFIT
+    least = HINTED if tag in WRAPPERS else WANTED
     if not attributes or tag in NEVER_BY_NAME:
-        return HINTED if tag == "form" else WANTED
+        return least
     found = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(attributes)}
     if found.get("role", "").lower() in ROLES or found.get("aria-hidden", "").lower() == "true":
         return UNFIT
     if re.search(r"display\s*:\s*none", found.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes):
         return UNFIT
-    names = _STATE.sub(" ", f"{found.get('class', '')} {'' if tag in HEADINGS else found.get('id', '')}".lower())
-    words = UNWANTED.intersection(_TOKEN.findall(names))
-    if not words:
-        return HINTED if tag == "form" else WANTED
-    return HINTED if words.isdisjoint(COMMENTS) else NAMED
+    names = _STATE.sub(" ", f"{found.get('class', '')} {'' if tag in HEADINGS else found.get('id', '')}".lower()).split()
+    said = max(map(_named, names), default=WANTED)
+    return max(least, said if said == NAMED or tag not in HEADINGS else WANTED)
+
+
+def _named(name: str) -> int:
+    """What one name says of its element."""
+    words = set(_TOKEN.findall(name))
+    own, others = words & UNWANTED, words - UNWANTED
+    if not own:
+        return WANTED
+    if not others <= PARTS or (own == {"header"} and others & ARTICLE_PARTS):
+        return WEAK
+    return HINTED if own.isdisjoint(COMMENTS) else NAMED
 
 
 def _inside(node: _Node, top: _Node) -> bool:
@@ -113,6 +138,8 @@ class _Page:
         self.blocks: list[tuple[_Node, str, int]] = []
         self.pieces: list[str] = []
         self.link, self.linked = 0, 0
+        self.doubtful: list[tuple[str, int]] = []  # open inline elements that are named as unwanted, with the depth they began at
+        self.doubted, self.sure = False, False  # whether the block has text in such elements, and outside them
         self._read(text)
         self._flush()
         for node in self.stack:
@@ -138,24 +165,40 @@ class _Page:
         if articles and (not least or most > plain):  # each reader's comment may be an article
             heavy = next(x for x in articles if x.weight == most)
             scope = [x for x in articles if _inside(x, heavy) and x.weight > most / 2][-1]
+        home = None
         for node in self.nodes:
             around = _inside(scope, node)
-            holds = node.named == HINTED and _inside(node, scope) and 2 * node.weight > scope.weight
+            holds = node.named in (WEAK, HINTED) and _inside(node, scope) and 2 * node.weight > scope.weight
+            if node.named == WEAK and not around and not holds:
+                home = home or self._home()
+                holds = (_inside(node, home) or _inside(home, node)) and node.linked < SIBLING_LINKS * node.chars
             node.cut = bool(node.parent and node.parent.cut) or bool(node.named and not around and not holds)
             node.dropped = node.dropped or node.cut
         self.blocks = [b for b in self.blocks if not b[0].dropped]
 
+    def _home(self) -> _Node:
+        """The container that text without any hint would choose; leaves the counts of all text in the nodes."""
+        best = choose(self.nodes, [b for b in self.blocks if not b[0].depth and not b[0].weak])
+        count_links(self.nodes, self.blocks)
+        if best is None:
+            return self.root
+        home = container(best)
+        return home.parent if home.tag == "section" and home.parent is not None else home
+
     def _flush(self) -> None:
         if self.pieces:
             text = " ".join("".join(self.pieces).split())
-            if text:
+            if text and (self.sure or not self.doubted):
                 self.blocks.append((self.stack[-1], text, self.linked))
         self.pieces, self.linked = [], 0
+        self.doubted, self.sure = False, False
 
     def _text(self, raw: str) -> None:
         if raw and not self.stack[-1].dropped:
             raw = html.unescape(raw) if "&" in raw else raw
             self.pieces.append(raw)
+            if not raw.isspace():
+                self.doubted, self.sure = self.doubted or bool(self.doubtful), self.sure or not self.doubtful
             if self.link:
                 self.linked += len(raw.strip())
 
@@ -243,8 +286,9 @@ class _Page:
                     self._close(name)
                 else:
                     self._start(name, attributes)
-                while inline and inline[-1][1] >= len(self.stack) + (not ends):
-                    inline.pop()
+                for left in (inline, self.doubtful):
+                    while left and left[-1][1] >= len(self.stack) + (not ends):
+                        left.pop()
             elif inline:
                 if ends and name == inline[-1][0]:
                     inline.pop()
@@ -254,18 +298,32 @@ class _Page:
                 self._text(" ")
             elif name == "a":
                 self.link = 0 if ends else 1
-            elif not ends and name in ("span", "small", "sup", "label", "ins") and _unwanted(name, attributes):
-                inline.append((name, len(self.stack)))
-
-
-def extract(page: str | None) -> str:
-    """The main text of one page, blocks joined by line feeds."""
-    if not page:
-        return ""
-    seen = _Page(page)
-    for node, text, linked in seen.blocks:
+            elif name in INLINE:
+                if self.doubtful and name == self.doubtful[-1][0]:
+                    self.doubtful.pop() if ends else self.doubtful.append((name, len(self.stack)))
+                elif not ends and (said := _unwanted(name, attributes)) >= HINTED:
+                    (inline if said == UNFIT else self.doubtful).append((name, len(self.stack)))
+
+
+def count_links(nodes: list[_Node], blocks: list[tuple[_Node, str, int]]) -> None:
+    """Counts the characters, and those in links, of each element."""
+    for node in nodes:
+        node.chars = node.linked = 0
+    for node, text, linked in blocks:
         node.chars += len(text)
         node.linked += linked
+    for node in reversed(nodes):  # children come after their parents
+        if node.parent is not None:
+            node.parent.chars += node.chars
+            node.parent.linked += node.linked
+
+
+def choose(nodes: list[_Node], blocks: list[tuple[_Node, str, int]]) -> _Node | None:
+    """The element with most points from these blocks; None if there are no points."""
+    count_links(nodes, blocks)
+    for node in nodes:
+        node.score = CONTENT_POINTS if node.tag in ("article", "main") and not node.dropped and node.chars else 0.0
+    for node, text, _ in blocks:
         holder = node.parent if node.tag in PARAGRAPHS and node.parent is not None else node
         points = _points(text)
         for _ in range(LEVELS):
@@ -274,23 +332,29 @@ def extract(page: str | None) -> str:
             holder.score += points
             points /= 2
             holder = holder.parent
-    for node in reversed(seen.nodes):  # children come after their parents
-        if node.parent is not None:
-            node.parent.chars += node.chars
-            node.parent.linked += node.linked
-    for node in seen.nodes:
-        if node.tag in ("article", "main") and not node.dropped and node.chars:
-            node.score += CONTENT_POINTS
+    for node in nodes:
         node.score *= 1 - min(1.0, node.linked / node.chars) if node.chars else 0.0
-    if not seen.blocks:
-        return ""
-    best = max(seen.nodes, key=lambda x: x.score)
-    if not best.score:
-        best = seen.root
+    best = max(nodes, key=lambda x: x.score)
+    return best if best.score else None
+
+
+def container(best: _Node) -> _Node:
+    """The ``article`` or ``main`` around an element, or the element."""
     up = best
     while up is not None and up.tag not in ("article", "main"):
         up = up.parent
-    top = up or best
+    return up or best
+
+
+def extract(page: str | None) -> str:
+    """The main text of one page, blocks joined by line feeds."""
+    if not page:
+        return ""
+    seen = _Page(page)
+    if not seen.blocks:
+        return ""
+    best = choose(seen.nodes, seen.blocks) or seen.root
+    top = container(best)
     tops = [top]
     if top.parent is not None:
         floor = max(1.0, SIBLING_SHARE * best.score)

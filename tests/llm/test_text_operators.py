@@ -128,6 +128,23 @@ def test_wrappers_named_like_unwanted_parts(name):
     assert html_text.extract(f"<div><p>{LONG * 2}</p></div><div id=comments class='{name}'><article><p>{LONG}</p></article></div>") == LONG * 2
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<article><p>The <span class='share-price'>price of 12</span> fell, says <span class=header-name>Ann</span>.</p><p>{LONG}</p></article>", f"The price of 12 fell, says Ann.\n{LONG}"),
+    (f"<article><h2 class='section-header'>Results</h2><p>{LONG}</p><div class='section-header'>More</div></article>", f"Results\n{LONG}\nMore"),
+    (f"<article><p>{LONG}</p><p>{LONG} B</p><div class='related-work'><p>{LONG} C</p></div><p class='navigation-notes'>Turn left.</p></article>", f"{LONG}\n{LONG} B\n{LONG} C\nTurn left."),
+    (f"<div id=page><div class='side-menu'><p>{LONG}</p></div><div id=text><p>{LONG} A</p><p class='share-price'>12.30</p><p>{LONG} B</p></div><div class='acme-sidebar'><p>{LONG} S</p></div></div>", f"{LONG} A\n12.30\n{LONG} B"),
+    (f"<div><section><p>{LONG}</p><p>{LONG} B</p></section><section class='related-work'><p>{LONG} C</p></section></div>", f"{LONG}\n{LONG} B\n{LONG} C"),
+    (f"<article><p>{LONG}</p><div class='related-acme'><a href=1>one</a> <a href=2>two</a></div></article>", LONG),
+    (f"<article><p>{LONG}</p><span class=share>Share</span><p>A<span class=ad> bought</span> word</p><span class='social'><span>a</span>b</span></article>", f"{LONG}\nA bought word"),
+    (f"<article><p>{LONG}</p><p>a <span hidden>no</span><span aria-hidden=true>no</span>b</p></article>", f"{LONG}\na b"),
+    (f"<article><p>{LONG}</p><p><span class=share>open</p><p>closed by its block</p></article>", f"{LONG}\nclosed by its block"),
+    (f"<form><fieldset><p>{LONG}</p><p>{LONG} B</p></fieldset></form>", f"{LONG}\n{LONG} B"), (f"<article><p>{LONG}</p><fieldset><p>name</p></fieldset></article>", LONG),
+    (f"<article><p>{LONG}</p><h3 class=comments-title>12 comments</h3><div class='elementor-widget'><p>{LONG} W</p></div></article>", f"{LONG}\n{LONG} W"),
+])
+def test_names_are_points_not_vetoes(page, text):
+    assert html_text.extract(page) == text
+
+
 def test_known_articles_are_extracted():
     rnd = random.Random(3)
     words = [f"{a}{b}" for a in ("ver", "tal", "no", "sum", "&amp;", "é") for b in ("ta", "ris", "ne", "lo")]
