@@ -7,8 +7,8 @@ different ones, and a pseudonym is itself valid.  The permutation is the network
 no fixed point: no value of a format with two or more members stays as it is.
 
 Formats: card numbers (the issuer's digits stay, the check digit is made anew), social security numbers, IBANs, phone numbers, IPv4
-and IPv6 addresses, dates (1900 to 2099, in figures or with a month's name in four languages), e-mail names, and credentials (access keys,
-and values given to a word such as ``password``, in any case and of any length), where letters stay letters of their case and digits stay digits.
+and IPv6 addresses, dates (1900 to 2099, in figures or with a month's name in four languages), e-mail names (one permutation for all cases), and credentials (access keys,
+signed web tokens, and values given to a name that ends in a word such as ``password``, in any case and of any length), where letters stay letters of their case and digits stay digits.
 All notations of a date share one permutation, of days up to the 12th and of later ones, as a later day tells ``month/day`` from ``day/month``.
 
 The key is a parameter; :func:`session_key` takes it from the session's setting, or makes one that lies in the cluster's shared folder.
@@ -151,8 +151,8 @@ _CARD = re.compile(
 _BEFORE, _AFTER = r"(?<![0-9A-Za-z_.\-])", r"(?![0-9A-Za-z_])"
 PATTERN = re.compile(
     r"(?P<email>(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9]))"
-    r"|(?P<secret>(?<![A-Za-z0-9])(?P<word>(?ai:password|passwd|pwd|token|secret|api[_\-]?key))(?P<is>\"?\s{0,3}[:=]\s{0,3}[\"']?)(?P<value>[A-Za-z0-9+/_\-]{8,}))"
-    rf"|(?P<access>{_BEFORE}(?:AKIA|ASIA)[0-9A-Z]{{16}}{_AFTER})"
+    r"|(?P<secret>(?P<word>(?ai:password|passwd|pwd|token|secret|api[_\-]?key))(?P<is>\"?\s{0,3}[:=]\s{0,3}[\"']?)(?P<value>[A-Za-z0-9+/_\-]{8,}))"
+    rf"|(?P<access>{_BEFORE}(?:(?:AKIA|ASIA)[0-9A-Z]{{16}}|gh[pousr]_[0-9A-Za-z]{{36,}}|eyJ[0-9A-Za-z_\-]{{8,}}\.[0-9A-Za-z_\-]{{8,}}\.[0-9A-Za-z_\-]{{8,}}){_AFTER})"
     rf"|(?P<iban>{_BEFORE}[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_AFTER})"
     rf"|(?P<iso>{_BEFORE}(?P<y1>(?:19|20)[0-9]{{2}})(?P<s1>[\-/.])(?P<m1>[0-9]{{1,2}})(?P=s1)(?P<d1>[0-9]{{1,2}})(?![0-9A-Za-z_.\-/]*[0-9]))"
     rf"|(?P<dmy>{_BEFORE}(?P<d2>[0-9]{{1,2}})(?P<s2>[\-/.])(?P<m2>[0-9]{{1,2}})(?P=s2)(?P<y2>(?:19|20)[0-9]{{2}})(?![0-9A-Za-z_\-/]|\.[0-9]))"
@@ -167,7 +167,7 @@ PATTERN = re.compile(
 #: Of a text in lower case: a search that ignores case is three times as slow.
 #: Plain words, which after a colon and without quotes are prose; a pseudonym of such a value would be of the same form.
 _WORDS = re.compile(r"(?:[A-Za-z][a-z]*|[A-Z]+)(?:[\-/_](?:[A-Za-z][a-z]*|[A-Z]+))*")
-_ANCHOR = re.compile(rf"[0-9@]|akia|asia|password|passwd|pwd|token|secret|api[_\-]?key|{'|'.join(_MONTHS['en']).lower()}")
+_ANCHOR = re.compile(rf"[0-9@]|akia|asia|gh[pousr]_|eyj|password|passwd|pwd|token|secret|api[_\-]?key|{'|'.join(_MONTHS['en']).lower()}")
 _RUN = re.compile(r"[0-9A-Za-z]*")
 #: Characters before an anchor at which a value may begin (an e-mail name has 64 at most).
 _REACH = 72
@@ -318,7 +318,8 @@ class Pseudonyms:
         kind, value = m.lastgroup, m[0]
         if m["email"]:
             name, _, host = value.rpartition("@")
-            return "email", f"{self.characters(name, 'email')}@{host}"
+            new = self.characters(name.lower(), "email")  # addresses are the same in any case
+            return "email", "".join(n.upper() if c.isupper() else n for n, c in zip(new, name)) + f"@{host}"
         if m["secret"]:
             if ":" in m["is"] and m["is"][-1] not in "\"'" and _WORDS.fullmatch(m["value"]):
                 return None  # "the secret: understanding people"
