@@ -37,8 +37,8 @@ MIN_REVISIT_BYTES = 1000
 _VERSION = b"WARC/1.1"
 _GZIP = b"\x1f\x8b\x08"
 _STEP, _WINDOW, _MOST_HEADERS = 1 << 16, 1 << 18, 1 << 24
-#: Pages with the same payload are joined in so many groups, as one payload may be that of a third of all pages.
-SALTS = 16
+#: Payloads that are so frequent that no more than this many can be are sent to all tasks, as one may be that of a third of all pages.
+HOT = 65_536
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -235,17 +235,19 @@ def plan_revisits(pages: DataFrame, ws: Workspace, least: int = MIN_REVISIT_BYTE
     """``page_id, url, html, digest, original``: ``original`` is the page that a revisit refers to, else null.
 
     Payloads that several pages have are counted first, and pages are joined to that narrow table; pages with a short payload find
-    nothing there, and each of them has a key of its own.
+    nothing there, and each of them has a key of its own.  The most frequent payloads, of which there are ``HOT`` at most, are sent to all tasks, so a key of
+    the shuffled join has no more rows than the ``HOT``-th part of all copies.
     """
     html = F.coalesce("html", F.lit(""))
     pages = pages.select("page_id", "url", html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("digest"))
     big = F.octet_length("html") >= least
     copies = pages.where(big).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    copies = ws.save(copies.select(F.col("digest").alias("_key"), "first"), "copies").select("_key", "first", salts)
-    own = F.xxhash64("page_id", "url")
-    keyed = pages.withColumns({"_key": F.when(big, F.col("digest")).otherwise(F.concat(F.lit("-"), own.cast("string"))), "_salt": F.pmod(own, F.lit(SALTS)).cast("int")})
-    joined = keyed.join(copies, ["_key", "_salt"], "left")
+    copies = ws.save(copies.select(F.col("digest").alias("_key"), "first", "k"), "copies")
+    limit = (copies.agg(F.sum("k")).first()[0] or 0) // HOT
+    hot = F.broadcast(copies.where(F.col("k") > limit).select(F.col("_key").alias("digest"), F.col("first").alias("_hot")))
+    alone = F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))
+    pages = pages.join(hot, "digest", "left").withColumn("_key", F.when(big & F.col("_hot").isNull(), F.col("digest")).otherwise(alone))
+    joined = pages.join(copies.where(F.col("k") <= limit).select("_key", "first"), "_key", "left").withColumn("first", F.coalesce("_hot", "first"))
     return joined.select("page_id", "url", "html", "digest", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("original"))
 
 

@@ -4,6 +4,7 @@ import random
 import re
 
 from kindred.llm import warc
+from kindred.llm.workspace import Workspace
 
 
 def _records(n=6, size=3000):
@@ -114,3 +115,14 @@ def test_equal_payloads_become_revisits(spark):
     assert {r.page_id for r in named} == {"a b/é\r\n", "+"}
     long = warc.round_trip(spark.createDataFrame([("p" * 12_000, "http://a.com/" + "u" * 1_500_000, "x"), ("é" * 4_000, "u", "x" * 2000), ("q", "u", "x" * 2000)], "page_id string, url string, html string")).collect()
     assert {(len(r.page_id), r.refers_to) for r in long} == {(12_000, None), (4_000, None), (1, "é" * 4_000)}
+
+
+def test_frequent_payloads_are_joined_apart(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "HOT", 3)
+    rows = [(i, f"u{i}", ("hot" if i % 3 == 0 else f"p{i % 20}") + "x" * 2000) for i in range(120)] + [(None, None, None), (500, "u", "short"), (501, "u", "short")]
+    planned = warc.plan_revisits(spark.createDataFrame(rows, "page_id long, url string, html string"), Workspace(spark, "test")).collect()
+    largest = {}
+    for page, _, html in rows:
+        largest[html] = max(largest.get(html, -1), -1 if page is None else page)
+    want = {page: None if html is None or len(html) < 1000 or largest[html] == page else largest[html] for page, _, html in rows}
+    assert {r.page_id: r.original for r in planned} == want and len(planned) == len(rows)
