@@ -16,7 +16,7 @@ shards are dealt to ranges (:mod:`kindred.llm.running`), and rows that repeat id
 
 Defined cases: a null or empty text has size 0 and gives and takes nothing; a null source is a source of its own, last in
 order.  Rows that repeat a doc_id are rows of their own; rows that repeat all they have take equal words, the words that
-don't divide are left.  Sources without words have target 0.  An empty table gives an empty result.  :func:`mixed` reads no other
+don't divide are left.  A table of few words is mixed in smaller blocks, down to one word.  Sources without words have target 0.  An empty table gives an empty result.  :func:`mixed` reads no other
 columns; :func:`mixture` carries them along, and one named like a result column is replaced.
 """
 
@@ -32,6 +32,8 @@ from kindred.llm.workspace import Workspace
 WORD = r"[^\x20\x09-\x0D]+"
 SPACED_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 BLOCK_WORDS, CAP, SEED = 16, 3, 20240
+#: A mix has so many blocks at least; of fewer words than that many blocks ask for, blocks are smaller (one word at least).
+LEAST_BLOCKS = 64
 #: Shards hold about so many words.
 SHARD_WORDS = 250_000
 #: Quotients that may win are sorted into so many intervals; only those of one interval are ranked.
@@ -170,6 +172,7 @@ def _planned(docs: DataFrame, block_words: int, cap: int, seed: int, shard_words
     sizes = ws.save(_sized(docs.select("doc_id", "source", "text"), seed, by_text).drop("text"), "sizes")
     words = sizes.agg(F.sum("size")).first()[0] or 0
     shards = max(1, math.ceil(words / shard_words))
+    block_words = max(1, min(block_words, words // LEAST_BLOCKS))
     sizes = _dealt(sizes, shards, seed)
     return sizes, plan(sizes, ws, words, block_words, cap), shards
 

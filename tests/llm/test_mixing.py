@@ -96,3 +96,9 @@ def test_empty_and_wordless_tables(spark):
     assert mixing.mixed(spark.createDataFrame([], "doc_id long, source string, text string")).collect() == []
     got = mixing.mixed(spark.createDataFrame([(1, "a", " "), (2, None, None)], "doc_id long, source string, text string")).collect()
     assert sorted(map(tuple, got)) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
+
+
+def test_tables_of_few_words_are_mixed(spark):
+    got = mixing.mixed(spark.createDataFrame([(1, "a", "x"), (2, "b", "x y"), (3, "b", "")], "doc_id long, source string, text string")).collect()
+    assert sum(r.taken for r in got) == 3 and {r.doc_id: r.target for r in got} == {1: 1.0, 2: 2.0, 3: 2.0}
+    assert mixing.mixed(spark.createDataFrame([(1, "a", "x")], "doc_id long, source string, text string")).first().taken == 1
