@@ -10,9 +10,9 @@ Hits are expanded in slices of at most ``SLICE`` and merged to diagonals at once
 thousands of times take no more memory than their diagonals (the words of both).  Where a seed meets more pairs of places than that, the
 diagonals are marked by shifting the places of the text once for each place in the item.
 
-The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words; each block is sent to the executors.  Documents are read once: rows
-are held until their texts have ``HELD_BYTES``, and every block is read for them in turn, so the memory of a task is bounded by one
-block and the held rows.  A block holds whole items, one at least; an item of more words than that is cut into overlapping parts first.
+The benchmark is dealt to tasks in blocks of at most ``BLOCK_WORDS`` words; each task writes the indexes of its blocks to the shared folder, and the
+driver sees no more than their paths.  Documents are read once: rows are held until their texts have ``HELD_BYTES``, and every block is read for them
+in turn (a single one stays in the worker's memory), so the memory of a task is bounded by one block and the held rows.  A block holds whole items, one at least; an item of more words than that is cut into overlapping parts first.
 
 Defined cases: null, empty or too short texts (fewer words than the shortest mask) match nothing; an item equal to
 another gives hits of its own; an empty benchmark leaves every document clean.  Every row is judged by its own
@@ -21,7 +21,9 @@ text.  An empty table gives an empty result; other columns, whatever their names
 
 from __future__ import annotations
 
+import math
 import pickle
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -208,93 +210,121 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WO
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, " + OVERLAPS.format(item=benchmark.schema["item_id"].dataType.simpleString())
     shape = spark.createDataFrame([], schema).schema
-    texts = docs.select("doc_id", "text")
-    out = None
-    for ids, bodies in _item_blocks(benchmark, block_words, min_words):
-        sent = spark.sparkContext.broadcast(build_index(ids, bodies))
-        part = texts.mapInArrow(_scan(sent, min_words, percent, shape), shape)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], shape)
-
-
-def _item_blocks(benchmark: DataFrame, block_words: int, min_words: int) -> Iterator[tuple[list, list[str]]]:
-    ids, bodies, size = [], [], 0
-    for row in benchmark.select("item_id", "text").where("text IS NOT NULL").toLocalIterator():
-        words = "".join(c if not c.isascii() or c.isalnum() else " " for c in row.text).split(" ")
-        words = [w for w in words if w]
-        step = max(1, block_words - 4 * min_words)
-        for at in range(0, max(1, len(words) - 4 * min_words), step):
-            part = words[at : at + block_words]
-            if size + len(part) > block_words and ids:
-                yield ids, bodies
-                ids, bodies, size = [], [], 0
-            ids.append(row.item_id)
-            bodies.append(" ".join(part))
-            size += len(part)
-    if ids:
-        yield ids, bodies
-
-
-def _scan(sent, min_words: int, percent: int, shape):
+    return docs.select("doc_id", "text").mapInArrow(_scan(_Blocks(benchmark, block_words, min_words), min_words, percent, shape), shape)
+
+
+def _scan(indexes: _Blocks, min_words: int, percent: int, shape):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        index, arrow = sent.value, to_arrow_schema(shape)
-        for batch in batches:
-            docs = batch.column("doc_id")
-            for a, _, data, offsets in blocks(batch.column("text")):
-                w = hash_words(data, offsets, _BREAKS)
-                found = list(matches(w.hashes, w.first, index, min_words, percent))
-                if found:
-                    cols = list(zip(*found))
-                    rows = docs.take(pa.array([a + r for r in cols[0]]))
-                    yield pa.record_batch([rows, pa.array([index.ids[i] for i in cols[1]], arrow.field("item_id").type), *[pa.array(c, pa.int64()) for c in cols[2:]]], schema=arrow)
+        arrow = to_arrow_schema(shape)
+        for held in _held(batches, "text", indexes):
+            for index in indexes:
+                for batch in held:
+                    for a, _, data, offsets in blocks(batch.column("text")):
+                        w = hash_words(data, offsets, _BREAKS)
+                        found = list(matches(w.hashes, w.first, index, min_words, percent))
+                        if found:
+                            cols = list(zip(*found))
+                            rows = batch.column("doc_id").take(pa.array([a + r for r in cols[0]]))
+                            yield pa.record_batch([rows, pa.array([index.ids[i] for i in cols[1]], arrow.field("item_id").type), *[pa.array(c, pa.int64()) for c in cols[2:]]], schema=arrow)
 
     return run
 
 
+def _held(batches: Iterator[pa.RecordBatch], column: str, indexes: _Blocks) -> Iterator[list[pa.RecordBatch]]:
+    """Batches together as far as their texts have ``HELD_BYTES``; single ones if one block is all there is."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if len(indexes.paths) < 2 or size >= HELD_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+#: The index that this worker read last, by its path.
+_LAST: dict[str, Index] = {}
+
+
 class _Blocks:
-    """Indexes of a benchmark for the executors: one is broadcast; of more, each is a file that is read when its turn comes."""
+    """Indexes of a benchmark, built and written by tasks; each is read when its turn comes."""
 
     def __init__(self, benchmark: DataFrame, block_words: int, min_words: int) -> None:
-        spark = benchmark.sparkSession
-        self.sent, self.paths, self.folder = None, [], Workspace(spark, "decontaminate").root
-        first = None
-        for ids, bodies in _item_blocks(benchmark, block_words, min_words):
-            made = build_index(ids, bodies)
-            if first is None:
-                first = made
-                continue
-            if not self.paths:
-                self._write(first)
-            self._write(made)
-        if first is not None and not self.paths:
-            self.sent = spark.sparkContext.broadcast(first)
-
-    def _write(self, made: Index) -> None:
-        store, root = filesystem(self.folder)
-        store.create_dir(root, recursive=True)
-        path = f"{root}/{len(self.paths)}"
-        with store.open_output_stream(path) as out:
-            out.write(pickle.dumps(made))
-        self.paths.append(path)
+        ws = Workspace(benchmark.sparkSession, "decontaminate")
+        self.folder = ws.path("blocks")
+        shape = T.StructType([T.StructField("item_id", benchmark.schema["item_id"].dataType), T.StructField("body", T.StringType()), T.StructField("size", T.LongType())])
+        parts = ws.save(benchmark.select("item_id", "text").where("text IS NOT NULL").mapInArrow(_cut(block_words, min_words, shape), shape), "parts")
+        words = parts.agg(F.sum("size")).first()[0] or 0
+        made = ws.save(parts.repartition(max(1, math.ceil(words / block_words))).mapInArrow(_write(self.folder, block_words), "path string"), "made")
+        self.paths = sorted(r.path for r in made.collect())
+        ws.drop("parts", "made")
 
     def __iter__(self) -> Iterator[Index]:
-        if self.sent is not None:
-            yield self.sent.value
         for path in self.paths:
-            with filesystem(self.folder)[0].open_input_stream(path) as file:
-                yield pickle.loads(file.read())
+            if path not in _LAST:
+                _LAST.clear()
+                with filesystem(self.folder)[0].open_input_stream(path) as file:
+                    _LAST[path] = pickle.loads(file.read())
+            yield _LAST[path]
 
 
-def _mark(indexes: _Blocks, text: str, min_words: int, percent: int, shape):
+def _cut(block_words: int, min_words: int, shape):
+    """Items as words with a space between them; one of more words than a block as overlapping parts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(shape)
-        held: list[pa.RecordBatch] = []
+        step = max(1, block_words - 4 * min_words)
+        for batch in batches:
+            for at, text in enumerate(batch.column("text")):
+                words = "".join(c if not c.isascii() or c.isalnum() else " " for c in text.as_py()).split(" ")
+                words = [w for w in words if w]
+                for start in range(0, max(1, len(words) - 4 * min_words), step):
+                    part = words[start : start + block_words]
+                    yield pa.record_batch([batch.column("item_id").slice(at, 1), pa.array([" ".join(part)]), pa.array([len(part)], pa.int64())], schema=arrow)
+
+    return run
 
-        def judged() -> Iterator[pa.RecordBatch]:
+
+def _write(folder: str, block_words: int):
+    """Writes the indexes of a task's parts, a file for each ``block_words`` words; gives the paths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = filesystem(folder)
+        store.create_dir(root, recursive=True)
+
+        def written(ids: list, bodies: list[str]) -> pa.RecordBatch:
+            path = f"{root}/{uuid.uuid4().hex}"
+            with store.open_output_stream(path) as out:
+                out.write(pickle.dumps(build_index(ids, bodies)))
+            return pa.record_batch([pa.array([path])], names=["path"])
+
+        ids, bodies, total = [], [], 0
+        for batch in batches:
+            for item, body, size in zip(*[batch.column(c).to_pylist() for c in ("item_id", "body", "size")]):
+                if ids and total + size > block_words:
+                    yield written(ids, bodies)
+                    ids, bodies, total = [], [], 0
+                ids.append(item)
+                bodies.append(body)
+                total += size
+        if ids:
+            yield written(ids, bodies)
+
+    return run
+
+
+def _mark(indexes: _Blocks, text: str, min_words: int, percent: int, shape):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(shape)
+        for held in _held(batches, text, indexes):
             items: list[list[dict]] = [[{} for _ in range(len(b))] for b in held]
             longest = [np.zeros(len(b), np.int64) for b in held]
             for index in indexes:
@@ -308,16 +338,6 @@ def _mark(indexes: _Blocks, text: str, min_words: int, percent: int, shape):
                 cols = [batch.column(c) for c in arrow.names[:-2]]
                 yield pa.record_batch([*cols, pa.array([sorted(x, key=lambda v: (v is None, v)) for x in own], arrow.field(len(arrow) - 2).type), pa.array(most, pa.int64())], schema=arrow)
 
-        size = 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.column(text).nbytes
-            if indexes.sent is not None or size >= HELD_BYTES:  # one block needs no held rows
-                yield from judged()
-                held, size = [], 0
-        if held:
-            yield from judged()
-
     return run
 
 
