@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred.functions import similarity
-from kindred.operators import index, match, render
+from kindred.operators import blocks, index, match, render
 from kindred.plans.schema import FieldSpec, MatchSchema, Tier
 from kindred.sources import records
 
@@ -155,6 +155,22 @@ def test_match_equals_the_sequential_search(spark, self_check):
     assert got == want
 
 
+@pytest.mark.parametrize("first, least", [(1, 20), (5, 4_000)])
+def test_searches_that_stop_in_blocks_equal_the_sequential_search(spark, monkeypatch, first, least):
+    """Before, all candidates of every block were shuffled, up to 1000 of a query and block."""
+    monkeypatch.setattr(match, "SENT_QUERIES", 0)
+    monkeypatch.setattr(blocks, "FIRST", first)
+    monkeypatch.setattr(blocks, "LEAST_TEXTS", least)
+    docs = corpus(120, 1) + [["d", f"copy{i}", "dengue virus in rural brazil 2019", *["x"] * 7] for i in range(30)]
+    built = index.build_index(frames(spark, docs), SCHEMA)
+    pairs = match.match(frames(spark, docs), built)
+    assert found(pairs) == sorted(sequential(docs, docs, SCHEMA))
+    dtexts = built.members.where("did = tid").select("tid", "dtext")
+    qtexts = dtexts.toDF("qtid", "qtext")
+    seen = blocks.looked_at(qtexts, built.postings, dtexts, len(docs), 1000, SCHEMA.lowest_tier, match.AFTER_MISS)
+    assert 2 * seen.count() < blocks.best_of_blocks(qtexts, built.postings, len(docs), 1000).count()
+
+
 def test_search_without_similarity(spark):
     schema = MatchSchema("s", FIELDS, (*SCHEMA.tiers, Tier(0, 4)))
     docs, queries = corpus(80, 3), corpus(30, 4)
